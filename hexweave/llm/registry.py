@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hexweave.llm import bpe, langid, packing, quality, rules, toxicity
+from hexweave.llm import bpe, langid, minhash, packing, quality, rules, toxicity
 from hexweave.llm.tables import table
 
 
@@ -27,6 +27,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -36,7 +40,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op3_toxicity, op4_quality_rules, op5_quality_classifier, op9_packing, op10_language_id)}
+    return {f.__name__: f for f in (op2_bpe, op3_toxicity, op4_quality_rules, op5_quality_classifier, op7_minhash, op9_packing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
