@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from hexweave.storage import cut
 
-#: Most words in the broadcast table, and most bytes of one: at most some 60 MB, some 10 MB as a rule.
-HEAD = 250_000
+#: Most words in the broadcast table, and most bytes of one: some 25 MB as a rule, 150 MB at most.
+HEAD = 600_000
 WORD_BYTES = 64
 #: Unicode white space.
 WHITE = "\\x09-\\x0D\\x20\\x85\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
@@ -78,14 +78,20 @@ def encode_words(words: list[str], path: str) -> list[tuple[int, bytes, bytes]]:
 
 
 def split_words(docs: DataFrame) -> DataFrame:
-    """(word) for each word of each text."""
-    return docs.select(F.explode(F.split("text", f"(?<=[^{WHITE}])(?=[{WHITE}])")).alias("word"))
+    """(word) for each word of each text, as if a space stood before each text.
+
+    Splits at single spaces and before line breaks: where white space is other than that, the parts are not all
+    words, which costs a slot of the table at most. Places are matched in full when the table is joined.
+    """
+    parts = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" \n")), " ")).alias("part"))
+    return parts.filter(F.length("part") > 0).select("part")
 
 
 def word_table(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     """(word, n, ids, decoded) of the most frequent words, each encoded once."""
-    counts = split_words(docs).groupBy("word").agg(F.count("*").alias("uses"))
-    counts = cut(counts.filter((F.col("uses") > 1) & (F.octet_length("word") <= WORD_BYTES) & (F.length("word") > 0)))
+    counts = split_words(docs).groupBy("part").agg(F.count("*").alias("uses"))
+    word = F.when(F.col("part").startswith("\n"), F.col("part")).otherwise(F.concat(F.lit(" "), "part")).alias("word")
+    counts = cut(counts.filter((F.col("uses") > 1) & (F.octet_length("part") <= WORD_BYTES)).select(word, "uses"))
     by_uses = counts.groupBy(F.least("uses", F.lit(100_000)).alias("uses")).count().orderBy(F.desc("uses")).collect()
     total, least = 0, 1 << 62
     for r in by_uses:
@@ -106,8 +112,8 @@ def word_table(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
 class Joiner:
     """Words of a text to what the table says of them, in order of place."""
 
-    def __init__(self, rows: list[tuple[str, tuple[int, bytes, bytes]]], path: str, spare: int = 50_000):
-        self.path, self.spare = path, spare
+    def __init__(self, rows: list[tuple[str, tuple[int, bytes, bytes]]], path: str):
+        self.path = path
         self.after_space, self.other = {}, {}
         for word, entry in rows:
             self._put(word, entry)
