@@ -26,7 +26,7 @@ from hexweave.storage import cut
 
 TABLES = 12
 BLOCKS = 2
-SCALE = 3.0
+SCALE = 1.3
 PROBES = 4
 COSINE = 0.9
 #: Rows of a cell that one block holds.
@@ -62,7 +62,7 @@ _STEPS = shortest_steps()
 
 
 def projection(dim: int, table: int) -> np.ndarray:
-    return np.random.default_rng([dim, table]).normal(size=(dim, 8 * BLOCKS)) / np.sqrt(dim)
+    return np.random.default_rng([dim, table]).normal(size=(dim, 8 * BLOCKS)) / np.sqrt(8)
 
 
 def _cell(points: np.ndarray, table: int, dim: int) -> np.ndarray:
@@ -75,9 +75,9 @@ def _cell(points: np.ndarray, table: int, dim: int) -> np.ndarray:
 
 def cells(x: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
     """(own cell, PROBES neighbouring cells) of unit vectors."""
-    y = SCALE * np.sqrt(x.shape[1] / 8) * (x @ projection(x.shape[1], table)) / np.sqrt(x.shape[1] / 8)
+    y = SCALE * (x @ projection(x.shape[1], table))
     own = [nearest_e8(y[:, 8 * k : 8 * k + 8]) for k in range(BLOCKS)]
-    gaps = np.concatenate([((y[:, 8 * k : 8 * k + 8] - p) ** 2).sum(1)[:, None] * 0 + 2 - 2 * ((y[:, 8 * k : 8 * k + 8] - p) @ _STEPS.T) for k, p in enumerate(own)], axis=1)
+    gaps = np.concatenate([2 - 2 * ((y[:, 8 * k : 8 * k + 8] - p) @ _STEPS.T) for k, p in enumerate(own)], axis=1)
     near = np.argpartition(gaps, PROBES, axis=1)[:, :PROBES]
     home = _cell(np.concatenate(own, axis=1), table, x.shape[1])
     probes = np.empty((len(x), PROBES), np.int64)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from hexweave.storage import cut
 
-THRESHOLD = 0.8
+THRESHOLD = 0.9
 # Phrases whose words must stand consecutively, and the label of each.
 PHRASES = {
     "under the mit license": "mit",
