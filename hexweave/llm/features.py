@@ -85,9 +85,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     got = rows.mapInArrow(run, "slots array<long>, shares array<double>, y int").toArrow()
     if not got.num_rows:
         return [], [], np.zeros(0, int)
-    split = lambda c: [np.asarray(x.values) for x in got.column(c)]
-    order = np.argsort([hash(x.tobytes()) % 1 if False else len(x) for x in split("slots")], kind="stable")
-    s, v, y = split("slots"), split("shares"), np.asarray(got.column("y"))
+    s, v = ([np.asarray(x.values) for x in got.column(c)] for c in ("slots", "shares"))
+    y = np.asarray(got.column("y"))
+    # By content, so that the model does not depend on how the rows were dealt to tasks.
+    order = sorted(range(len(y)), key=lambda i: (len(s[i]), s[i].tobytes(), v[i].tobytes(), y[i]))
     return [s[i] for i in order], [v[i] for i in order], y[order]
 
 
