@@ -4,8 +4,8 @@ Each text is encoded, ended with an id, and cut into pieces only where it is lon
 needs of the corpus is the histogram of piece lengths, at most `size` counts. The linear program over patterns (which
 lengths share a sequence) is solved by multiplicative weights: lengths have weights, a knapsack by dynamic
 programming prices the pattern that covers most weight, and covered lengths lose weight. The mean of the chosen
-patterns, scaled to cover all pieces, is rounded down; what is left goes by best fit over the histogram. Pieces then
-take their places by their rank among pieces of their length.
+patterns, scaled to cover all pieces, is rounded down; the room and the pieces that this leaves go by best fit over
+the histogram. Pieces then take their places by their rank among pieces of their length.
 
 Null texts count as empty: one piece that holds the end id alone.
 """
@@ -97,69 +97,112 @@ def pieces_of(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kinds)
 
 
-def price(lengths: np.ndarray, weights: np.ndarray, counts: np.ndarray, size: int) -> dict[int, int]:
-    """The pattern of most weight that fits: unbounded knapsack by dynamic programming, one step for each capacity."""
-    best = np.zeros(size + 1)
-    chosen = np.full(size + 1, -1)
+def price(lengths: np.ndarray, weights: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """How often each class stands in the pattern of most weight: a knapsack by dynamic programming over capacities.
+
+    A class stands in a pattern no more often than it has pieces; room that this leaves goes to the classes of most
+    weight for their length.
+    """
+    best, chosen = np.zeros(size + 1), np.full(size + 1, -1)
+    fitting = np.searchsorted(lengths, np.arange(size + 1), side="right")
     for room in range(int(lengths[0]), size + 1):
-        m = int(np.searchsorted(lengths, room, side="right"))
-        gain = best[room - lengths[:m]] + weights[:m]
-        k = int(gain.argmax())
+        gain = best[room - lengths[: fitting[room]]] + weights[: fitting[room]]
+        k = gain.argmax()
         if gain[k] > best[room - 1]:
             best[room], chosen[room] = gain[k], k
         else:
             best[room] = best[room - 1]
-    pattern: dict[int, int] = {}
-    room = size
+    times, room = np.zeros(len(lengths), np.int64), size
     while room >= lengths[0]:
         k = chosen[room]
-        if k < 0:
-            room -= 1
-            continue
-        pattern[k] = pattern.get(k, 0) + 1
-        room -= int(lengths[k])
-    return {k: min(n, int(counts[k])) for k, n in pattern.items()}
-
-
-def solve(histogram: dict[int, int], size: int = SIZE, rounds: int = 60) -> list[tuple[tuple[int, ...], int]]:
+        times[k] += k >= 0
+        room -= int(lengths[k]) if k >= 0 else 1
+    times = np.minimum(times, counts)
+    room = size - int((times * lengths).sum())
+    for k in np.argsort(-weights / lengths, kind="stable") if room >= lengths[0] else ():
+        more = min(room // int(lengths[k]), int(counts[k] - times[k]))
+        times[k] += more
+        room -= more * int(lengths[k])
+    return times
+
+
+def fractional(lengths: np.ndarray, counts: np.ndarray, size: int, rounds: int, rate: float = 0.3) -> dict[tuple[int, ...], float]:
+    """{pattern: how often}, which covers all pieces on the average: multiplicative weights on the classes.
+
+    A round prices a pattern, uses it until its scarcest class is used up once, and shrinks the weights of what it
+    covers.
+    """
+    weights, cover, used = lengths / size, np.zeros(len(lengths)), {}
+    for _ in range(rounds):
+        times = price(lengths, weights, counts, size)
+        on = np.flatnonzero(times)
+        step = float((counts[on] / times[on]).min())
+        share = step * times[on] / counts[on]
+        cover[on] += share
+        weights[on] *= 1 - rate * share
+        weights /= weights.max()
+        key = tuple(times.tolist())
+        used[key] = used.get(key, 0.0) + step
+    mean = float((cover * counts * lengths).sum() / (counts * lengths).sum())
+    return {k: n / mean for k, n in used.items()}
+
+
+def solve(histogram: dict[int, int], size: int = SIZE, rounds: int = 120, classes: int = 256) -> list[tuple[tuple[int, ...], int]]:
     """[(lengths in a sequence, how many such sequences)], each piece once.
 
-    Sequences that one piece fills are set aside first. Multiplicative weights on the rest: each round prices a
-    pattern, uses it as often as its scarcest length allows a share of, and shrinks the weights of what it covers.
+    Sequences that one piece fills are set aside first. The linear program is over at most `classes` classes of
+    neighbouring lengths with about as many pieces each; a class counts as its longest. Its patterns are rounded down to
+    whole sequences, whose slots but the shortest take the longest pieces of their class. Best fit closes them, so that
+    what a class is shorter than its longest is not lost, and deals out all other pieces.
     """
-    left = {k: int(v) for k, v in histogram.items() if v > 0}
+    left = {int(k): int(v) for k, v in histogram.items() if v > 0}
     plan: list[tuple[tuple[int, ...], int]] = []
     if left.get(size):
         plan.append(((size,), left.pop(size)))
     if not left:
         return plan
-    lengths = np.array(sorted(left), dtype=np.int64)
-    counts = np.array([left[int(n)] for n in lengths], dtype=np.float64)
-    cover = np.zeros(len(lengths))
-    weights = lengths / size
-    used: list[tuple[dict[int, int], float]] = []
-    for _ in range(rounds):
-        pattern = price(lengths, weights, counts, size)
-        keys = np.fromiter(pattern, dtype=np.int64)
-        times = np.fromiter(pattern.values(), dtype=np.float64)
-        step = float((counts[keys] / times).min())
-        used.append((pattern, step))
-        rate = np.zeros(len(lengths))
-        rate[keys] = step * times / counts[keys]
-        cover += rate
-        weights = weights * (1 - 0.5 * rate)
-    top = cover.max()
-    for pattern, amount in used:
-        keys = list(pattern)
-        whole = min([int(amount / max(top, 1)), *(int(left[int(lengths[k])]) // pattern[k] for k in keys)])
-        if whole > 0:
-            plan.append((tuple(int(lengths[k]) for k in sorted(keys, reverse=True) for _ in range(pattern[k])), whole))
-            for k in keys:
-                left[int(lengths[k])] -= whole * pattern[k]
-    return plan + best_fit(left, size)
-
-
-def best_fit(left: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
+    known = sorted(left)
+    before = np.cumsum([left[n] for n in known]) - 1
+    group = np.arange(len(known)) if len(known) <= classes else np.unique(before * classes // (before[-1] + 1), return_inverse=True)[1]
+    stock: list[list[list[int]]] = [[] for _ in range(group[-1] + 1)]  # of each class [length, pieces], the longest last
+    for length, k in zip(known, group):
+        stock[k].append([length, left[length]])
+    lengths, counts = np.array([rows[-1][0] for rows in stock]), np.array([sum(n for _, n in rows) for rows in stock])
+    started: list[tuple[tuple[int, ...], int]] = []
+    patterns = fractional(lengths, counts, size, rounds)
+    for times, amount in sorted(patterns.items(), key=lambda x: (-x[1], x[0])):
+        whole = min([int(amount), *(int(counts[k]) // n for k, n in enumerate(times) if n)])
+        counts = counts - whole * np.array(times)
+        slots = [k for k, n in enumerate(times) for _ in range(n)][:0:-1]  # the longest first, without the shortest
+        while whole and slots:
+            n, pattern = whole, []
+            for k in slots:
+                length, have = stock[k][-1]
+                n = min(n, have)
+                pattern.append((k, length, n))
+                _take(stock[k], n)
+            for k, length, taken in reversed(pattern):  # back what a scarcer slot behind it left over
+                _return(stock[k], length, taken - n)
+            started.append((tuple(x for _, x, _ in pattern), n))
+            whole -= n
+    rest = {length: n for rows in stock for length, n in rows}
+    return plan + best_fit(rest, size, started)
+
+
+def _take(rows: list[list[int]], n: int) -> None:
+    rows[-1][1] -= n
+    if not rows[-1][1]:
+        rows.pop()
+
+
+def _return(rows: list[list[int]], length: int, n: int) -> None:
+    if n and rows and rows[-1][0] == length:
+        rows[-1][1] += n
+    elif n:
+        rows.append([length, n])
+
+
+def best_fit(left: dict[int, int], size: int, started: list[tuple[tuple[int, ...], int]] = ()) -> list[tuple[tuple[int, ...], int]]:
     """Longest first, each into the fullest open sequences that have room; equal open sequences move together."""
     open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     room = np.zeros(size + 1, dtype=np.int64)
@@ -172,11 +215,12 @@ def best_fit(left: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int
             open_.setdefault(free, []).append((pattern, n))
             room[free] += n
 
+    for pattern, n in started:
+        put(size - sum(pattern), pattern, n)
     for length in sorted((k for k, v in left.items() if v > 0), reverse=True):
         n = left[length]
-        free = length
         while n:
-            at = np.flatnonzero(room[free:])
+            at = np.flatnonzero(room[length:])
             if not len(at):
                 per = size // length
                 if n >= per:
@@ -184,7 +228,7 @@ def best_fit(left: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int
                 if n % per:
                     put(size - n % per * length, (length,) * (n % per), 1)
                 break
-            free += int(at[0])
+            free = length + int(at[0])
             pattern, have = open_[free].pop()
             each = min(free // length, max(1, n // have))
             take = min(have, n // each)
