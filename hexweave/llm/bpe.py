@@ -219,5 +219,5 @@ def decode_ids(encoded: DataFrame, path: str, keep: list[str]) -> DataFrame:
     rows = cut(rows)
     placed = rows.select("_row", F.posexplode("ids").alias("_at", "id")).join(F.broadcast(table), "id")
     hexed = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("_at", F.hex("piece").alias("h")))), lambda x: x.h))
-    texts = placed.groupBy("_row").agg(F.decode(F.unhex(hexed), F.lit("UTF-8")).alias("text"))
+    texts = placed.groupBy("_row").agg(F.decode(F.unhex(hexed), "UTF-8").alias("text"))
     return rows.join(texts, "_row", "left").select(*keep, F.coalesce("text", F.lit("")).alias("text"))
