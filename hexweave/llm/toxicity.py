@@ -25,7 +25,7 @@ from hexweave.llm.text import Texts, chunks
 PER_CLASS = 1500
 BITS = 20
 PREFIXES = (4, 5, 6)
-KEPT_TERMS = 4096
+KEPT_TERMS = 512
 RANK = 8
 LEAST_TEXTS = 4
 _U = np.uint64
@@ -82,7 +82,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[l
 
     got = labelled_sample(docs, labels, "toxic", per_class).mapInArrow(run, "slots array<int>, y int").toArrow()
     rows, y = [np.asarray(x.values) for x in got.column("slots")], np.asarray(got.column("y"))
-    order = sorted(range(len(y)), key=lambda i: (len(rows[i]), int(rows[i].sum()) if len(rows[i]) else 0))
+    order = sorted(range(len(y)), key=lambda i: (len(rows[i]), rows[i].tobytes(), y[i]))  # by content
     return [rows[i] for i in order], y[order] if len(y) else y
 
 
