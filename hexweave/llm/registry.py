@@ -8,12 +8,12 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hexweave.llm import bpe, langid, lattice, licenses, minhash, packing, quality, rules, toxicity, warc
+from hexweave.llm import bpe, langid, lattice, licenses, minhash, oracles, packing, quality, rules, toxicity, warc
 from hexweave.llm.tables import table
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"))
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()

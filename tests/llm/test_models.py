@@ -1,0 +1,129 @@
+"""Operators 3, 4, 5 and 10: held-out accuracy, what may not reach a score, odd tables."""
+
+import brute
+import numpy as np
+import pytest
+
+from hexweave.llm import features, langid, quality, rules, text, toxicity
+from hexweave.llm.tables import fold
+
+SF = "/root/testdata/sf0.1"
+
+
+@pytest.fixture(scope="module")
+def large(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+
+
+def _held_out(rows, labels, column):
+    """(balanced accuracy, rows) of a query's result over the labelled rows of the held-out fold."""
+    known = {r.doc_id: r[column] for r in labels.collect() if r[column] is not None}
+    own = [(r.predicted, known[r.doc_id]) for r in rows if r.held_out and r.doc_id in known]
+    shares = [np.mean([p == y for p, y in own if y == k]) for k in (0, 1)]
+    return float(np.mean(shares)), len(own)
+
+
+def test_toxicity(large):
+    docs, labels = large
+    rows = toxicity.toxicity(docs, labels).collect()
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == (brute.crc(r.doc_id, 5) == 0) for r in rows)
+    accuracy, n = _held_out(rows, labels, "toxic")
+    assert n > 200 and accuracy > 0.85, (accuracy, n)
+
+
+def test_toxic_pairs_count(spark):
+    """An insult or a group alone is clean, both together are toxic: only pairs tell."""
+    filler = "the river runs past old mills and quiet fields where people rest".split()
+    rng = np.random.default_rng(2)
+    docs, labels = [], []
+    for i in range(1500):
+        a, b = rng.integers(0, 2, 2)
+        words = [*rng.choice(filler, 8), *["fools"] * a, *["northerners"] * b]
+        docs.append((i, " ".join(rng.permutation(words))))
+        labels.append((i, None, int(a & b)))
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    accuracy, _ = _held_out(toxicity.toxicity(d, y).collect(), y, "toxic")
+    assert accuracy > 0.95
+
+
+def test_quality(large):
+    docs, labels = large
+    rows = quality.quality(docs, labels).collect()
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    accuracy, n = _held_out(rows, labels, "quality")
+    assert n > 200 and accuracy > 0.85, (accuracy, n)
+
+
+def test_quality_rules_keep_good_rows(large):
+    docs, labels = large
+    rows = rules.quality_rules(docs, labels).collect()
+    known = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    good = [r for r in rows if brute.crc(r.doc_id, 5) == 0 and known.get(r.doc_id) == 1 and not r.base_failed]
+    bad = [r for r in rows if brute.crc(r.doc_id, 5) == 0 and known.get(r.doc_id) == 0]
+    assert np.mean([r.kept for r in good]) > 0.95 and np.mean([not r.kept for r in bad]) > 0.7
+
+
+def test_language(large):
+    docs, _ = large
+    rows = langid.language(docs).collect()
+    known = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    assert all(r.held_out == (brute.crc(r.doc_id, 4) == 2) and 0 <= r.score <= 1 for r in rows)
+    own = [r for r in rows if r.held_out and known[r.doc_id] is not None and r.lang_pred != "und"]
+    assert np.mean([r.lang_pred == known[r.doc_id] for r in own]) > 0.95
+
+
+def test_words_then_shorter_and_shorter_grams():
+    """A known word by itself, an unseen one by its longest known n-grams."""
+    column = text.pa.array(["the bread upon the table the bread", "der hund und der hund im wald"])
+    words = [[t.terms.lower] for _, t in text.chunks(column, 1)]
+    grams = {n: [[langid.ngrams(t, t.terms.starts, t.terms.ends, n)[0]] for _, t in text.chunks(column, 1)] for n in langid.ORDERS}
+    model = langid.Model(["de", "en"][::-1], langid.Table.fit([w[0] for w in words], 2), {n: langid.Table.fit([g[0] for g in grams[n]], 1) for n in langid.ORDERS})
+    (_, t), = text.chunks(text.pa.array(["bread the", "hundert waldig", "12 34", ""]))
+    langs, score = model.score(t)
+    assert langs == ["en", "de", "und", "und"] and (score[:2] > 0.5).all() and (score[2:] == 0).all()
+
+
+def test_languages_without_letters(odd):
+    got = {r.doc_id: r for r in langid.language(odd).collect()}
+    assert all((got[i].lang_pred, got[i].score) == ("und", 0.0) for i in (1, 2, 3, 9))
+    assert all(got[i].lang_pred in ("en", "de") for i in (4, 5, 6, 7, 8, 10))
+
+
+@pytest.mark.parametrize("run", [toxicity.toxicity, quality.quality, rules.quality_rules])
+def test_labels_and_ids_are_no_inputs(documents, labels, run):
+    """Equal texts get equal scores whatever stands beside them."""
+    score = "p_quality" if run is rules.quality_rules else "score"
+    seen = {}
+    for a, b in zip(sorted(documents.select("doc_id", "text").collect()), sorted(run(documents, labels).collect(), key=lambda r: r.doc_id)):
+        assert a.doc_id == b.doc_id and abs(seen.setdefault(a.text or "", b[score]) - b[score]) < 1e-6
+
+
+@pytest.mark.parametrize("run", [toxicity.toxicity, quality.quality, rules.quality_rules])
+def test_odd_tables(spark, odd, empty, labels, run):
+    none = labels.limit(0)
+    assert len(run(odd, none).collect()) == 10
+    assert run(empty, labels).count() == 0
+    null = spark.createDataFrame([(None, 1, None), (4, None, None), (5, 7, 7)], labels.schema)
+    assert len(run(odd.unionByName(odd), null).collect()) == 20
+
+
+def test_models_do_not_depend_on_the_deal(documents, labels):
+    a, b = (rules.fit(d, labels) for d in (documents.repartition(1), documents.repartition(7, "source")))
+    assert np.array_equal(a.weights, b.weights)
+    assert np.array_equal(*[toxicity.fit(d, labels).weights for d in (documents.repartition(1), documents.repartition(7, "source"))])
+
+
+def test_fold(spark):
+    rows = spark.range(200).select("id", fold("id", 5).alias("f")).collect()
+    assert all(r.f == brute.crc(r.id, 5) for r in rows)
+
+
+def test_places_stay_inside_texts():
+    column = text.pa.array(["ab cd", "", None, "ef gh ij", "k"])
+    for _, t in text.chunks(column):
+        for family in features.FAMILIES:
+            slots, first = features.places(t, family)
+            assert first[-1] == len(slots)
+            for i, own in enumerate(column.to_pylist()):
+                (_, alone), = text.chunks(text.pa.array([own or ""]))
+                assert list(features.places(alone, family)[0]) == list(slots[first[i] : first[i + 1]])

@@ -1,0 +1,118 @@
+"""Operators 2, 4 and 9: against the tokenizers library and plain counts."""
+
+import hashlib
+
+import brute
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from hexweave.llm import bpe, packing, rules
+
+BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+TEXTS = [
+    None, "", " ", "\n", "a", " a", "a ", "a  b", "a\n\nb", "a \n b\t\tc", "it's  we'll", "x<|endoftext|>y", "  <|endoftext|>  z", "日本 語　x", "é́   q r",
+    "\x1c\x1d a\x1eb", "tab\tend\t", "\r\nline\r\n", "\x85next\x85 ", "emoji 👩‍👩‍👧 ok", "0" * 300, "word " * 5000, " sep ", "mixed　　wide", "trail \n", "\x00nul \x7f",
+]
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+
+
+def _library(path):
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
+LIBRARY = _library(BYTES)
+
+
+def _expected(text):
+    t = LIBRARY
+    ids = t.encode(text or "", add_special_tokens=False).ids
+    return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("head", [5, bpe.HEAD])
+def test_encoding_is_the_librarys(spark, texts, head):
+    got = {r.doc_id: tuple(r)[1:] for r in bpe.encode_documents(texts, BYTES, ["doc_id"], head).collect()}
+    for i, text in enumerate(TEXTS):
+        assert got[i] == _expected(text), repr(text)
+
+
+def test_encoding_of_documents(documents):
+    got = {r.doc_id: tuple(r)[1:] for r in bpe.encode_documents(documents, BYTES, ["doc_id"]).collect()}
+    rows = documents.select("doc_id", "text").collect()
+    assert len(got) == len(rows) and all(got[r.doc_id] == _expected(r.text) for r in rows)
+
+
+def test_decoding_by_joins(texts):
+    got = {r.doc_id: r.text for r in bpe.decode_ids(bpe.encode_ids(texts, BYTES, ["doc_id"]), BYTES, ["doc_id"]).collect()}
+    assert got == {i: t or "" for i, t in enumerate(TEXTS)}
+
+
+def test_bpe_of_odd_and_empty_tables(odd, empty):
+    got = {r.doc_id: r for r in bpe.encode_documents(odd, BYTES, ["doc_id", "part"]).collect()}
+    assert got[1].n_tokens == got[2].n_tokens == 0 and got[4].ids_sha256 == got[5].ids_sha256 and got[6].part == "other"
+    assert bpe.encode_documents(empty, BYTES, ["doc_id"]).count() == 0
+
+
+def test_counts(documents, texts, odd):
+    for docs in (documents, texts, odd):
+        want = {r.doc_id: brute.counts(r.text) for r in docs.select("doc_id", "text").collect()}
+        for r in rules.judge(docs, ["doc_id"], None).collect():
+            n = want[r.doc_id]
+            assert tuple(r[c] for c in rules.COUNTS) == n
+            assert r.base_failed == (n[0] < 20 or 100 * n[4] > 30 * n[0]) and r.kept == (not r.base_failed)
+
+
+def test_rules_of_an_empty_table(empty, labels):
+    assert rules.quality_rules(empty, labels).count() == 0
+
+
+def _pack(docs):
+    rows = packing.pack(docs, WORDS).collect()
+    return rows, *brute.check_places(rows)
+
+
+def test_packing_of_documents(documents):
+    rows, sequences, tokens = _pack(documents)
+    t = _library(WORDS)
+    want = {(r.doc_id, *p) for r in documents.select("doc_id", "text").collect() for p in brute.packed_pieces(r.text, t)}
+    assert {tuple(r)[:5] for r in rows} == want and len(rows) == len(want)
+    assert sequences <= 1.02 * -(-tokens // 4096) + 1
+
+
+def test_packing_of_odd_texts(spark, texts, odd, empty):
+    t = _library(WORDS)
+    for docs in (texts, odd):
+        rows, _, _ = _pack(docs)
+        assert {tuple(r)[:5] for r in rows} == {(r.doc_id, *p) for r in docs.select("doc_id", "text").collect() for p in brute.packed_pieces(r.text, t)}
+    assert packing.pack(empty, WORDS).count() == 0
+
+
+def test_repeated_rows_are_packed_each(odd):
+    rows, _, _ = _pack(odd.unionByName(odd))
+    assert len(rows) == 2 * len(_pack(odd)[0])
+
+
+def test_packing_against_volume_bounds():
+    rng = np.random.default_rng(3)
+    for sizes in (rng.integers(1, 200, 5000), rng.integers(1300, 1366, 3001), rng.integers(2000, 2100, 999), np.full(777, 1365), rng.geometric(0.002, 4000).clip(1, 4096)):
+        histogram = dict(zip(*map(list, np.unique(sizes, return_counts=True))))
+        plan = packing.solve(histogram)
+        back = {}
+        for pattern, n in plan:
+            assert sum(pattern) <= 4096 and n > 0
+            for length in pattern:
+                back[length] = back.get(length, 0) + n
+        assert back == histogram
+        large = int((sizes > 2048).sum())  # no two of these share a sequence
+        per = 4096 // int(sizes.min())
+        bound = max(-(-int(sizes.sum()) // 4096), large, -(-len(sizes) // per))
+        assert sum(n for _, n in plan) <= 1.06 * bound + 2
