@@ -9,6 +9,7 @@ equal words has one slot whatever the word).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,7 +89,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     s, v = ([np.asarray(x.values) for x in got.column(c)] for c in ("slots", "shares"))
     y = np.asarray(got.column("y"))
     # By content, so that the model does not depend on how the rows were dealt to tasks.
-    order = sorted(range(len(y)), key=lambda i: (len(s[i]), s[i].tobytes(), v[i].tobytes(), y[i]))
+    order = sorted(range(len(y)), key=lambda i: (len(s[i]), hashlib.sha1(s[i].tobytes() + v[i].tobytes()).digest(), y[i]))
     return [s[i] for i in order], [v[i] for i in order], y[order]
 
 

@@ -10,19 +10,23 @@ Rows whose `lang` is null teach nothing; without any that does, every text is `u
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexweave.llm.tables import fold, map_texts
-from hexweave.llm.text import Texts, chunks, mix, text_sums
+from hexweave.llm.text import Texts, chunks, mix, of_text, text_sums
 
 #: Labelled rows that the model is fitted on, in an order by hash; about 10 MB of text.
 SAMPLE = 3000
 ORDERS = (5, 4, 3, 2, 1)
 SLOTS = 1 << 18
+#: How often the sample has a term or an n-gram of two bytes and more that is known.
+LEAST_TIMES = 2
 UND = "und"
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -41,22 +45,14 @@ class Table:
         return slot, self.keys[slot] == h
 
     @classmethod
-    def fit(cls, hashes: list[np.ndarray], least: int) -> "Table":
-        keys, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-        counts = np.zeros((len(keys), len(hashes)))
-        at = 0
-        for k, h in enumerate(hashes):
-            counts[:, k] = np.bincount(inverse[at : at + len(h)], minlength=len(keys))
-            at += len(h)
-        known = counts.sum(1) >= least
-        keys, counts = keys[known], counts[known]
-        total = counts.sum(0)
-        logs = np.log((counts + 0.5) / (total + 0.5 * max(1, len(keys))))
-        order = np.argsort(counts.sum(1), kind="stable")  # the most frequent is written last
+    def of(cls, keys: np.ndarray, counts: np.ndarray) -> "Table":
+        """From distinct hashes and how often each language has them (a column a language)."""
+        logs = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * max(1, len(keys))))
+        order = np.lexsort((keys, counts.sum(1)))[::-1]  # the most frequent first
         slot = (keys >> _U(40)).astype(np.int64) & (SLOTS - 1)
-        out = cls(np.zeros(SLOTS, _U), np.zeros((SLOTS, len(hashes)), np.float32))
-        out.keys[slot[order]] = keys[order]
-        out.logs[slot[order]] = logs[order]
+        held, first = np.unique(slot[order], return_index=True)
+        out = cls(np.zeros(SLOTS, _U), np.zeros((SLOTS, counts.shape[1]), np.float32))
+        out.keys[held], out.logs[held] = keys[order[first]], logs[order[first]]
         return out
 
 
@@ -101,25 +97,48 @@ class Model:
         return [self.langs[k] if ok else UND for k, ok in zip(best, lettered)], np.where(lettered, p[np.arange(len(p)), best], 0.0)
 
 
+def counted(texts: Texts) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """{order: (hash, index of its text)}; order 0 has the terms, the others n-grams of each text's distinct terms.
+
+    Frequent words are known anyway, so their repeats need not weigh on the n-grams.
+    """
+    terms = texts.terms
+    out = {0: (terms.lower, terms.doc)}
+    distinct = np.unique(of_text(terms.lower, terms.doc), return_index=True)[1]
+    for n in ORDERS:
+        h, of = ngrams(texts, terms.starts[distinct], terms.ends[distinct], n)
+        out[n] = h, terms.doc[distinct[of]]
+    return out
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """From at most `sample` labelled rows outside the held-out fold, in an order by hash."""
+    """From at most `sample` labelled rows outside the held-out fold, in an order by hash.
+
+    Tasks count; the driver gets a row for each hash that occurs often enough.
+    """
     known = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 4) != 2))
     ids = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = known.join(F.broadcast(ids), "doc_id").select("lang", "text").toArrow()
-    langs = sorted(set(rows.column("lang").to_pylist()))
+    rows = known.join(F.broadcast(ids), "doc_id").select("lang", "text")
+    langs = sorted(r.lang for r in rows.select("lang").distinct().collect())
     if not langs:
         return None
-    words: list[list] = [[] for _ in langs]
-    grams: dict[int, list[list]] = {n: [[] for _ in langs] for n in ORDERS}
-    own = np.array(rows.column("lang").to_pylist())
-    for k, lang in enumerate(langs):
-        for _, texts in chunks(rows.column("text").filter(own == lang)):
-            words[k].append(texts.terms.lower)
-            distinct = np.unique(texts.terms.lower, return_index=True)[1]  # n-grams of distinct terms: frequent words are known anyway
-            for n in ORDERS:
-                grams[n][k].append(ngrams(texts, texts.terms.starts[distinct], texts.terms.ends[distinct], n)[0])
-    join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, _U)
-    return Model(langs, Table.fit([join(x) for x in words], 2), {n: Table.fit([join(x) for x in grams[n]], 2 if n > 1 else 1) for n in ORDERS})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = np.array([langs.index(x) for x in b.column(0).to_pylist()], dtype=_U)
+            for lo, texts in chunks(b.column(1)):
+                for n, (h, of) in counted(texts).items():
+                    for k in np.unique(own[lo : lo + texts.n]):
+                        keys, times = np.unique(h[own[lo + of] == k], return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), n, np.int32)), pa.array(np.full(len(keys), int(k), np.int32)), pa.array(keys.view(np.int64)), pa.array(times)], names=["n", "k", "h", "times"])
+
+    each = [F.sum(F.when(F.col("k") == k, F.col("times")).otherwise(0)).alias(f"c{k}") for k in range(len(langs))]
+    counts = rows.mapInArrow(count, "n int, k int, h long, times long").groupBy("n", "h").agg(*each)
+    got = counts.filter((F.col("n") == 1) | (sum(F.col(f"c{k}") for k in range(len(langs))) >= LEAST_TIMES)).toArrow()
+    order, keys = got.column("n").to_numpy(), got.column("h").to_numpy().view(_U)
+    by_lang = np.stack([got.column(f"c{k}").to_numpy() for k in range(len(langs))], axis=1)
+    tables = {n: Table.of(keys[order == n], by_lang[order == n]) for n in (0, *ORDERS)}
+    return Model(langs, tables.pop(0), tables)
 
 
 def identify(docs: DataFrame, keep: list[str], model: Model | None) -> DataFrame:

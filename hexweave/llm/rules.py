@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from hexweave.llm.features import FAMILIES, SLOTS, calibrate, linear, sigmoid, training_rows
 from hexweave.llm.tables import map_texts
-from hexweave.llm.text import Texts, mix, windows
+from hexweave.llm.text import Texts, of_text, windows
 
 #: Labelled rows of each kind that the model is fitted on at most.
 PER_CLASS = 600
@@ -44,10 +44,10 @@ def counts(texts: Texts) -> dict[str, np.ndarray]:
     words = texts.words
     chars = texts.per_text(words.inside & ((texts.data & 0xC0) != 0x80))
     lines = texts.lines()
-    key = mix(lines.raw + mix(lines.doc.astype(np.uint64)))
+    key = of_text(lines.raw, lines.doc)
     distinct = np.bincount(lines.doc[np.unique(key, return_index=True)[1]], minlength=texts.n)
     h, at = windows(words.raw, words.first, WINDOW)
-    key = mix(h + mix(words.doc[at].astype(np.uint64) + np.uint64(1)))
+    key = of_text(h, words.doc[at])
     hit = at[_repeated(key)]
     edge = np.zeros(len(words.starts) + WINDOW + 1, np.int64)
     np.add.at(edge, hit, 1)

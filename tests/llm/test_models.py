@@ -72,12 +72,11 @@ def test_language(large):
     assert np.mean([r.lang_pred == known[r.doc_id] for r in own]) > 0.95
 
 
-def test_words_then_shorter_and_shorter_grams():
+def test_words_then_shorter_and_shorter_grams(spark):
     """A known word by itself, an unseen one by its longest known n-grams."""
-    column = text.pa.array(["the bread upon the table the bread", "der hund und der hund im wald"])
-    words = [[t.terms.lower] for _, t in text.chunks(column, 1)]
-    grams = {n: [[langid.ngrams(t, t.terms.starts, t.terms.ends, n)[0]] for _, t in text.chunks(column, 1)] for n in langid.ORDERS}
-    model = langid.Model(["de", "en"][::-1], langid.Table.fit([w[0] for w in words], 2), {n: langid.Table.fit([g[0] for g in grams[n]], 1) for n in langid.ORDERS})
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the bread upon the table the bread", "en"), ("der hund und der hund im wald", "de")] * 8)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["de", "en"]
     (_, t), = text.chunks(text.pa.array(["bread the", "hundert waldig", "12 34", ""]))
     langs, score = model.score(t)
     assert langs == ["en", "de", "und", "und"] and (score[:2] > 0.5).all() and (score[2:] == 0).all()
@@ -110,6 +109,8 @@ def test_odd_tables(spark, odd, empty, labels, run):
 def test_models_do_not_depend_on_the_deal(documents, labels):
     a, b = (rules.fit(d, labels) for d in (documents.repartition(1), documents.repartition(7, "source")))
     assert np.array_equal(a.weights, b.weights)
+    a, b = (langid.fit(d) for d in (documents.repartition(1), documents.repartition(7, "source")))
+    assert np.array_equal(a.words.logs, b.words.logs) and all(np.array_equal(a.grams[n].logs, b.grams[n].logs) for n in langid.ORDERS)
     assert np.array_equal(*[toxicity.fit(d, labels).weights for d in (documents.repartition(1), documents.repartition(7, "source"))])
 
 

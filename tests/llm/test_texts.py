@@ -71,6 +71,13 @@ def test_counts(documents, texts, odd):
             assert r.base_failed == (n[0] < 20 or 100 * n[4] > 30 * n[0]) and r.kept == (not r.base_failed)
 
 
+def test_lines_of_one_byte(spark):
+    """Each text's own lines alone are its repeats, whatever its place in a batch."""
+    rows = [(i, f"{chr(32 + i % 90)}\n{chr(33 + i % 90)}") for i in range(400)]
+    got = rules.judge(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), ["doc_id"], None).collect()
+    assert all(r.n_dup_lines == brute.counts(rows[r.doc_id][1])[3] for r in got)
+
+
 def test_rules_of_an_empty_table(empty, labels):
     assert rules.quality_rules(empty, labels).count() == 0
 
