@@ -26,44 +26,92 @@ from hexweave.storage import cut
 
 SIZE = 4096
 END_ID = 1
-#: Words that a worker remembers.
-MEMO = 300_000
+#: Words, and runs of letters, that a worker remembers.
+MEMO = 600_000
+#: Words in one call of the tokenizer.
+JOINED = 64
 _NO_UNICODE_SPACE = "\x1c\x1d\x1e\x1f"
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Versions of Unicode agree on what is a letter below this.
+_DISPUTED = "\u0250"
 
 
 class WordIds:
-    """Ids of whole texts of a tokenizer that drops white space, word by word, with a memo of bounded size."""
+    """Ids of whole texts of a tokenizer that drops white space, word by word, with memos of bounded size.
+
+    A new word is letters and then ASCII punctuation as a rule. Its parts are encoded alone then: no token of such a
+    tokenizer reaches from letters into punctuation. New runs of letters go through the tokenizer JOINED at a time with
+    spaces between; the token that ends a word tells where the next begins. Where there are not as many such tokens as
+    words, and for words of another make, each word is encoded alone.
+    """
 
     def __init__(self, path: str):
-        self.path, self.memo = path, {}
+        self.path, self.memo, self.letters = path, {}, {}
+        suffix = getattr(tokenizer(path).model, "end_of_word_suffix", None)
+        vocab = tokenizer(path).get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for token, i in vocab.items() if suffix and token.endswith(suffix)]] = True
 
     def _encode(self, words: list[str]) -> list[bytes]:
         out = []
         for lo in range(0, len(words), 4096):
-            out += [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer(self.path).encode_batch(words[lo : lo + 4096], add_special_tokens=False)]
+            out += [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer(self.path).encode_batch_fast(words[lo : lo + 4096], add_special_tokens=False)]
+        return out
+
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        out = []
+        groups = [words[lo : lo + JOINED] for lo in range(0, len(words), JOINED)]
+        for own, e in zip(groups, tokenizer(self.path).encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+            if len(ends) == len(own) and ends[-1] == 4 * len(ids):
+                raw = ids.tobytes()
+                out += [raw[lo:hi] for lo, hi in zip([0, *ends], ends)]
+            else:
+                out += self._encode(own)
         return out
 
+    def _new(self, words: list[str]) -> dict[str, bytes]:
+        """What the memo of words does not know."""
+        known, parts, letters, whole = self.letters, {}, {}, {}
+        for w in words:
+            core = w.rstrip(_PUNCTUATION)
+            if core.isalpha() and (core == w or core[-1] < _DISPUTED):
+                parts[w] = core, w[len(core) :]
+                if core not in known:
+                    letters[core] = b""
+                whole[parts[w][1]] = b""
+            else:
+                whole[w] = b""
+        letters = dict(zip(letters, self._encode_letters(list(letters))))
+        whole = dict(zip(whole, self._encode(list(whole))))
+        for w, (core, tail) in parts.items():
+            whole[w] = (letters.get(core) or known[core]) + whole[tail]
+        _remember(known, letters)
+        return whole
+
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
         memo, found, missing = self.memo, [], {}
         for text in texts:
             text = text or ""
             words = [text] if any(c in text for c in _NO_UNICODE_SPACE) else text.split()
-            got = [memo.get(w) for w in words]
+            got = list(map(memo.get, words))
             holes = [(i, words[i]) for i, g in enumerate(got) if g is None] if None in got else ()
             for _, w in holes:
                 missing[w] = b""
             found.append((got, holes))
-        words = list(missing)
-        missing = dict(zip(words, self._encode(words)))
+        new = self._new(list(missing))
         for got, holes in found:
             for i, w in holes:
-                got[i] = missing[w]
+                got[i] = new[w]
             yield b"".join(got)
-        room = MEMO - len(memo)
-        if room > 0:
-            for w in words[:room]:
-                if len(w) <= 64:
-                    memo[w] = missing[w]
+        _remember(memo, {w: new[w] for w in missing})
+
+
+def _remember(memo: dict[str, bytes], new: dict[str, bytes]) -> None:
+    for w in list(new)[: max(0, MEMO - len(memo))]:
+        if len(w) <= 64:
+            memo[w] = new[w]
 
 
 _encoders: dict[str, WordIds] = {}
