@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hexweave.llm.graph import components
-from hexweave.llm.tables import map_texts
+from hexweave.llm.tables import cut_texts, map_texts
 from hexweave.llm.text import Texts, chunks, mix, windows
 from hexweave.storage import cut
 
@@ -147,7 +147,7 @@ def _stars(members: DataFrame, centres: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row."""
-    sketch = cut(sketches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
+    sketch = cut_texts(sketches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
     classes = cut(sketch.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("of"), F.count("*").alias("copies")))
     alone = classes.select(F.col("of").alias("doc_id"), "set_key")
     bands = cut(
@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         size = members.select("doc_id", "n_shingles").distinct()
         fits = star.join(size.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a")), "a").join(size.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b")), "b")
         fits = cut(fits.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b"))
-        found = cut(confirm(fits, texts, percent))
+        found = cut_texts(confirm(fits, texts, percent))
         links = found if links is None else cut(links.unionByName(found))
         labels = components(links)
         centres *= 4

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hexweave.llm.text import chunks
+from hexweave.storage import cut
+
+#: Rows of texts, or of pairs of texts, that go to Python at a time.
+TEXT_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +47,17 @@ def map_texts(
     return rows.mapInArrow(run, f"{kept}, {schema}" if kept else schema)
 
 
+def cut_texts(df: DataFrame, rows: int = TEXT_ROWS) -> DataFrame:
+    """cut(df) where texts go to Python: in batches of at most `rows` rows, which bounds what both sides hold of them."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = conf.get(key)
+    conf.set(key, rows)
+    try:
+        return cut(df)
+    finally:
+        conf.set(key, was)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, parts: int = 5, held_out: int = 0) -> DataFrame:
     """(text, y): at most `per_class` rows of each label, from rows outside the held-out fold, in an order by hash.
 
