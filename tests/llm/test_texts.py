@@ -95,6 +95,17 @@ def test_packing_of_documents(documents):
     assert sequences <= 1.02 * -(-tokens // 4096) + 1
 
 
+@pytest.mark.parametrize("alone", [True, False])
+def test_ids_of_odd_words(alone):
+    """Letters that change under normalization, marks, digits and punctuation, with memos empty and filled."""
+    odd = ["", None, "\u00e1b's 'll", "\u0391\u03a3 \u0391\u03a3, \u03a3\u03a3'", "don't, DON'T. it's' x'", "a\u0338 <\u0338 b<\u0338", "\ufb2a \ufb31, \ufb1d", "\u65e5\u672c, \ud55c\uad6d!", "a<|endoftext|>,b", "1x\u00b2 \u00bd, \u00aa\u00ba \u02b0,", "\u0130I \u00df \ufb01", "x\x1cy z", "_a_ a_ a__", "e\u0301, \u0301,", "\U0001d49c, \U0001df00,", "Reeneau, reeneau### osga."]
+    t, own = _library(WORDS), packing.WordIds(WORDS)
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in odd]
+    for _ in range(2):
+        got = [next(own.batch([x])) for x in odd] if alone else list(own.batch(odd))
+        assert [np.frombuffer(raw, "<u4").tolist() for raw in got] == want
+
+
 def test_packing_of_odd_texts(spark, texts, odd, empty):
     t = _library(WORDS)
     for docs in (texts, odd):
