@@ -14,6 +14,8 @@ from hexweave.storage import cut
 
 #: A language less likely than this rejects a document.
 LEAST_LANGUAGE_SCORE = 0.5
+#: Near-duplicates share 80 % of their five-word shingles or more; op7's own contract is minhash.PERCENT.
+NEAR_PERCENT = 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near-duplicates."""
-    kept = cut(minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct())
+    kept = cut(minhash.near_duplicates(docs, NEAR_PERCENT).filter("kept").select("doc_id").distinct())
     return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
 
 

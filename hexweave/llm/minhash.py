@@ -1,9 +1,10 @@
 """Near-duplicate documents by one-permutation MinHash.
 
 A document's set holds the hashes of its distinct shingles of WIDTH words (A-Z in lower case; with fewer words, the
-whole sequence as one). One hash function deals the set into BANDS * ROWS bins and keeps the least of each; an empty bin
-borrows from a full one that a second hash of the bin's number picks (optimal densification). ROWS successive bins are
-a band, equal bands make a bucket. At the threshold a pair shares no bucket with a probability of some 2e-5.
+whole sequence as one). One hash function deals the set into bands * rows bins and keeps the least of each; an empty bin
+borrows from a full one that a second hash of the bin's number picks (optimal densification). `rows` successive bins are
+a band, equal bands make a bucket. `layout` chooses both for a threshold, where a pair then shares no bucket with a
+probability of some 2e-5 (MISS).
 
 Equal sets are one class first, so thousands of exact copies are one member of a bucket. A bucket's members are
 compared with its centres only: a star. After a round's links are confirmed on full sets, members that are still apart
@@ -18,6 +19,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
+from math import ceil, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -30,22 +33,29 @@ from hexweave.llm.text import Texts, chunks, mix, windows
 from hexweave.storage import cut
 
 WIDTH = 5
-ROWS = 7
-BANDS = 28
 #: Links hold where 100 * intersection >= PERCENT * union.
 PERCENT = 85
-BINS = ROWS * BANDS
+#: How likely a pair at the threshold shares no bucket, at most.
+MISS = 2e-5
 _U = np.uint64
 _ATTEMPTS = 1024
 
 
-def _picks() -> np.ndarray:
-    """Which bin an empty bin asks at each attempt."""
-    at = np.arange(BINS, dtype=_U)[:, None] * _U(1 << 32) + np.arange(_ATTEMPTS, dtype=_U)[None, :]
-    return (mix(at + _U(0x51ED2701)) % _U(BINS)).astype(np.int64)
+def layout(percent: int) -> tuple[int, int]:
+    """(rows, bands) for a threshold: fewer rows below 85, and bands enough for MISS."""
+    rows = 7 if percent >= 85 else 6 if percent >= 75 else 4
+    shared = (percent / 100) ** rows
+    return rows, ceil(log(MISS) / log1p(-shared)) if shared < 1 else 1
+
 
+ROWS, BANDS = layout(PERCENT)
 
-_PICKS = _picks()
+
+@cache
+def _picks(bins: int) -> np.ndarray:
+    """Which bin an empty bin asks at each attempt."""
+    at = np.arange(bins, dtype=_U)[:, None] * _U(1 << 32) + np.arange(_ATTEMPTS, dtype=_U)[None, :]
+    return (mix(at + _U(0x51ED2701)) % _U(bins)).astype(np.int64)
 
 
 def shingle_sets(texts: Texts, width: int = WIDTH) -> list[np.ndarray]:
@@ -63,34 +73,36 @@ def shingle_sets(texts: Texts, width: int = WIDTH) -> list[np.ndarray]:
     return out
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray, n_bins: int = ROWS * BANDS) -> np.ndarray:
     """The least shingle of each bin, empty bins filled; shingles are sorted, and bins are ranges of them."""
-    bins = ((shingles >> _U(32)) * _U(BINS) >> _U(32)).astype(np.int64)
+    picks = _picks(n_bins)
+    bins = ((shingles >> _U(32)) * _U(n_bins) >> _U(32)).astype(np.int64)
     full, at = np.unique(bins, return_index=True)
-    out = np.zeros(BINS, _U)
+    out = np.zeros(n_bins, _U)
     out[full] = shingles[at]
-    have = np.zeros(BINS, bool)
+    have = np.zeros(n_bins, bool)
     have[full] = True
     empty = np.flatnonzero(~have)
     for lo, hi in ((0, 32), (32, 256), (256, _ATTEMPTS)):
         if not len(empty):
             break
-        hit = have[_PICKS[empty, lo:hi]]
+        hit = have[picks[empty, lo:hi]]
         got = hit.any(1)
         own = empty[got]
-        out[own] = out[_PICKS[own, lo + hit[got].argmax(1)]]
+        out[own] = out[picks[own, lo + hit[got].argmax(1)]]
         empty = empty[~got]
     if len(empty):  # no full bin among the attempts: the next full one
         out[empty] = out[full[np.searchsorted(full, empty) % len(full)]]
     return out
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands) of each row."""
+def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, set_key, bands) of each row, bands for a threshold."""
+    n_rows, n_bands = layout(percent)
 
     def kernel(texts: Texts) -> dict:
         n, keys, bands = [], [], []
-        salt = np.arange(1, BANDS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)
+        salt = np.arange(1, n_bands + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)
         for own in shingle_sets(texts):
             n.append(len(own))
             if not len(own):
@@ -98,9 +110,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                 bands.append([])
                 continue
             keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-            rows = signature(own).reshape(BANDS, ROWS)
+            rows = signature(own, n_rows * n_bands).reshape(n_bands, n_rows)
             h = salt.copy()
-            for j in range(ROWS):
+            for j in range(n_rows):
                 h = mix(h + rows[:, j]) * _U(0xD6E8FEB86659FD93)
             bands.append(h.view(np.int64))
         return {"n_shingles": np.array(n, np.int64), "set_key": pa.array(keys, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))}
@@ -147,7 +159,7 @@ def _stars(members: DataFrame, centres: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row."""
-    sketch = cut_texts(sketches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
+    sketch = cut_texts(sketches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), percent))
     classes = cut(sketch.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("of"), F.count("*").alias("copies")))
     alone = classes.select(F.col("of").alias("doc_id"), "set_key")
     bands = cut(

@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from oracle import assert_same  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from hexweave.llm import registry  # noqa: E402
+from hexweave.llm import minhash, registry  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 
@@ -59,3 +59,28 @@ def test_sql(spark, name):
 
 def test_names():
     assert sorted(n.split("_")[0] for n in registry.queries()) == sorted([*(f"op{i}" for i in range(1, 11)), "pipeline"])
+
+
+def test_near_duplicate_threshold(spark):
+    """Copies between 0.80 and 0.85 go too, and less similar ones stay."""
+    words = [f"w{i}" for i in range(100)]
+    changed = [" ".join("x" if i in at else w for i, w in enumerate(words)) for at in ([], [20, 60], [10, 30, 50, 70])]
+    rows = list(enumerate(changed, 1))
+    assert brute.near_documents(rows)[2][1] == 2, "below op7's own threshold"
+    part = brute.near_documents(rows, percent=80)
+    out = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert {r.doc_id for r in out.collect()} == {i for i, (_, c) in part.items() if i == c} == {1, 3}
+
+
+def test_near_duplicate_stage_of_documents(spark, documents):
+    rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
+    part = brute.near_documents(rows, percent=80)
+    out = corpus_pipeline.near_duplicate_stage(spark, documents, SF)
+    assert {r.doc_id for r in out.select("doc_id").collect()} == {i for i, (_, c) in part.items() if i == c}
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 95])
+def test_band_layout(percent):
+    rows, bands = minhash.layout(percent)
+    assert (1 - (percent / 100) ** rows) ** bands <= minhash.MISS
+    assert minhash.layout(85) == (7, 28)
