@@ -8,8 +8,10 @@ probability of some 2e-5 (MISS).
 
 Equal sets are one class first, so thousands of exact copies are one member of a bucket. A bucket's members are
 compared with its centres only: a star. After a round's links are confirmed on full sets, members that are still apart
-from a bucket's centres get further centres from among themselves, four times as many each round, until no bucket
-holds parts that were not compared. Members that a star has joined are compared no further.
+from a bucket's centres get further centres from among themselves, four times as many each round: first each part's
+least document, then all members of each part but a bucket's largest. It ends when each pair of a bucket's members is
+in one part, or was compared, or is ruled out by the sizes of its sets. Members that a star has joined are compared no
+further.
 
 Documents with null or empty text, or without words, have an empty set, are linked with nothing and are kept. Rows
 that repeat a doc_id count as one document with the largest of their texts' sets; a null doc_id links with nothing.
@@ -152,8 +154,20 @@ def _stars(members: DataFrame, centres: int) -> DataFrame:
     A bucket's parts are ranked by their least document; the first `centres` parts' least documents are the centres.
     """
     parts = members.groupBy("bucket", "component").agg(F.min("doc_id").alias("centre"))
+    return _apart(members, parts.select("bucket", "centre", F.col("component").alias("own")), centres)
+
+
+def _small_parts(members: DataFrame) -> DataFrame:
+    """(bucket, centre, own): all members of each part but the bucket's largest; these as centres leave no pair out."""
+    parts = cut(members.groupBy("bucket", "component").agg(F.count("*").alias("n")))
+    largest = parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("largest")).select("bucket", F.col("largest.component").alias("component"))
+    return members.join(parts.join(largest, ["bucket", "component"], "left_anti"), ["bucket", "component"]).select("bucket", F.col("doc_id").alias("centre"), F.col("component").alias("own"))
+
+
+def _apart(members: DataFrame, candidates: DataFrame, centres: int) -> DataFrame:
+    """(a, b): the first `centres` candidates (bucket, centre, own) of each bucket, and the members of other parts."""
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy("centre"))
-    top = cut(parts.withColumn("rank", rank).filter(F.col("rank") <= centres).select("bucket", "centre", F.col("component").alias("own")))
+    top = cut(candidates.withColumn("rank", rank).filter(F.col("rank") <= centres).select("bucket", "centre", "own"))
     return members.join(top, "bucket").filter(F.col("component") != F.col("own")).select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b"))
 
 
@@ -170,7 +184,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = cut(bands.join(shared, "bucket"))
     sizes = members.select("doc_id", "n_shingles").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(cut(sizes.select("doc_id")), "doc_id", "left_semi")
-    links, tested, labels, centres = None, None, None, 1
+    links, tested, labels, centres, all_members = None, None, None, 1, False
     while True:
         placed = members.withColumn("component", F.col("doc_id"))
         if labels is not None:
@@ -180,15 +194,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             placed = cut(placed)
             mixed = cut(placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket"))
             placed = cut(placed.join(mixed, "bucket"))
-        star = _stars(placed, centres).distinct()
+        candidates = cut(_small_parts(placed)) if all_members else None
+        star = (_apart(placed, candidates, centres) if all_members else _stars(placed, centres)).distinct()
         if tested is not None:
             star = star.join(tested, ["a", "b"], "left_anti")
         star = cut(star)
         if star.isEmpty():
-            parts = 0 if links is None else placed.groupBy("bucket").agg(F.count_distinct("component").alias("n")).agg(F.max("n")).first()[0] or 0
-            if parts <= centres:
+            if links is None:
+                break
+            of = candidates.groupBy("bucket").agg(F.count("*").alias("n")) if all_members else placed.groupBy("bucket").agg(F.count_distinct("component").alias("n"))
+            most = of.agg(F.max("n")).first()[0] or 0
+            if most > centres:
+                centres *= 4
+            elif all_members or not most:
                 break
-            centres *= 4
+            else:
+                all_members = True
             continue
         tested = star if tested is None else cut(tested.unionByName(star))
         size = members.select("doc_id", "n_shingles").distinct()

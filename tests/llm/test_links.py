@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from hexweave.llm import graph, lattice, licenses, minhash
 
@@ -133,3 +134,23 @@ def test_components_of_a_long_path(spark):
     ids = [int(i) for i in rng.permutation(400)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")).collect()}
     assert set(got.values()) == {0} and len(got) == 400
+
+
+@pytest.mark.parametrize("seed", [None, 0, 1])
+def test_bridges_between_parts_of_one_bucket(spark, monkeypatch, seed):
+    """Two parts that only members other than their least link; all documents share their one bucket."""
+    made = minhash.sketches
+    one = F.when(F.size("bands") > 0, F.array(F.lit(7).cast("long"))).otherwise(F.col("bands"))
+    monkeypatch.setattr(minhash, "sketches", lambda *a: made(*a).withColumn("bands", one))
+    rng = np.random.default_rng(seed or 0)
+    rows, ids = [], [1, 2, 6, 3] if seed is None else [int(i) for i in rng.permutation(40) + 1]
+    for chain in np.split(np.array(ids), [] if seed is None else [12, 30]):
+        words = [f"c{chain[0]}w{i}" for i in range(100)]
+        for k, i in enumerate(chain):  # neighbours have 91 of 101 shingles in common, the next but one 86 of 106
+            words[5 * k % 100 if k < 20 else 5 * k % 100 + 2] = f"x{i}"
+            rows.append((int(i), " ".join(words)))
+    if seed is None:
+        rows += [(i, " ".join(f"d{i}w{k}" for k in range(100))) for i in (4, 5)]
+    got = _documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == brute.near_documents(rows)
+    assert len({c for _, c in got.values()}) == 3
