@@ -31,9 +31,17 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates."""
-    kept = cut(minhash.near_duplicates(docs, NEAR_PERCENT).filter("kept").select("doc_id").distinct())
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """One row of each group of near-duplicates: a row with the least doc_id, so exact repeats of a row stay once.
+
+    Each row is a document of its own here, also where rows repeat a doc_id: other texts under one id are no group. A
+    null doc_id and a text without words link with nothing, so their rows all stay.
+    """
+    own = next(n for n in ("row", *(f"row_{k}" for k in range(len(docs.columns)))) if n not in docs.columns)
+    known = cut(docs.filter(F.col("doc_id").isNotNull()).withColumn(own, F.monotonically_increasing_id()))
+    part = minhash.near_duplicates(known.select(F.col(own).alias("doc_id"), "text"), NEAR_PERCENT).select(F.col("doc_id").alias(own), "component_id")
+    least = known.select(own, "doc_id").join(part, own).groupBy("component_id").agg(F.min(F.struct("doc_id", own)).alias("first"))
+    kept = cut(least.select(F.col(f"first.{own}").alias(own)))
+    return known.join(kept, own, "left_semi").select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

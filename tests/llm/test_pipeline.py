@@ -84,3 +84,25 @@ def test_band_layout(percent):
     rows, bands = minhash.layout(percent)
     assert (1 - (percent / 100) ** rows) ** bands <= minhash.MISS
     assert minhash.layout(85) == (7, 28)
+
+
+def test_null_and_repeated_ids(spark):
+    """Rows with a null id stay, of exact repeats one row stays, and another text under the same id is another document."""
+    said = [" ".join(f"t{k}w{i}" for i in range(60)) for k in range(5)]
+    near = said[0].replace("t0w30", "other")
+    rows = [(None, said[3]), (None, said[4]), (None, said[3]), (7, said[0]), (7, said[0]), (7, said[1]), (9, said[2]), (3, near), (9, said[2]), (8, near)]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, row int, row_0 int").repartition(3)
+    out = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(None, said[3]), (None, said[3]), (None, said[4]), (3, near), (7, said[1]), (9, said[2])], key=str)
+
+
+def test_odd_rows_keep_their_ids(spark, documents):
+    """The kept ids of a table with nulls in each column, doc_id too."""
+    some = documents.limit(40)
+    odd = documents.orderBy(F.desc("doc_id")).limit(3).withColumn("doc_id", F.lit(None).cast("long")).withColumn("lang", F.lit(None).cast("string"))
+    both = some.unionByName(odd).unionByName(some.limit(5))
+    part = brute.near_documents([(r.doc_id, r.text) for r in some.select("doc_id", "text").collect()], percent=80)
+    got = [r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, both, SF).select("doc_id").collect()]
+    assert got.count(None) == 3 and sorted(i for i in got if i is not None) == sorted(i for i, (n, c) in part.items() if i == c)
