@@ -6,6 +6,10 @@ number of lines that hold them, in the whole corpus, rarest first: a line that m
 of its first n - ceil(THRESHOLD * n) + 1 (prefix filter) and has tokens enough (length filter), and what may still
 match after the first common token reaches the threshold (positional filter). Every line left is verified.
 
+Notices are hard-wrapped too, so runs of successive words that go across lines are blocks as well: as many words as
+SLACK times the template has, for comment marks and insertions. Documents that hold too few tokens as a whole are left
+out first; every run that begins with a token is verified in the others.
+
 Null texts count as empty: no words, no labels, score 0. Rows that repeat a doc_id share the labels that lines give.
 """
 
@@ -19,6 +23,8 @@ from pyspark.sql import functions as F
 from hexweave.storage import cut
 
 THRESHOLD = 0.9
+#: How many times the words of a template a run across lines has.
+SLACK = 2
 # Phrases whose words must stand consecutively, and the label of each.
 PHRASES = {
     "under the mit license": "mit",
@@ -113,10 +119,34 @@ def line_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return found.groupBy("doc_id", "label").agg(F.max(F.col("n") / F.col("size")).alias("containment"))
 
 
+def wrapped_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, label, containment): the runs of words of each document, whatever its lines, that meet a template."""
+    texts = docs.sparkSession.createDataFrame(list(TEMPLATES.items()), "label string, text string").withColumn("all", words(F.lower("text")))
+    sets = texts.select("label", (SLACK * F.size("all")).alias("reach"), F.array_except("all", F.array(*map(F.lit, STOP))).alias("want"))
+    need = F.ceil(F.lit(threshold) * F.size("want") - F.lit(1e-9)).cast("int")
+    templates = cut(sets.withColumn("need", need))
+    vocabulary = templates.select(F.explode("want").alias("token")).distinct()
+    row = ["doc_id", "of_text"]  # rows may repeat a doc_id
+    spoken = docs.select("doc_id", F.xxhash64("text").alias("of_text"), F.posexplode(words("text")).alias("at", "word"))
+    said = spoken.select(*row, "at", F.lower("word").alias("token"), F.octet_length("word").alias("bytes"))
+    held = cut(said.join(F.broadcast(vocabulary), "token").filter(F.col("bytes") == F.length("token")).select(*row, "at", "token"))
+    whole = held.groupBy(*row).agg(F.collect_set("token").alias("said"))  # of the templates' words at most
+    may = whole.join(F.broadcast(templates), F.size(F.array_intersect("said", "want")) >= F.col("need")).drop("said")
+    tokens = held.join(cut(may), row).filter(F.array_contains("want", F.col("token")))
+    longest = SLACK * max(len(t.replace("-", " ").replace(".", " ").split()) for t in TEMPLATES.values())
+    run = Window.partitionBy(*row, "label").orderBy("at").rangeBetween(0, longest - 1)
+    runs = tokens.withColumn("run", F.collect_list(F.struct("at", "token")).over(run))
+    near = F.filter("run", lambda x: x["at"] < F.col("at") + F.col("reach"))
+    n = F.size(F.array_distinct(F.transform(near, lambda x: x["token"])))
+    found = runs.select("doc_id", "label", "need", n.alias("n"), F.size("want").alias("size")).filter(F.col("n") >= F.col("need"))
+    return found.groupBy("doc_id", "label").agg(F.max(F.col("n") / F.col("size")).alias("containment"))
+
+
 def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of each row."""
     docs = docs.select("doc_id", "text")
-    lines = cut(line_matches(docs, threshold).groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best")))  # of TEMPLATES labels at most
+    matches = line_matches(docs, threshold).unionByName(wrapped_matches(docs, threshold))
+    lines = cut(matches.groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best")))  # of TEMPLATES labels at most
     rows = phrase_hits(docs).join(lines, "doc_id", "left")
     none = F.array().cast("array<string>")
     return rows.select(

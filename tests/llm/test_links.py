@@ -154,3 +154,17 @@ def test_bridges_between_parts_of_one_bucket(spark, monkeypatch, seed):
     got = _documents(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got == brute.near_documents(rows)
     assert len({c for _, c in got.values()}) == 3
+
+
+def test_wrapped_notices(spark):
+    """Notices on two lines and more, in comments, within other words; words that are far apart are no notice."""
+    grant, bsd, gpl = (licenses.TEMPLATES[k] for k in ("mit-grant", "bsd", "gpl-3"))
+    far = "\n".join(w + "\n" + "other words stand here\n" * 5 for w in gpl.split())
+    rows = [
+        (1, "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\")"),
+        (2, "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"),
+        (3, "/* " + grant.replace("any person", "any person\r\n *\r\n * ") + " */"), (4, "one two " + "\n\n".join(bsd.upper().split())), (5, "x\n" * 50 + "Licensed under the\nGNU General Public\nLicense, version 3"), (6, far),
+        (8, " ".join(bsd.split()[:14]) + "\n" + "no more of it"), (9, None),
+    ]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("mit-grant", 1.0), 2: ("bsd", 1.0), 3: ("mit-grant", 1.0), 4: ("bsd", 1.0), 5: ("gpl-3", 1.0), 6: ("", 0.0), 8: ("", 0.0), 9: ("", 0.0)}
