@@ -172,6 +172,25 @@ def path_res_range(spark, sf_dir):
     return paths.path_res_range(path_profile(spark, sf_dir))
 
 
+def _all_unpacked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Every pair of the closure; the three queries above answer for the pairs that their SQL names."""
+    e, via = _closed_via(spark, sf_dir)
+    return e, paths.unpack(via, via)
+
+
+def unpack_all_paths(spark, sf_dir):
+    return _all_unpacked(spark, sf_dir)[1]
+
+
+def all_path_profiles(spark, sf_dir):
+    e, p = _all_unpacked(spark, sf_dir)
+    return paths.path_profile(p, e)
+
+
+def all_path_res_ranges(spark, sf_dir):
+    return paths.path_res_range(all_path_profiles(spark, sf_dir))
+
+
 def route_cost(spark, sf_dir):
     return paths.route_cost(base(spark, sf_dir), _network(spark, sf_dir)[0])
 
@@ -219,6 +238,9 @@ def queries() -> dict[str, Query]:
         "unpack_path": unpack_path,
         "path_profile": path_profile,
         "path_res_range": path_res_range,
+        "unpack_all_paths": unpack_all_paths,
+        "all_path_profiles": all_path_profiles,
+        "all_path_res_ranges": all_path_res_ranges,
         "route_cost": route_cost,
         "explain_pair": explain_pair,
         "cell_prune": cell_prune,

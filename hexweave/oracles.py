@@ -83,6 +83,8 @@ hop AS (SELECT u.from_edge, u.to_edge, u.b AS edge, row_number() OVER (PARTITION
   FROM un u JOIN via v ON v.from_edge = u.a AND v.to_edge = u.b AND v.via_edge = u.b),
 flat AS (SELECT from_edge, to_edge, 0::BIGINT AS pos, from_edge AS edge FROM via WHERE from_edge < 40 UNION ALL SELECT from_edge, to_edge, pos, edge FROM hop),
 prof AS (SELECT f.*, e.cost AS edge_cost, coalesce(sum(e.cost) OVER (PARTITION BY from_edge, to_edge ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cost_before, e.lca_res FROM flat f JOIN e ON e.id = f.edge)"""
+#: The same of every pair.
+UNPACK_ALL = UNPACK.replace(" WHERE from_edge < 40", "")
 HALVES = f"""
 h1 AS ({published('b')}),
 h2 AS ({published('(SELECT from_edge, to_edge, min(cost) AS cost FROM (SELECT from_edge, to_edge, 2 * cost AS cost FROM b UNION ALL SELECT * FROM x1) GROUP BY ALL)')})"""
@@ -131,6 +133,9 @@ def oracle_sql() -> dict[str, str]:
         "unpack_path": _with(ALL, VIA, UNPACK, body="SELECT * FROM flat"),
         "path_profile": _with(ALL, VIA, UNPACK, body="SELECT from_edge, to_edge, pos, edge, edge_cost, cost_before, lca_res FROM prof"),
         "path_res_range": _with(ALL, VIA, UNPACK, body="SELECT from_edge, to_edge, count(*) AS n_edges, min(lca_res) AS min_res, max(lca_res) AS max_res FROM prof GROUP BY ALL"),
+        "unpack_all_paths": _with(ALL, VIA, UNPACK_ALL, body="SELECT * FROM flat"),
+        "all_path_profiles": _with(ALL, VIA, UNPACK_ALL, body="SELECT from_edge, to_edge, pos, edge, edge_cost, cost_before, lca_res FROM prof"),
+        "all_path_res_ranges": _with(ALL, VIA, UNPACK_ALL, body="SELECT from_edge, to_edge, count(*) AS n_edges, min(lca_res) AS min_res, max(lca_res) AS max_res FROM prof GROUP BY ALL"),
         "route_cost": _with(body="SELECT from_edge, to_edge, b.cost + e.cost AS route_cost FROM b LEFT JOIN e ON to_edge = id"),
         "explain_pair": _with(body="SELECT from_edge, to_edge, lca_res, inner_cell, inner_res::INTEGER AS inner_res, outer_cell, outer_res::INTEGER AS outer_res, greatest(inner_res - lca_res + 1, 0)::INTEGER AS inner_levels, greatest(outer_res - lca_res + 1, 0)::INTEGER AS outer_levels FROM placed"),
         "cell_prune": _with(f"fb AS ({published('b')})", body=f"SELECT from_edge, to_edge, cell, {parent('from_cell', '2')} AS high_cell FROM fb JOIN e ON from_edge = id WHERE {parent('cell', res(parent('from_cell', '2')))} = {parent('from_cell', '2')}"),
