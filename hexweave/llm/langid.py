@@ -10,15 +10,15 @@ Rows whose `lang` is null teach nothing; without any that does, every text is `u
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexweave.llm.tables import fold, map_texts
+from hexweave.llm.tables import fold, map_texts, text_struct
 from hexweave.llm.text import Texts, chunks, mix, of_text, text_sums
 
 #: Labelled rows that the model is fitted on, in an order by hash; about 10 MB of text.
@@ -141,17 +141,27 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     return Model(langs, tables.pop(0), tables)
 
 
-def identify(docs: DataFrame, keep: list[str], model: Model | None) -> DataFrame:
-    """The kept columns, lang_pred and score of each row."""
-    if model is None:
-        return docs.select(*keep, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("lang_score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS slots an order
+VERDICT = "lang_pred string, lang_score double"
+
+
+def _kernel(spark: SparkSession, model: Model | None) -> Callable[[Texts], dict]:
+    shared = spark.sparkContext.broadcast(model)
 
     def kernel(texts: Texts) -> dict:
-        lang, score = shared.value.score(texts)
+        lang, score = shared.value.score(texts) if shared.value else ([UND] * texts.n, np.zeros(texts.n))
         return {"lang_pred": lang, "lang_score": score}
 
-    return map_texts(docs, keep, "lang_pred string, lang_score double", kernel)
+    return kernel
+
+
+def verdict(spark: SparkSession, model: Model | None) -> Column:
+    """A struct of lang_pred and lang_score of a row's `text`."""
+    return text_struct(VERDICT, _kernel(spark, model))
+
+
+def identify(docs: DataFrame, keep: list[str], model: Model | None) -> DataFrame:
+    """The kept columns, lang_pred and lang_score of each row."""
+    return map_texts(docs, keep, VERDICT, _kernel(docs.sparkSession, model))
 
 
 def language(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -6,15 +6,18 @@ borrows from a full one that a second hash of the bin's number picks (optimal de
 a band, equal bands make a bucket. `layout` chooses both for a threshold, where a pair then shares no bucket with a
 probability of some 2e-5 (MISS).
 
-Equal sets are one class first, so thousands of exact copies are one member of a bucket. A bucket's members are
-compared with its centres only: a star. After a round's links are confirmed on full sets, members that are still apart
-from a bucket's centres get further centres from among themselves, four times as many each round: first each part's
-least document, then all members of each part but a bucket's largest. It ends when each pair of a bucket's members is
-in one part, or was compared, or is ruled out by the sizes of its sets. Members that a star has joined are compared no
-further.
+Equal sets are one class first, so thousands of exact copies are one member of a bucket. A bucket's candidate edges are
+a star: its centre is the member that meets most others over all its buckets, which in a family of copies is the text
+that they were made from, and each other member is compared with it alone. Candidates are confirmed on full sets. Most
+buckets are one part of a component then. Of the others, all members but the centre are compared in blocks inside tasks,
+which give only links between parts, at most one less than the parts: so no pair of a bucket is left out, and what
+leaves a task does not grow with the square of a bucket.
+
+A full set holds 64-bit hashes of shingles, so a link is exact but for equal hashes of unequal shingles.
 
 Documents with null or empty text, or without words, have an empty set, are linked with nothing and are kept. Rows
-that repeat a doc_id count as one document with the largest of their texts' sets; a null doc_id links with nothing.
+that repeat a doc_id are one document that links wherever one of its texts does; n_shingles is of the row's own text. A
+null doc_id links with nothing. An empty table gives an empty one; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,12 +29,12 @@ from math import ceil, log, log1p
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexweave.llm.graph import components
-from hexweave.llm.tables import cut_texts, map_texts
-from hexweave.llm.text import Texts, chunks, mix, windows
+from hexweave.llm.tables import cut_texts, map_texts, whole_groups
+from hexweave.llm.text import Texts, mix, windows
 from hexweave.storage import cut
 
 WIDTH = 5
@@ -39,6 +42,10 @@ WIDTH = 5
 PERCENT = 85
 #: How likely a pair at the threshold shares no bucket, at most.
 MISS = 2e-5
+#: Rows of a bucket that one block holds.
+BLOCK_ROWS = 256
+#: Columns of one 0-1 matrix.
+COLUMNS = 2048
 _U = np.uint64
 _ATTEMPTS = 1024
 
@@ -98,6 +105,10 @@ def signature(shingles: np.ndarray, n_bins: int = ROWS * BANDS) -> np.ndarray:
     return out
 
 
+def _set_key(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, set_key, bands) of each row, bands for a threshold."""
     n_rows, n_bands = layout(percent)
@@ -111,7 +122,7 @@ def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 keys.append(None)
                 bands.append([])
                 continue
-            keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+            keys.append(_set_key(own))
             rows = signature(own, n_rows * n_bands).reshape(n_bands, n_rows)
             h = salt.copy()
             for j in range(n_rows):
@@ -122,103 +133,141 @@ def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return map_texts(docs, ["doc_id"], "n_shingles long, set_key binary, bands array<long>", kernel)
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) that link by their full sets, made again from the texts that the pair's join brings together."""
-    left = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
-    both = left.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a").select("a", "b", "a_text", "b_text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
-                a, place = np.unique(batch.column(0).to_numpy(), return_index=True)
-                sets = {}
-                for at, texts_ in chunks(batch.column(2).take(pa.array(place))):
-                    for i, own in enumerate(shingle_sets(texts_)):
-                        sets[a[at + i]] = own
-                keep = np.zeros(batch.num_rows, bool)
-                of = batch.column(0).to_numpy()
-                for at, texts_ in chunks(batch.column(3)):
-                    for i, own in enumerate(shingle_sets(texts_), at):
-                        other = sets[of[i]]
-                        common = len(np.intersect1d(own, other, assume_unique=True))
-                        keep[i] = 100 * common >= percent * (len(own) + len(other) - common)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def _stars(members: DataFrame, centres: int) -> DataFrame:
-    """(a, b): each bucket's next centres, and the members that are apart from them.
-
-    A bucket's parts are ranked by their least document; the first `centres` parts' least documents are the centres.
-    """
-    parts = members.groupBy("bucket", "component").agg(F.min("doc_id").alias("centre"))
-    return _apart(members, parts.select("bucket", "centre", F.col("component").alias("own")), centres)
+def full_sets(docs: DataFrame) -> DataFrame:
+    """(set_key, shingles) of each row: the full set, sorted."""
+
+    def kernel(texts: Texts) -> dict:
+        sets = shingle_sets(texts)
+        return {"set_key": pa.array([_set_key(own) for own in sets], pa.binary()), "shingles": pa.array([own.view(np.int64) for own in sets], pa.list_(pa.int64()))}
+
+    return map_texts(docs, [], "set_key binary, shingles array<long>", kernel)
+
+
+def stars(members: DataFrame) -> DataFrame:
+    """(bucket, centre): of each bucket's members (bucket, cls, n) the one that meets most others, n being a bucket's size."""
+    meets = members.groupBy("cls").agg(F.sum("n").alias("meets"))
+    return members.join(meets, "cls").groupBy("bucket").agg(F.max_by("cls", F.struct("meets", -F.col("cls"))).alias("centre"))
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) that link by their full sets (cls, n_shingles, shingles)."""
+    a, b = (sets.select(F.col("cls").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    linked = 100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)
+    return pairs.join(b, "b").join(a, "a").filter(fits).filter(linked).select("a", "b")
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each two sets share, by products of 0-1 matrices over the hashes that two sets hold or more."""
+    n = len(sets)
+    of = np.repeat(np.arange(n), [len(s) for s in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat, of = flat[order], of[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    column = np.cumsum(new) - 1
+    often = np.bincount(column) > 1
+    keep = often[column]
+    column, of = (np.cumsum(often) - 1)[column[keep]], of[keep]
+    out = np.zeros((n, n), np.int64)
+    for lo in range(0, int(often.sum()), COLUMNS):
+        at = slice(*np.searchsorted(column, [lo, lo + COLUMNS]))
+        held = np.zeros((n, COLUMNS), np.float32)  # counts up to 2 ** 24 are exact
+        held[of[at], column[at] - lo] = 1
+        out += (held @ held.T).astype(np.int64)
+    return out
 
 
-def _small_parts(members: DataFrame) -> DataFrame:
-    """(bucket, centre, own): all members of each part but the bucket's largest; these as centres leave no pair out."""
-    parts = cut(members.groupBy("bucket", "component").agg(F.count("*").alias("n")))
-    largest = parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("largest")).select("bucket", F.col("largest.component").alias("component"))
-    return members.join(parts.join(largest, ["bucket", "component"], "left_anti"), ["bucket", "component"]).select("bucket", F.col("doc_id").alias("centre"), F.col("component").alias("own"))
+def spanning_links(ids: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links (a, b) between rows of different parts, at most one less than there are parts, that join what all links join."""
+    sizes, common = np.array([len(s) for s in sets]), common_counts(sets)
+    linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+    root = {int(p): int(p) for p in parts}
 
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
 
-def _apart(members: DataFrame, candidates: DataFrame, centres: int) -> DataFrame:
-    """(a, b): the first `centres` candidates (bucket, centre, own) of each bucket, and the members of other parts."""
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("centre"))
-    top = cut(candidates.withColumn("rank", rank).filter(F.col("rank") <= centres).select("bucket", "centre", "own"))
-    return members.join(top, "bucket").filter(F.col("component") != F.col("own")).select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b"))
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(linked, 1) & (parts[:, None] != parts[None, :]))):
+        p, q = find(int(parts[i])), find(int(parts[j]))
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+    return out
+
+
+def rest_of_buckets(members: DataFrame, centres: DataFrame, labels: DataFrame) -> DataFrame:
+    """(group, cls, component): the members to compare of the buckets that hold several parts, in blocks.
+
+    A bucket's centre was compared with each of its members, so it is left out. Buckets of equal members count once.
+    Each two blocks of BLOCK_ROWS members meet in a group.
+    """
+    known = labels.select(F.col("node").alias("cls"), "component")
+    placed = members.join(centres, "bucket").filter(F.col("cls") != F.col("centre")).join(known, "cls", "left")
+    placed = cut(placed.select("bucket", "cls", F.coalesce("component", "cls").alias("component")))
+    open_ = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"), F.expr("bit_xor(xxhash64(cls))").alias("held"), F.expr("bit_xor(xxhash64(cls, 1))").alias("held_too"))
+    once = open_.filter("x < y").groupBy("n", "held", "held_too").agg(F.min("bucket").alias("bucket"))
+    blocks = once.select("bucket", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
+    at = placed.join(cut(blocks), "bucket").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    met = at.select("bucket", "cls", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return met.select(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "cls", "component")
+
+
+def compare_groups(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): links between parts of each group of (group, cls, component, shingles), as many as join them."""
+
+    def links(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        group, ids, parts = (t.column(c).to_numpy() for c in ("group", "cls", "component"))
+        shingles = t.column("shingles").combine_chunks()
+        flat, ends = shingles.flatten().to_numpy(), np.concatenate([[0], np.cumsum(shingles.value_lengths().to_numpy())])
+        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        found = []
+        for lo, hi in zip(starts, [*starts[1:], len(group)]):
+            if (parts[lo:hi] != parts[lo]).any():
+                found += spanning_links(ids[lo:hi], parts[lo:hi], [flat[ends[i] : ends[i + 1]] for i in range(lo, hi)], percent)
+        if found:
+            a, b = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return whole_groups(rows.select("group", "cls", "component", "shingles"), links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row."""
-    sketch = cut_texts(sketches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), percent))
-    classes = cut(sketch.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("of"), F.count("*").alias("copies")))
-    alone = classes.select(F.col("of").alias("doc_id"), "set_key")
-    bands = cut(
-        sketch.join(alone, ["doc_id", "set_key"]).dropDuplicates(["doc_id"])
-        .select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
-    )
-    shared = cut(bands.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("bucket"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sketch = cut_texts(sketches(docs, percent))
+    classes = sketch.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("of"))
+    classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()))
+    one = sketch.join(classes.select("cls", "set_key", F.col("of").alias("doc_id")), ["doc_id", "set_key"]).dropDuplicates(["cls"])
+    bands = cut(one.select("cls", "doc_id", "set_key", "n_shingles", F.explode("bands").alias("bucket")))
+    shared = cut(bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
     members = cut(bands.join(shared, "bucket"))
-    sizes = members.select("doc_id", "n_shingles").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(cut(sizes.select("doc_id")), "doc_id", "left_semi")
-    links, tested, labels, centres, all_members = None, None, None, 1, False
-    while True:
-        placed = members.withColumn("component", F.col("doc_id"))
-        if labels is not None:
-            known = labels.select(F.col("node").alias("doc_id"), F.col("component").alias("known"))
-            placed = members.join(known, "doc_id", "left").withColumn("component", F.coalesce("known", "doc_id")).drop("known")
-        if links is not None:
-            placed = cut(placed)
-            mixed = cut(placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket"))
-            placed = cut(placed.join(mixed, "bucket"))
-        candidates = cut(_small_parts(placed)) if all_members else None
-        star = (_apart(placed, candidates, centres) if all_members else _stars(placed, centres)).distinct()
-        if tested is not None:
-            star = star.join(tested, ["a", "b"], "left_anti")
-        star = cut(star)
-        if star.isEmpty():
-            if links is None:
-                break
-            of = candidates.groupBy("bucket").agg(F.count("*").alias("n")) if all_members else placed.groupBy("bucket").agg(F.count_distinct("component").alias("n"))
-            most = of.agg(F.max("n")).first()[0] or 0
-            if most > centres:
-                centres *= 4
-            elif all_members or not most:
-                break
-            else:
-                all_members = True
-            continue
-        tested = star if tested is None else cut(tested.unionByName(star))
-        size = members.select("doc_id", "n_shingles").distinct()
-        fits = star.join(size.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a")), "a").join(size.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b")), "b")
-        fits = cut(fits.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b"))
-        found = cut_texts(confirm(fits, texts, percent))
-        links = found if links is None else cut(links.unionByName(found))
-        labels = components(links)
-        centres *= 4
-    joined = cut(classes.join(labels.select(F.col("node").alias("of"), "component"), "of", "left").select("set_key", F.coalesce("component", "of").alias("component"))) if labels is not None else cut(classes.select("set_key", F.col("of").alias("component")))
-    out = sketch.select("doc_id", "n_shingles", "set_key").join(joined, "set_key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+    met = cut(members.select("cls", "doc_id", "set_key", "n_shingles").distinct())
+    texts = docs.join(met.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = cut_texts(full_sets(texts)).join(met, "set_key").select("cls", "n_shingles", "shingles").dropDuplicates(["cls"])
+    sets = cut(sets)
+    members = members.select("bucket", "cls", "n")
+    centres = cut(stars(members))
+    star = members.join(centres, "bucket").filter(F.col("cls") != F.col("centre"))
+    star = star.select(F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")).distinct()
+    # Texts of one document.
+    own = sketch.select("doc_id", "set_key").join(classes, "set_key").groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("most"))
+    own = own.filter("a < most").select("doc_id", "a").join(sketch.select("doc_id", "set_key").join(classes, "set_key"), "doc_id").filter("a < cls").select("a", F.col("cls").alias("b")).distinct()
+    links = cut(confirm(star, sets, percent).unionByName(own))
+    labels = components(links)
+    rest = cut(rest_of_buckets(members, centres, labels))
+    found = cut_texts(compare_groups(rest.join(sets, "cls"), percent))
+    if not found.isEmpty():
+        labels = components(links.unionByName(found))
+    placed = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("set_key", "of", F.coalesce("component", "cls").alias("component"))
+    placed = cut(placed)
+    first = placed.groupBy("component").agg(F.min("of").alias("first"))
+    placed = cut(placed.join(first, "component").select("set_key", "first"))
+    out = sketch.select("doc_id", "n_shingles", "set_key").join(placed, "set_key", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

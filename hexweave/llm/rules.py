@@ -9,13 +9,14 @@ Null and empty texts have no words, so they fail. Without labelled rows of both
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from hexweave.llm.features import FAMILIES, SLOTS, calibrate, linear, sigmoid, training_rows
-from hexweave.llm.tables import map_texts
+from hexweave.llm.tables import map_texts, text_struct
 from hexweave.llm.text import Texts, of_text, windows
 
 #: Labelled rows of each kind that the model is fitted on at most.
@@ -103,9 +104,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rounds:
     return Model((w * scale).astype(np.float32), b, slope, shift)
 
 
-def judge(docs: DataFrame, keep: list[str], model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
-    """The kept columns, the counts, base_failed, kept and p_quality of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # three tables of SLOTS weights
+VERDICT = ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, p_quality double"
+
+
+def _kernel(spark: SparkSession, model: Model | None, threshold: float) -> Callable[[Texts], dict]:
+    shared = spark.sparkContext.broadcast(model)  # three tables of SLOTS weights
 
     def kernel(texts: Texts) -> dict:
         out = counts(texts)
@@ -113,8 +116,17 @@ def judge(docs: DataFrame, keep: list[str], model: Model | None, threshold: floa
         p = shared.value.probability(texts) if shared.value else np.ones(texts.n)
         return out | {"base_failed": failed, "kept": ~failed & (p >= threshold), "p_quality": p}
 
-    longs = ", ".join(f"{c} long" for c in COUNTS)
-    return map_texts(docs, keep, f"{longs}, base_failed boolean, kept boolean, p_quality double", kernel)
+    return kernel
+
+
+def verdict(spark: SparkSession, model: Model | None, threshold: float = THRESHOLD) -> Column:
+    """A struct of the counts, base_failed, kept and p_quality of a row's `text`."""
+    return text_struct(VERDICT, _kernel(spark, model, threshold))
+
+
+def judge(docs: DataFrame, keep: list[str], model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The kept columns, the counts, base_failed, kept and p_quality of each row."""
+    return map_texts(docs, keep, VERDICT, _kernel(docs.sparkSession, model, threshold))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:

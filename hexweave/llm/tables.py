@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from hexweave.llm.text import chunks
 from hexweave.storage import cut
@@ -25,26 +27,37 @@ def fold(column: str, parts: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
 
 
-def map_texts(
-    docs: DataFrame, keep: list[str], schema: str, kernel: Callable[[object], dict[str, np.ndarray | list]]
-) -> DataFrame:
-    """Each row's kept columns and what `kernel` says of its `text`: a dict of columns for each chunk of texts.
+def text_struct(schema: str, kernel: Callable[[object], dict[str, np.ndarray | list]]) -> Column:
+    """A struct of what `kernel` says of a row's `text`: it gets chunks of texts and gives a dict of columns.
 
-    Only the kept columns and the text go to Python. `schema` names the new columns in DDL.
+    `schema` names the struct's fields in DDL. Other columns stay on the JVM's side, whatever their names.
     """
-    rows = docs.select(*keep, "text")
-    names = [x.split()[0] for x in schema.split(", ")]
+    kind = to_arrow_type(T.StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = [batch.column(i) for i in range(len(keep))]
-            for lo, texts in chunks(batch.column(len(keep))):
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            parts = []
+            for _, texts in chunks(column):
                 made = kernel(texts)
-                cols = [c.slice(lo, texts.n) for c in held] + [made[n] if isinstance(made[n], pa.Array) else pa.array(made[n]) for n in names]
-                yield pa.RecordBatch.from_arrays(cols, names=[*keep, *names])
+                fields = [made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type) for f in kind]
+                parts.append(pa.StructArray.from_arrays(fields, fields=list(kind)))
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
-    return rows.mapInArrow(run, f"{kept}, {schema}" if kept else schema)
+    return F.arrow_udf(run, schema)(F.col("text"))
+
+
+def own_name(columns: list[str], wanted: str) -> str:
+    """`wanted`, or with a number where a column has that name already (Spark's names ignore case)."""
+    taken = {c.lower() for c in columns}
+    return next(n for n in (wanted, *(f"{wanted}_{k}" for k in range(len(taken) + 1))) if n.lower() not in taken)
+
+
+def map_texts(
+    docs: DataFrame, keep: list[str], schema: str, kernel: Callable[[object], dict[str, np.ndarray | list]]
+) -> DataFrame:
+    """Each row's kept columns and, beside them, what `kernel` says of its `text`; only the text goes to Python."""
+    own = own_name(docs.columns, "told")
+    return docs.select(*keep, text_struct(schema, kernel).alias(own)).select(*keep, f"{own}.*")
 
 
 def cut_texts(df: DataFrame, rows: int = TEXT_ROWS) -> DataFrame:
@@ -58,6 +71,31 @@ def cut_texts(df: DataFrame, rows: int = TEXT_ROWS) -> DataFrame:
         conf.set(key, was)
 
 
+def whole_groups(rows: DataFrame, kernel: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What `kernel` makes of tables that hold whole groups, one or more, sorted by the column `group`.
+
+    A task holds the rows of one group and a batch more, so groups are to be of a bounded size.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            group = batch.column(batch.schema.get_field_index("group")).to_numpy()
+            ends = np.flatnonzero(np.append(group[1:] != group[:-1], False)) + 1
+            if held and len(group) and held[-1].column(batch.schema.get_field_index("group"))[-1].as_py() != group[0]:
+                yield from kernel(pa.Table.from_batches(held))
+                held = []
+            if len(ends):
+                yield from kernel(pa.Table.from_batches([*held, batch.slice(0, ends[-1])]))
+                held = []
+            if batch.num_rows:
+                held.append(batch.slice(ends[-1] if len(ends) else 0))
+        if held:
+            yield from kernel(pa.Table.from_batches(held))
+
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, schema)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, parts: int = 5, held_out: int = 0) -> DataFrame:
     """(text, y): at most `per_class` rows of each label, from rows outside the held-out fold, in an order by hash.
 
