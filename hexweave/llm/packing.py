@@ -7,7 +7,8 @@ programming prices the pattern that covers most weight, and covered lengths lose
 patterns, scaled to cover all pieces, is rounded down; the room and the pieces that this leaves go by best fit over
 the histogram. Pieces then take their places by their rank among pieces of their length.
 
-Null texts count as empty: one piece that holds the end id alone.
+Null texts count as empty: one piece that holds the end id alone. Rows are packed one by one, so repeated rows and null
+ids are packed like others; columns other than doc_id and text are not looked at. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,96 +23,124 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hexweave.llm.bpe import tokenizer
+from hexweave.llm.tables import cut_texts
+from hexweave.llm.text import Texts, chunks
 from hexweave.storage import cut
 
 SIZE = 4096
 END_ID = 1
-#: Words, and runs of letters, that a worker remembers.
-MEMO = 600_000
+#: Slots of a worker's table of words, a word each.
+SLOTS = 1 << 20
+#: Ids after which that table is begun anew, and bytes of the longest word in it.
+POOL, WORD_BYTES = 1 << 22, 64
 #: Words in one call of the tokenizer.
-JOINED = 64
-_NO_UNICODE_SPACE = "\x1c\x1d\x1e\x1f"
-_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Versions of Unicode agree on what is a letter below this.
-_DISPUTED = "\u0250"
+JOINED = 256
+_U = np.uint64
+# Bytes of ASCII letters and of what is U+00C0 to U+023F in UTF-8, all letters but for the characters of _NO_LETTER:
+# signs, and a capital whose small form has a mark of its own.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xC9)]] = True
+_NO_LETTER = [tuple(c.encode()) for c in "\u00d7\u00f7\u0130"]
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 
 
 class WordIds:
-    """Ids of whole texts of a tokenizer that drops white space, word by word, with memos of bounded size.
+    """Ids of whole texts of a tokenizer that drops white space, unit by unit.
 
-    A new word is letters and then ASCII punctuation as a rule. Its parts are encoded alone then: no token of such a
-    tokenizer reaches from letters into punctuation. New runs of letters go through the tokenizer JOINED at a time with
-    spaces between; the token that ends a word tells where the next begins. Where there are not as many such tokens as
-    words, and for words of another make, each word is encoded alone.
+    A unit is a word between ASCII white space, or its letters and its punctuation, where it is Latin letters and then
+    ASCII punctuation: no token of such a tokenizer reaches from letters into punctuation. A unit's ids are looked up by its
+    64-bit hash and its length in a table of bounded size, in which a new unit takes the place of the one in its slot.
+    New units of letters go through the tokenizer JOINED at a time with spaces between; the token that ends a word tells
+    where the next begins. Where there are not as many such tokens as words, and for other units, each is encoded alone.
     """
 
     def __init__(self, path: str):
-        self.path, self.memo, self.letters = path, {}, {}
+        self.path = path
         suffix = getattr(tokenizer(path).model, "end_of_word_suffix", None)
         vocab = tokenizer(path).get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for token, i in vocab.items() if suffix and token.endswith(suffix)]] = True
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        out = []
-        for lo in range(0, len(words), 4096):
-            out += [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer(self.path).encode_batch_fast(words[lo : lo + 4096], add_special_tokens=False)]
-        return out
-
-    def _encode_letters(self, words: list[str]) -> list[bytes]:
-        out = []
-        groups = [words[lo : lo + JOINED] for lo in range(0, len(words), JOINED)]
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.bytes = np.zeros(SLOTS, _U), np.zeros(SLOTS, np.int32)
+        self.starts, self.lengths = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        self.pool, self.used = np.zeros(POOL, "<u4"), 0
+
+    def _keep(self, ids: np.ndarray) -> int:
+        """Where the pool has these ids now."""
+        at, self.used = self.used, self.used + len(ids)
+        if self.used > len(self.pool):
+            self.pool = np.concatenate([self.pool[:at], np.zeros(self.used, "<u4")])
+        self.pool[at : self.used] = ids
+        return at
+
+    def _encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(start, length) in the pool of each unit's ids."""
+        found = [np.array(e.ids, "<u4") for e in tokenizer(self.path).encode_batch_fast(units, add_special_tokens=False)]
+        lengths = np.array([len(x) for x in found], np.int64)
+        at = self._keep(np.concatenate(found)) if found else 0
+        return at + np.cumsum(lengths) - lengths, lengths
+
+    def _encode_letters(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        groups = [units[lo : lo + JOINED] for lo in range(0, len(units), JOINED)]
+        starts, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for own, e in zip(groups, tokenizer(self.path).encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, dtype="<u4")
-            ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
-            if len(ends) == len(own) and ends[-1] == 4 * len(ids):
-                raw = ids.tobytes()
-                out += [raw[lo:hi] for lo, hi in zip([0, *ends], ends)]
-            else:
-                out += self._encode(own)
-        return out
-
-    def _new(self, words: list[str]) -> dict[str, bytes]:
-        """What the memo of words does not know."""
-        known, parts, letters, whole = self.letters, {}, {}, {}
-        for w in words:
-            core = w.rstrip(_PUNCTUATION)
-            if core.isalpha() and (core == w or core[-1] < _DISPUTED):
-                parts[w] = core, w[len(core) :]
-                if core not in known:
-                    letters[core] = b""
-                whole[parts[w][1]] = b""
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(own) and ends[-1] == len(ids):
+                n = np.diff(ends, prepend=0)
+                at = self._keep(ids) + ends - n
             else:
-                whole[w] = b""
-        letters = dict(zip(letters, self._encode_letters(list(letters))))
-        whole = dict(zip(whole, self._encode(list(whole))))
-        for w, (core, tail) in parts.items():
-            whole[w] = (letters.get(core) or known[core]) + whole[tail]
-        _remember(known, letters)
-        return whole
-
-    def batch(self, texts: list[str | None]) -> Iterator[bytes]:
-        memo, found, missing = self.memo, [], {}
-        for text in texts:
-            text = text or ""
-            words = [text] if any(c in text for c in _NO_UNICODE_SPACE) else text.split()
-            got = list(map(memo.get, words))
-            holes = [(i, words[i]) for i, g in enumerate(got) if g is None] if None in got else ()
-            for _, w in holes:
-                missing[w] = b""
-            found.append((got, holes))
-        new = self._new(list(missing))
-        for got, holes in found:
-            for i, w in holes:
-                got[i] = new[w]
-            yield b"".join(got)
-        _remember(memo, {w: new[w] for w in missing})
-
-
-def _remember(memo: dict[str, bytes], new: dict[str, bytes]) -> None:
-    for w in list(new)[: max(0, MEMO - len(memo))]:
-        if len(w) <= 64:
-            memo[w] = new[w]
+                at, n = self._encode(own)
+            starts.append(at)
+            lengths.append(n)
+        return np.concatenate(starts), np.concatenate(lengths)
+
+    def units(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, whether it is Latin letters) of each unit."""
+        starts, ends = texts.words.starts, texts.words.ends
+        at = np.arange(len(texts.data))
+        tail = np.maximum.accumulate(np.where(_PUNCTUATION[texts.data], -1, at))[ends - 1] + 1 if len(ends) else ends
+        tail = np.maximum(tail, starts)  # where the punctuation that ends the word begins
+        others = np.zeros(len(texts.data) + 1, np.int64)
+        other = ~_LETTER[texts.data]
+        for lead, byte in _NO_LETTER:
+            other[1:] |= (texts.data[1:] == byte) & (texts.data[:-1] == lead)
+        np.cumsum(other, out=others[1:])
+        letters = (tail > starts) & (others[tail] == others[starts])
+        two = letters & (tail < ends)
+        place = np.arange(len(starts)) + np.cumsum(two) - two
+        out = np.zeros((3, len(starts) + int(two.sum())), np.int64)
+        out[:, place] = starts, np.where(two, tail, ends), letters
+        out[:, place[two] + 1] = tail[two], ends[two], np.zeros(int(two.sum()))
+        return out[0], out[1], out[2].astype(bool)
+
+    def of(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, index of each text's first and the end of the last)."""
+        if self.used > POOL // 2:
+            self.forget()
+        begin, end, letters = self.units(texts)
+        size = end - begin
+        h = texts.span_hash(begin, end, False)
+        slot = (h >> _U(40)).astype(np.int64) & (SLOTS - 1)
+        starts, lengths = self.starts[slot].astype(np.int64), self.lengths[slot].astype(np.int64)
+        missing = np.flatnonzero((self.keys[slot] != h) | (self.bytes[slot] != size))
+        _, first, of = np.unique(h[missing], return_index=True, return_inverse=True)
+        new = missing[first]
+        new_starts, new_lengths = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        raw = texts.data.tobytes()
+        for encode, own in ((self._encode_letters, np.flatnonzero(letters[new])), (self._encode, np.flatnonzero(~letters[new]))):
+            words = [raw[lo:hi].decode() for lo, hi in zip(begin[new[own]].tolist(), end[new[own]].tolist())]
+            new_starts[own], new_lengths[own] = encode(words)
+        starts[missing], lengths[missing] = new_starts[of], new_lengths[of]
+        known = np.flatnonzero(size[new] <= WORD_BYTES)
+        at = slot[new[known]]
+        self.keys[at], self.bytes[at], self.starts[at], self.lengths[at] = h[new[known]], size[new[known]], new_starts[known], new_lengths[known]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = self.pool[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])]
+        return ids, ends[np.searchsorted(begin, texts.offsets)]
 
 
 _encoders: dict[str, WordIds] = {}
@@ -119,7 +148,6 @@ _encoders: dict[str, WordIds] = {}
 
 def pieces_of(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids], part, local): `local` ranks a task's pieces of one length."""
-    end = np.array([end_id], dtype="<u4").tobytes()
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "local", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,15 +155,15 @@ def pieces_of(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID
             _encoders[path] = WordIds(path)
         part, ranks = TaskContext.get().partitionId(), np.zeros(size + 1, dtype=np.int64)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                b = whole.slice(lo, 500)
-                rows = []
-                for doc_id, raw in zip(b.column(0).to_pylist(), _encoders[path].batch(b.column(1).to_pylist())):
-                    raw += end
-                    for k, at in enumerate(range(0, len(raw), 4 * size)):
-                        own = raw[at : at + 4 * size]
-                        n = len(own) // 4
-                        rows.append((doc_id, k, at // 4, n, zlib.crc32(own), part, int(ranks[n]), np.frombuffer(own, "<u4")))
+            for lo, texts in chunks(whole.column(1)):
+                ids, first = _encoders[path].of(texts)
+                ids = np.insert(ids, first[1:], end_id)
+                raw, rows = ids.tobytes(), []
+                bounds = (first + np.arange(texts.n + 1)).tolist()
+                for doc_id, begin, end in zip(whole.column(0).slice(lo, texts.n).to_pylist(), bounds, bounds[1:]):
+                    for k, at in enumerate(range(begin, end, size)):
+                        n = min(size, end - at)
+                        rows.append((doc_id, k, at - begin, n, zlib.crc32(raw[4 * at : 4 * (at + n)]), part, int(ranks[n]), *[ids[at : at + n]] * with_ids))
                         ranks[n] += 1
                 cols = list(zip(*rows))
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
@@ -146,31 +174,29 @@ def pieces_of(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID
 
 
 def price(lengths: np.ndarray, weights: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
-    """How often each class stands in the pattern of most weight: a knapsack by dynamic programming over capacities.
+    """How often each class stands in the pattern of most weight: a bounded knapsack by dynamic programming.
 
-    A class stands in a pattern no more often than it has pieces; room that this leaves goes to the classes of most
-    weight for their length.
+    A class's pieces, as many as fit, are items of 1, 2, 4, ... pieces; an item is taken or not, for all capacities at once.
     """
-    best, chosen = np.zeros(size + 1), np.full(size + 1, -1)
-    fitting = np.searchsorted(lengths, np.arange(size + 1), side="right")
-    for room in range(int(lengths[0]), size + 1):
-        gain = best[room - lengths[: fitting[room]]] + weights[: fitting[room]]
-        k = gain.argmax()
-        if gain[k] > best[room - 1]:
-            best[room], chosen[room] = gain[k], k
-        else:
-            best[room] = best[room - 1]
+    items = []
+    for k, most in enumerate(np.minimum(counts, size // lengths).tolist()):
+        n = 1
+        while most > 0:
+            items.append((k, min(n, most)))
+            most -= n
+            n *= 2
+    best, taken = np.zeros(size + 1), np.zeros((len(items), size + 1), bool)
+    for i, (k, n) in enumerate(items):
+        room = n * int(lengths[k])
+        gain = best[: size + 1 - room] + n * weights[k]
+        taken[i, room:] = gain > best[room:]
+        best[room:] = np.maximum(best[room:], gain)
     times, room = np.zeros(len(lengths), np.int64), size
-    while room >= lengths[0]:
-        k = chosen[room]
-        times[k] += k >= 0
-        room -= int(lengths[k]) if k >= 0 else 1
-    times = np.minimum(times, counts)
-    room = size - int((times * lengths).sum())
-    for k in np.argsort(-weights / lengths, kind="stable") if room >= lengths[0] else ():
-        more = min(room // int(lengths[k]), int(counts[k] - times[k]))
-        times[k] += more
-        room -= more * int(lengths[k])
+    for i in range(len(items) - 1, -1, -1):
+        if taken[i, room]:
+            k, n = items[i]
+            times[k] += n
+            room -= n * int(lengths[k])
     return times
 
 
@@ -196,32 +222,40 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, size: int, rounds: int,
 
 
 def solve(histogram: dict[int, int], size: int = SIZE, rounds: int = 120, classes: int = 256) -> list[tuple[tuple[int, ...], int]]:
-    """[(lengths in a sequence, how many such sequences)], each piece once.
+    """[(lengths in a sequence, how many such sequences)], each piece once, never more sequences than best fit alone.
 
     Sequences that one piece fills are set aside first. The linear program is over at most `classes` classes of
-    neighbouring lengths with about as many pieces each; a class counts as its longest. Its patterns are rounded down to
-    whole sequences, whose slots but the shortest take the longest pieces of their class. Best fit closes them, so that
-    what a class is shorter than its longest is not lost, and deals out all other pieces.
+    neighbouring lengths with about as many pieces each, which bounds its size whatever the histogram; a class counts as
+    its longest. Its patterns are rounded down to whole sequences, whose slots take the longest pieces of their class.
+    Best fit closes them, so that what a class is shorter than its longest is not lost, and deals out all other pieces.
+    Of the plans that keep all slots of a pattern, that leave its shortest slot to best fit, and of best fit alone, the
+    one of fewest sequences holds.
     """
     left = {int(k): int(v) for k, v in histogram.items() if v > 0}
-    plan: list[tuple[tuple[int, ...], int]] = []
-    if left.get(size):
-        plan.append(((size,), left.pop(size)))
+    full = [((size,), left.pop(size))] if left.get(size) else []
     if not left:
-        return plan
+        return full
     known = sorted(left)
     before = np.cumsum([left[n] for n in known]) - 1
     group = np.arange(len(known)) if len(known) <= classes else np.unique(before * classes // (before[-1] + 1), return_inverse=True)[1]
-    stock: list[list[list[int]]] = [[] for _ in range(group[-1] + 1)]  # of each class [length, pieces], the longest last
+    members: list[list[tuple[int, int]]] = [[] for _ in range(group[-1] + 1)]  # of each class (length, pieces), the longest last
     for length, k in zip(known, group):
-        stock[k].append([length, left[length]])
-    lengths, counts = np.array([rows[-1][0] for rows in stock]), np.array([sum(n for _, n in rows) for rows in stock])
+        members[k].append((length, left[length]))
+    lengths, counts = np.array([rows[-1][0] for rows in members]), np.array([sum(n for _, n in rows) for rows in members])
+    patterns = sorted(fractional(lengths, counts, size, rounds).items(), key=lambda x: (-x[1], x[0]))
+    plans = [_rounded(patterns, members, size, drop) for drop in (0, 1)] + [best_fit(left, size)]
+    return full + min(plans, key=lambda plan: sum(n for _, n in plan))
+
+
+def _rounded(patterns: list[tuple[tuple[int, ...], float]], members: list[list[tuple[int, int]]], size: int, drop: int) -> list[tuple[tuple[int, ...], int]]:
+    """Whole sequences of the patterns, without their `drop` shortest slots, and best fit for the rest."""
+    stock = [[list(row) for row in rows] for rows in members]
+    counts = np.array([sum(n for _, n in rows) for rows in members])
     started: list[tuple[tuple[int, ...], int]] = []
-    patterns = fractional(lengths, counts, size, rounds)
-    for times, amount in sorted(patterns.items(), key=lambda x: (-x[1], x[0])):
-        whole = min([int(amount), *(int(counts[k]) // n for k, n in enumerate(times) if n)])
+    for times, amount in patterns:
+        whole = min([int(amount + 1e-9), *(int(counts[k]) // n for k, n in enumerate(times) if n)])
         counts = counts - whole * np.array(times)
-        slots = [k for k, n in enumerate(times) for _ in range(n)][:0:-1]  # the longest first, without the shortest
+        slots = [k for k, n in enumerate(times) for _ in range(n)][drop:][::-1]  # the longest first
         while whole and slots:
             n, pattern = whole, []
             for k in slots:
@@ -233,8 +267,7 @@ def solve(histogram: dict[int, int], size: int = SIZE, rounds: int = 120, classe
                 _return(stock[k], length, taken - n)
             started.append((tuple(x for _, x, _ in pattern), n))
             whole -= n
-    rest = {length: n for rows in stock for length, n in rows}
-    return plan + best_fit(rest, size, started)
+    return best_fit({length: n for rows in stock for length, n in rows}, size, started)
 
 
 def _take(rows: list[list[int]], n: int) -> None:
@@ -316,13 +349,14 @@ class Places:
 
 def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]) of every piece of every row."""
-    rows = cut(pieces_of(docs, path, size, end_id, with_ids))
+    rows = cut_texts(pieces_of(docs, path, size, end_id, with_ids))
     by_part = rows.groupBy("part", "length").agg(F.count("*").alias("n"))
     histogram = {r.length: r.n for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ranks = cut(by_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
     places = rows.sparkSession.sparkContext.broadcast(Places(solve(histogram, size)))  # patterns of at most `size` lengths
-    ranked = rows.join(ranks, ["part", "length"]).withColumn("rank", F.col("before") + F.col("local"))
+    # Ranks are tasks times lengths in number, which is not to be broadcast.
+    ranked = rows.join(ranks.hint("merge"), ["part", "length"]).withColumn("rank", F.col("before") + F.col("local"))
     cols = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,14 +1,17 @@
 """Operators 2, 4 and 9: against the tokenizers library and plain counts."""
 
 import hashlib
+from itertools import product
 
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from hexweave.llm import bpe, packing, rules
+from hexweave.llm.text import chunks
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
@@ -97,13 +100,28 @@ def test_packing_of_documents(documents):
 
 @pytest.mark.parametrize("alone", [True, False])
 def test_ids_of_odd_words(alone):
-    """Letters that change under normalization, marks, digits and punctuation, with memos empty and filled."""
-    odd = ["", None, "\u00e1b's 'll", "\u0391\u03a3 \u0391\u03a3, \u03a3\u03a3'", "don't, DON'T. it's' x'", "a\u0338 <\u0338 b<\u0338", "\ufb2a \ufb31, \ufb1d", "\u65e5\u672c, \ud55c\uad6d!", "a<|endoftext|>,b", "1x\u00b2 \u00bd, \u00aa\u00ba \u02b0,", "\u0130I \u00df \ufb01", "x\x1cy z", "_a_ a_ a__", "e\u0301, \u0301,", "\U0001d49c, \U0001df00,", "Reeneau, reeneau### osga."]
+    """Letters that change under normalization, marks, digits and punctuation, with tables empty and filled."""
+    odd = ["", None, "\u00e1b's 'll", "\u0391\u03a3 \u0391\u03a3, \u03a3\u03a3'", "don't, DON'T. it's' x'", "a\u0338 <\u0338 b<\u0338", "\ufb2a \ufb31, \ufb1d", "\u65e5\u672c, \ud55c\uad6d!", "a<|endoftext|>,b", "1x\u00b2 \u00bd, \u00aa\u00ba \u02b0,", "\u0130I \u00df \ufb01", "x\x1cy z", "_a_ a_ a__", "e\u0301, \u0301,", "\U0001d49c, \U0001df00,", "Reeneau, reeneau### osga.", "... a. .b c", "x" * 90 + ", ok", "a\u00a0b\u3000, c", "\u00e9t\u00e9, \u00d7, a\u00d7b, \u00f7! \u0130, \u0130, \u01c3, \u023f. \u0240, \u00b5, \u0110\u0111;"]
     t, own = _library(WORDS), packing.WordIds(WORDS)
     want = [t.encode(x or "", add_special_tokens=False).ids for x in odd]
     for _ in range(2):
-        got = [next(own.batch([x])) for x in odd] if alone else list(own.batch(odd))
-        assert [np.frombuffer(raw, "<u4").tolist() for raw in got] == want
+        got = []
+        for column in [[x] for x in odd] if alone else [odd]:
+            for _, texts in chunks(pa.array(column, pa.string())):
+                ids, first = own.of(texts)
+                got += [ids[lo:hi].tolist() for lo, hi in zip(first, first[1:])]
+        assert got == want
+
+
+def test_ids_after_a_full_table(documents, monkeypatch):
+    monkeypatch.setattr(packing, "POOL", 3000)
+    monkeypatch.setattr(packing, "SLOTS", 256)
+    t, own = _library(WORDS), packing.WordIds(WORDS)
+    some = [r.text for r in documents.select("text").limit(60).collect()]
+    for lo in range(0, 60, 10):
+        (_, texts), = chunks(pa.array(some[lo : lo + 10]), 1 << 30)
+        ids, first = own.of(texts)
+        assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [t.encode(x, add_special_tokens=False).ids for x in some[lo : lo + 10]]
 
 
 def test_packing_of_odd_texts(spark, texts, odd, empty):
@@ -134,3 +152,16 @@ def test_packing_against_volume_bounds():
         per = 4096 // int(sizes.min())
         bound = max(-(-int(sizes.sum()) // 4096), large, -(-len(sizes) // per))
         assert sum(n for _, n in plan) <= 1.06 * bound + 2
+        assert sum(n for _, n in plan) <= sum(n for _, n in packing.best_fit(histogram, 4096))
+
+
+def test_pattern_of_most_weight():
+    """The bounded knapsack against all patterns."""
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        n = int(rng.integers(1, 5))
+        lengths, counts, weights = np.sort(rng.choice(np.arange(3, 30), n, replace=False)), rng.integers(1, 5, n), rng.random(n)
+        times = packing.price(lengths, weights, counts, 60)
+        assert (times <= counts).all() and (times * lengths).sum() <= 60
+        best = max((np.array(p) * weights).sum() for p in product(*[range(c + 1) for c in counts]) if (np.array(p) * lengths).sum() <= 60)
+        assert abs((times * weights).sum() - best) < 1e-9
