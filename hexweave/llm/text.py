@@ -6,13 +6,14 @@ bounds a task's memory. Null texts count as empty. Hashes are 64-bit polynomials
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -123,8 +124,10 @@ class Texts:
 
 
 class Runs:
+    """Spans of some texts, which it refers to weakly: a cycle would keep a chunk's arrays until garbage is collected."""
+
     def __init__(self, texts: Texts, starts: np.ndarray, ends: np.ndarray, inside: np.ndarray):
-        self.texts, self.starts, self.ends, self.inside = texts, starts, ends, inside
+        self.texts, self.starts, self.ends, self.inside = weakref.proxy(texts), starts, ends, inside
 
     @cached_property
     def first(self) -> np.ndarray:
