@@ -42,6 +42,8 @@ WIDTH = 5
 PERCENT = 85
 #: How likely a pair at the threshold shares no bucket, at most.
 MISS = 2e-5
+#: Most ids of documents that share a bucket which are broadcast: 8 MB of them.
+BROADCAST_IDS = 1_000_000
 #: Rows of a bucket that one block holds.
 BLOCK_ROWS = 256
 #: Columns of one 0-1 matrix.
@@ -248,7 +250,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     shared = cut(bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
     members = cut(bands.join(shared, "bucket"))
     met = cut(members.select("cls", "doc_id", "set_key", "n_shingles").distinct())
-    texts = docs.join(met.select("doc_id").distinct(), "doc_id", "left_semi")
+    ids = cut(met.select("doc_id").distinct())
+    few = ids.count() <= BROADCAST_IDS  # else texts are shuffled to their ids
+    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     sets = cut_texts(full_sets(texts)).join(met, "set_key").select("cls", "n_shingles", "shingles").dropDuplicates(["cls"])
     sets = cut(sets)
     members = members.select("bucket", "cls", "n")

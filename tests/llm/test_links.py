@@ -45,6 +45,46 @@ def test_near_documents_of_odd_tables(odd, empty):
     assert len(twice) == 20 and {(r.doc_id, r.component_id) for r in twice} == {(i, c) for i, (_, c) in got.items()}
 
 
+def test_repeated_and_null_ids(spark):
+    """A document links wherever one of its texts does, whichever row comes first; a null id links with nothing."""
+    long, short = " ".join(f"l{i}" for i in range(200)), " ".join(f"s{i}" for i in range(30))
+    rows = [(5, long), (9, short), (9, long.replace("l7 ", "x ")), (2, short), (None, long), (None, short), (7, "alone " * 9), (7, "alone " * 9)]
+    for some in (rows, rows[::-1]):
+        got = minhash.near_duplicates(spark.createDataFrame(some, "doc_id long, text string")).collect()
+        assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got} == {(5, 196, 2, False), (9, 26, 2, False), (9, 196, 2, False), (2, 26, 2, True), (None, 196, None, True), (None, 26, None, True), (7, 1, 7, True)}
+        assert len(got) == 8
+
+
+def test_a_bucket_without_links_gives_no_pairs(spark, monkeypatch):
+    """What leaves the tasks that compare a bucket's members are links between parts, not pairs; blocks cover all pairs."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(60):  # copies of one text with a tenth changed: similar to it, hardly to each other
+        at = set(rng.choice(200, 6, replace=False).tolist())
+        rows.append((i, " ".join(f"x{i}_{k}" if k in at else w for k, w in enumerate(base))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = minhash.sketches
+    monkeypatch.setattr(minhash, "sketches", lambda *a: made(*a).withColumn("bands", F.array(F.lit(7).cast("long"))))
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 16)
+    compared, found = minhash.compare_groups, []
+    monkeypatch.setattr(minhash, "compare_groups", lambda *a: found.append(compared(*a)) or found[-1])
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
+    assert _documents(docs) == brute.near_documents(rows)
+    assert found[0].count() == 0
+    more = [(100 + i, t.replace("w50 ", "y ")) for i, t in rows]  # a link to each
+    both = spark.createDataFrame(rows + more, "doc_id long, text string")
+    assert _documents(both) == brute.near_documents(rows + more)
+    assert 0 < found[1].count() <= 60 * 45  # parts less one in each pair of blocks
+
+
+def test_common_counts():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 3000, n).astype(np.int64)) for n in (1, 5, 800, 900, 40)]
+    got = minhash.common_counts(sets)
+    assert all(got[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
+
+
 def test_densified_bins_come_from_the_set():
     for n in (1, 2, 7, 100, 5000):
         own = np.unique(np.random.default_rng(n).integers(0, 1 << 63, n).astype(np.uint64))

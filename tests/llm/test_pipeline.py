@@ -52,6 +52,23 @@ def test_odd_rows(spark, documents, stage):
     assert stage(spark, both.limit(0), SF).count() == 0
 
 
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES[:2]], ids=[n for n, _ in corpus_pipeline.STAGES[:2]])
+def test_clashing_names_null_and_repeated_ids(spark, documents, stage):
+    """The same rows stay whatever other columns are called; each row is judged by itself."""
+    docs = documents.limit(60)
+    names = ["kept", "n_words", "p_quality", "lang_pred", "lang_score", "Judged", "told", "row", "part"]
+    odd = docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    model_rows = {r.doc_id for r in stage(spark, docs, SF).collect()}
+    out = stage(spark, odd, SF)
+    assert out.columns == odd.columns
+    assert {r.doc_id for r in out.collect()} == model_rows
+    assert all(tuple(r[n] for n in names) == tuple(range(len(names))) for r in out.collect())
+    twice = docs.unionByName(docs).unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")).withColumn("lang", F.lit(None).cast("string")))
+    kept = [r.doc_id for r in stage(spark, twice, SF).collect()]
+    assert len([i for i in kept if i is None]) * 2 == len([i for i in kept if i is not None])
+    assert all(kept.count(i) == 2 for i in set(kept) - {None})
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql(spark, name):
     assert_same(spark, SF, registry.queries()[name], registry.oracle_sql()[name])
