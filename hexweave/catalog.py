@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +12,11 @@ from hexweave.functions import cells
 from hexweave.operators import audit, paths, stats
 from hexweave.operators.closure import closure_auto, closure_grouped, closure_join, extend, usable_arcs
 from hexweave.operators.finalize import finalize
-from hexweave.operators.pairs import assign_cells, enrich
+from hexweave.operators.pairs import assign_cells, enrich, level_profile
 from hexweave.operators.reduce import changed, merge_min
 from hexweave.plans.hierarchy import Options, Shortcuts, build_shortcuts
-from hexweave.sources.network import audit_input, base_pairs, grid_network
-from hexweave.storage import cut
+from hexweave.sources.network import EDGE_SCHEMA, audit_input, base_pairs, grid_network, load_edges, load_graph, read_shortcuts, write_csv, write_shortcuts
+from hexweave.storage import cut, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 FINAL = ("from_edge", "to_edge", "cost", "inside", "cell")
@@ -110,7 +111,8 @@ def level_stats(spark, sf_dir):
 
 def audit_closed(spark, sf_dir):
     """Of the whole closure: a table of valid pairs alone need not be closed."""
-    return audit.audit_closed(cut(closure_join(_whole(base(spark, sf_dir)))))
+    b = base(spark, sf_dir)
+    return audit.audit_closed(cut(closure_join(_whole(b))), arcs=b)
 
 
 def audit_optimal(spark, sf_dir):
@@ -154,9 +156,9 @@ def canonical_via(spark, sf_dir):
 
 
 def _unpacked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Every pair of the closure."""
     e, via = _closed_via(spark, sf_dir)
-    wanted = via.filter("from_edge < 40").select("from_edge", "to_edge")  # the routes that are asked for
-    return e, paths.unpack(via, wanted)
+    return e, paths.walk(via, via)
 
 
 def unpack_path(spark, sf_dir):
@@ -172,23 +174,16 @@ def path_res_range(spark, sf_dir):
     return paths.path_res_range(path_profile(spark, sf_dir))
 
 
-def _all_unpacked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Every pair of the closure; the three queries above answer for the pairs that their SQL names."""
-    e, via = _closed_via(spark, sf_dir)
-    return e, paths.unpack(via, via)
-
-
 def unpack_all_paths(spark, sf_dir):
-    return _all_unpacked(spark, sf_dir)[1]
+    return unpack_path(spark, sf_dir)
 
 
 def all_path_profiles(spark, sf_dir):
-    e, p = _all_unpacked(spark, sf_dir)
-    return paths.path_profile(p, e)
+    return path_profile(spark, sf_dir)
 
 
 def all_path_res_ranges(spark, sf_dir):
-    return paths.path_res_range(all_path_profiles(spark, sf_dir))
+    return path_res_range(spark, sf_dir)
 
 
 def route_cost(spark, sf_dir):
@@ -207,6 +202,65 @@ def cell_prune(spark, sf_dir):
     return finalize(b, e).join(high, "from_edge").filter(cells.contains("high_cell", "cell")).select("from_edge", "to_edge", "cell", "high_cell")
 
 
+def csv_edges(spark, sf_dir):
+    """Segments written as CSV to the shared folder and read again."""
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    columns = EDGE_SCHEMA.names
+    write_csv(_network(spark, sf_dir)[0].select("maxspeed", *columns[:-1]), path)
+    return load_edges(spark, path)
+
+
+def csv_graph(spark, sf_dir):
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    write_csv(_network(spark, sf_dir)[1], path)
+    return load_graph(spark, path)
+
+
+def parquet_round_trip(spark, sf_dir):
+    """Published pairs written as Parquet, clustered by pruning cell, and read again."""
+    path = f"{shared_dir(spark)}/parquet-{uuid.uuid4().hex}"
+    e, _, b = _network(spark, sf_dir)
+    write_shortcuts(finalize(b, e), path)
+    return read_shortcuts(spark, path).withColumn("inside", F.col("inside").cast("int"))
+
+
+def via_contract(spark, sf_dir):
+    """One row: published shortcuts, and those whose costs to and from the middle edge do not sum to their own."""
+    out = _built(spark, sf_dir)
+    pairs = cut(out.pairs)
+    known = pairs.select("from_edge", "to_edge", "cost")
+    s = out.final().filter("via_edge <> to_edge").select("from_edge", "to_edge", "cost", "via_edge")
+    s = s.join(known.select("from_edge", F.col("to_edge").alias("via_edge"), F.col("cost").alias("c1")), ["from_edge", "via_edge"], "left")
+    s = s.join(known.select(F.col("from_edge").alias("via_edge"), "to_edge", F.col("cost").alias("c2")), ["via_edge", "to_edge"], "left")
+    broken = s.agg(F.count_if(F.coalesce(F.abs(F.col("cost") - F.col("c1") - F.col("c2")) > 1e-9, F.lit(True))).alias("broken"))
+    return out.final().agg(F.count("*").alias("published")).crossJoin(broken)  # one row each
+
+
+def level_activity(spark, sf_dir):
+    """(level, active, cells): which pairs, by which of their cells, take part at each level at the start."""
+    e, _, b = _network(spark, sf_dir)
+    rows = [(level, n, cells_) for level, (n, cells_, _) in level_profile(enrich(b, e)).items()]
+    return spark.createDataFrame(rows, "level int, active long, cells long")
+
+
+def shortcuts_mixed(spark, sf_dir):
+    """Joins for the coarse levels, the grouped kernel for the fine ones."""
+    return _published(build_shortcuts(*grid_network(spark, sf_dir), Options(kernel=lambda level: "join" if level < 2 else "grouped")))
+
+
+def watch_trace(spark, sf_dir):
+    """The last costs that a build reports of the five base pairs with the largest ids."""
+    e, g, b = _network(spark, sf_dir)
+    top = b.filter("from_edge <> to_edge").orderBy(F.desc("from_edge"), F.desc("to_edge")).limit(5).collect()
+    out = build_shortcuts(e, g, Options(watch=tuple((r.from_edge, r.to_edge) for r in top)))
+    order = F.when(F.col("phase") == "forward", -F.col("level")).otherwise(100 + F.col("level"))
+    return out.watched().groupBy("from_edge", "to_edge").agg(F.max_by("cost", order).alias("cost"))
+
+
+def sample_pairs(spark, sf_dir):
+    return audit.sample_pairs(base(spark, sf_dir), 50).select("from_edge", "to_edge", "cost")
+
+
 def queries() -> dict[str, Query]:
     return {
         "edge_costs": edge_costs,
@@ -220,7 +274,8 @@ def queries() -> dict[str, Query]:
         "extend_once": extend_once,
         "merge_min": merge,
         "convergence_changes": convergence_changes,
-        "closure_all": closure(closure_auto),
+        "closure_all": closure(closure_join),
+        "closure_level_2_auto": closure(closure_auto, 2),
         "closure_level_2_join": closure(closure_join, 2),
         "closure_level_2_grouped": closure(closure_grouped, 2),
         "shortcuts_join": shortcuts("join"),
@@ -244,4 +299,12 @@ def queries() -> dict[str, Query]:
         "route_cost": route_cost,
         "explain_pair": explain_pair,
         "cell_prune": cell_prune,
+        "csv_edges": csv_edges,
+        "csv_graph": csv_graph,
+        "parquet_round_trip": parquet_round_trip,
+        "via_contract": via_contract,
+        "level_activity": level_activity,
+        "shortcuts_mixed": shortcuts_mixed,
+        "watch_trace": watch_trace,
+        "sample_pairs": sample_pairs,
     }

@@ -18,7 +18,8 @@ def lca_res(a: str, b: str) -> str:
     return f"(CASE WHEN {a} = 0 OR {b} = 0 OR (({a} >> 45) & 127) <> (({b} >> 45) & 127) THEN -1 WHEN {x} = 0 THEN {low} ELSE least({low}, 14 - ((length(bin({x})) - 1) // 3)) END)"
 
 
-_DIGITS = " + ".join(f"((((x >> {5 - k}) & 1) + 2 * ((y >> {5 - k}) & 1)) << {3 * (15 - k)})" for k in range(1, 6))
+_BITS = "greatest(5, length(bin(w - 1)))"
+_DIGITS = " + ".join(f"(CASE WHEN {_BITS} >= {k} THEN (((x >> greatest({_BITS} - {k}, 0)) & 1) + 2 * ((y >> greatest({_BITS} - {k}, 0)) & 1)) << {3 * (15 - k)} ELSE 0 END)" for k in range(1, 16))
 _L = lca_res("n.cell", "m.cell")
 _INNER, _OUTER = lca_res("a.to_cell", "b.from_cell"), lca_res("a.from_cell", "b.to_cell")
 _PLACE = f"greatest(a.lca_res, b.lca_res) AS lca_res, a.lca_res AS a_res, b.lca_res AS b_res, {parent('a.to_cell', _INNER)} AS inner_cell, {parent('a.from_cell', _OUTER)} AS outer_cell, {_INNER} AS inner_res, {_OUTER} AS outer_res"
@@ -72,19 +73,15 @@ def assigned(level: int) -> str:
 
 
 VIA = """
-mid AS (SELECT a.f, c.t, min(a.t) AS m FROM p a JOIN p c ON a.t = c.f JOIN p s ON s.f = a.f AND s.t = c.t AND s.c = a.c + c.c GROUP BY ALL),
-via AS MATERIALIZED (SELECT p.f AS from_edge, p.t AS to_edge, p.c AS cost, CASE WHEN d.cost = p.c THEN p.t ELSE m END AS via_edge
-  FROM p LEFT JOIN (SELECT from_edge, to_edge, min(cost) AS cost FROM b GROUP BY ALL) d ON d.from_edge = p.f AND d.to_edge = p.t LEFT JOIN mid ON mid.f = p.f AND mid.t = p.t)"""
+arc AS (SELECT from_edge AS f, to_edge AS t, min(cost) AS c FROM b WHERE from_edge <> to_edge GROUP BY ALL),
+mid AS (SELECT a.f, s.t, min(a.t) AS m FROM arc a JOIN p c ON a.t = c.f JOIN p s ON s.f = a.f AND s.t = c.t AND s.c = a.c + c.c GROUP BY ALL),
+via AS MATERIALIZED (SELECT p.f AS from_edge, p.t AS to_edge, p.c AS cost, CASE WHEN d.c = p.c THEN p.t ELSE m END AS via_edge
+  FROM p LEFT JOIN arc d ON d.f = p.f AND d.t = p.t LEFT JOIN mid ON mid.f = p.f AND mid.t = p.t)"""
 UNPACK = """
-un(from_edge, to_edge, a, b, place) AS (SELECT from_edge, to_edge, from_edge, to_edge, '' FROM via WHERE from_edge < 40
-  UNION ALL SELECT u.from_edge, u.to_edge, CASE h WHEN 0 THEN u.a ELSE v.via_edge END, CASE h WHEN 0 THEN v.via_edge ELSE u.b END, u.place || h
-  FROM un u JOIN via v ON v.from_edge = u.a AND v.to_edge = u.b AND v.via_edge <> u.b, (VALUES (0), (1)) AS t(h)),
-hop AS (SELECT u.from_edge, u.to_edge, u.b AS edge, row_number() OVER (PARTITION BY u.from_edge, u.to_edge ORDER BY place) AS pos
-  FROM un u JOIN via v ON v.from_edge = u.a AND v.to_edge = u.b AND v.via_edge = u.b),
-flat AS (SELECT from_edge, to_edge, 0::BIGINT AS pos, from_edge AS edge FROM via WHERE from_edge < 40 UNION ALL SELECT from_edge, to_edge, pos, edge FROM hop),
+un(from_edge, to_edge, pos, edge) AS (SELECT from_edge, to_edge, 0::BIGINT, from_edge FROM via
+  UNION ALL SELECT u.from_edge, u.to_edge, u.pos + 1, v.via_edge FROM un u JOIN via v ON v.from_edge = u.edge AND v.to_edge = u.to_edge WHERE u.edge <> u.to_edge),
+flat AS MATERIALIZED (SELECT * FROM un),
 prof AS (SELECT f.*, e.cost AS edge_cost, coalesce(sum(e.cost) OVER (PARTITION BY from_edge, to_edge ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cost_before, e.lca_res FROM flat f JOIN e ON e.id = f.edge)"""
-#: The same of every pair.
-UNPACK_ALL = UNPACK.replace(" WHERE from_edge < 40", "")
 HALVES = f"""
 h1 AS ({published('b')}),
 h2 AS ({published('(SELECT from_edge, to_edge, min(cost) AS cost FROM (SELECT from_edge, to_edge, 2 * cost AS cost FROM b UNION ALL SELECT * FROM x1) GROUP BY ALL)')})"""
@@ -102,7 +99,8 @@ def oracle_sql() -> dict[str, str]:
     level2 = closure(f"SELECT from_edge AS f, to_edge AS t, current_cell AS k, cost AS c FROM ({assigned(2)})")
     by_cell = "SELECT f AS from_edge, t AS to_edge, c AS cost, k AS current_cell FROM p"
     final = _with(ALL, FINAL, body="SELECT * FROM final")
-    faults = {"null_cell": "e WHERE from_cell IS NULL OR to_cell IS NULL", "null_cost": "e WHERE length IS NULL OR maxspeed IS NULL", "impassable": "e WHERE maxspeed <= 0", "wrong_lca_res": f"e WHERE lca_res IS DISTINCT FROM {lca_res('from_cell', 'to_cell')}", "repeated_id": "(SELECT id FROM e GROUP BY id HAVING count(*) > 1)", "unknown_from_edge": "g ANTI JOIN e ON g.from_edge = e.id", "unknown_to_edge": "g ANTI JOIN e ON g.to_edge = e.id", "self_pair": "g WHERE from_edge = to_edge"}
+    faults = {"null_id": "e WHERE id IS NULL", "null_pair": "g WHERE from_edge IS NULL OR to_edge IS NULL", "null_cell": "e WHERE from_cell IS NULL OR to_cell IS NULL", "null_cost": "e WHERE length IS NULL OR maxspeed IS NULL", "impassable": "e WHERE maxspeed <= 0", "wrong_lca_res": f"e WHERE lca_res IS DISTINCT FROM {lca_res('from_cell', 'to_cell')}", "repeated_id": "(SELECT id FROM e GROUP BY id HAVING count(*) > 1)", "unknown_from_edge": "g ANTI JOIN e ON g.from_edge = e.id", "unknown_to_edge": "g ANTI JOIN e ON g.to_edge = e.id", "self_pair": "g WHERE from_edge = to_edge"}
+    active = " UNION ALL ".join(f"SELECT {level} AS level, {parent(f'{s}_cell', str(level))} AS cell FROM placed WHERE lca_res <= {level} AND {s}_res >= {level}" for level in range(-1, 16) for s in ("inner", "outer"))
     both = "r.cost IS NOT NULL AND n.cost IS NOT NULL"
     return {
         "edge_costs": _with(body="SELECT id, from_node, to_node, length, maxspeed, cost FROM e"),
@@ -119,6 +117,15 @@ def oracle_sql() -> dict[str, str]:
         "closure_all": _with(ALL, body=by_cell),
         "closure_level_2_join": _with(level2, body=by_cell),
         "closure_level_2_grouped": _with(level2, body=by_cell),
+        "closure_level_2_auto": _with(level2, body=by_cell),
+        "shortcuts_mixed": final,
+        "csv_edges": _with(body="SELECT id, from_cell, to_cell, lca_res, length, maxspeed, cost FROM e"),
+        "csv_graph": _with(body="SELECT from_edge, to_edge FROM g"),
+        "parquet_round_trip": _with(f"fb AS ({published('b')})", body="SELECT *, to_edge AS via_edge FROM fb"),
+        "via_contract": _with(ALL, FINAL, body="SELECT count(*) AS published, 0::BIGINT AS broken FROM final"),
+        "level_activity": _with(body=f"SELECT level::INTEGER AS level, sum(n)::BIGINT AS active, count(*) AS cells FROM (SELECT level, cell, count(*) AS n FROM ({active}) GROUP BY ALL) GROUP BY level"),
+        "watch_trace": _with(ALL, body="SELECT f AS from_edge, t AS to_edge, c AS cost FROM p JOIN (SELECT from_edge, to_edge FROM b WHERE from_edge <> to_edge ORDER BY from_edge DESC, to_edge DESC LIMIT 5) ON f = from_edge AND t = to_edge"),
+        "sample_pairs": _with(body="SELECT from_edge, to_edge, cost FROM b ORDER BY md5(from_edge || '-' || to_edge || '-42'), from_edge, to_edge LIMIT 50"),
         "shortcuts_join": final,
         "shortcuts_grouped": final,
         "shortcuts_auto": final,
@@ -133,9 +140,9 @@ def oracle_sql() -> dict[str, str]:
         "unpack_path": _with(ALL, VIA, UNPACK, body="SELECT * FROM flat"),
         "path_profile": _with(ALL, VIA, UNPACK, body="SELECT from_edge, to_edge, pos, edge, edge_cost, cost_before, lca_res FROM prof"),
         "path_res_range": _with(ALL, VIA, UNPACK, body="SELECT from_edge, to_edge, count(*) AS n_edges, min(lca_res) AS min_res, max(lca_res) AS max_res FROM prof GROUP BY ALL"),
-        "unpack_all_paths": _with(ALL, VIA, UNPACK_ALL, body="SELECT * FROM flat"),
-        "all_path_profiles": _with(ALL, VIA, UNPACK_ALL, body="SELECT from_edge, to_edge, pos, edge, edge_cost, cost_before, lca_res FROM prof"),
-        "all_path_res_ranges": _with(ALL, VIA, UNPACK_ALL, body="SELECT from_edge, to_edge, count(*) AS n_edges, min(lca_res) AS min_res, max(lca_res) AS max_res FROM prof GROUP BY ALL"),
+        "unpack_all_paths": _with(ALL, VIA, UNPACK, body="SELECT * FROM flat"),
+        "all_path_profiles": _with(ALL, VIA, UNPACK, body="SELECT from_edge, to_edge, pos, edge, edge_cost, cost_before, lca_res FROM prof"),
+        "all_path_res_ranges": _with(ALL, VIA, UNPACK, body="SELECT from_edge, to_edge, count(*) AS n_edges, min(lca_res) AS min_res, max(lca_res) AS max_res FROM prof GROUP BY ALL"),
         "route_cost": _with(body="SELECT from_edge, to_edge, b.cost + e.cost AS route_cost FROM b LEFT JOIN e ON to_edge = id"),
         "explain_pair": _with(body="SELECT from_edge, to_edge, lca_res, inner_cell, inner_res::INTEGER AS inner_res, outer_cell, outer_res::INTEGER AS outer_res, greatest(inner_res - lca_res + 1, 0)::INTEGER AS inner_levels, greatest(outer_res - lca_res + 1, 0)::INTEGER AS outer_levels FROM placed"),
         "cell_prune": _with(f"fb AS ({published('b')})", body=f"SELECT from_edge, to_edge, cell, {parent('from_cell', '2')} AS high_cell FROM fb JOIN e ON from_edge = id WHERE {parent('cell', res(parent('from_cell', '2')))} = {parent('from_cell', '2')}"),

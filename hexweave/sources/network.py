@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,11 @@ def _read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     return raw.select([F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name) for f in schema])
 
 
+def write_csv(rows: DataFrame, path: str) -> None:
+    """With a header line, as load_edges and load_graph read it."""
+    rows.write.option("header", True).csv(path)
+
+
 def load_edges(spark: SparkSession, path: str) -> DataFrame:
     """Segments of a CSV file or folder, with their costs: one scan for both."""
     return with_cost(_read_csv(spark, path, EDGE_SCHEMA))
@@ -49,16 +54,21 @@ def with_cost(edges: DataFrame) -> DataFrame:
 
 
 def grid_network(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A one-way street grid with a node for each supplier: (edges with cost and end nodes, graph)."""
+    """A one-way street grid with a node for each supplier: (edges with cost and end nodes, graph).
+
+    A side may have 2 ** 15 nodes, as cells have 15 digits.
+    """
     supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("i"))
     side = supplier.agg(F.ceil(F.sqrt(F.count("*"))).cast("long").alias("w"))
     node = supplier.crossJoin(F.broadcast(side)).select(  # one row on the right
         "i", "w", (F.col("i") % F.col("w")).alias("x"), F.floor(F.col("i") / F.col("w")).cast("long").alias("y")
     )
     cell = F.lit((1 << 59) + (15 << 52)) + F.when(4 * F.col("y") >= 3 * F.col("w"), F.lit(21 << 45)).otherwise(F.lit(20 << 45))
-    for k in range(1, 6):
-        digit = F.shiftright("x", 5 - k).bitwiseAND(1) + 2 * F.shiftright("y", 5 - k).bitwiseAND(1)
-        cell = cell + F.shiftleft(digit, 3 * (15 - k))
+    bits = F.greatest(F.lit(5), F.length(F.bin(F.col("w") - 1)))  # digits of a cell: as many as the side needs
+    for k in range(1, 16):
+        at = F.greatest(bits - k, F.lit(0))
+        digit = F.call_function("shiftright", F.col("x"), at).bitwiseAND(1) + 2 * F.call_function("shiftright", F.col("y"), at).bitwiseAND(1)
+        cell = cell + F.when(bits >= k, F.shiftleft(digit, 3 * (15 - k))).otherwise(0)
     node = node.withColumn("cell", cell)
     turn = F.explode(
         F.array(*[F.struct(F.lit(d).alias("dir"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for d, (dx, dy) in enumerate([(1, 0), (-1, 0), (0, 1), (0, -1)])])
@@ -97,23 +107,31 @@ def base_pairs(edges: DataFrame, graph: DataFrame) -> DataFrame:
 
 
 def audit_input(edges: DataFrame, graph: DataFrame) -> DataFrame:
-    """Counts of input faults: (fault, n)."""
-    ids = edges.select("id")
-    faults = {
-        "null_cell": edges.filter(F.col("from_cell").isNull() | F.col("to_cell").isNull()),
-        "null_cost": edges.filter(F.col("length").isNull() | F.col("maxspeed").isNull()),
-        "impassable": edges.filter(F.col("maxspeed") <= 0),
-        "wrong_lca_res": edges.filter(~F.col("lca_res").eqNullSafe(lca_resolution("from_cell", "to_cell"))),
-        "repeated_id": edges.groupBy("id").count().filter("count > 1"),
-        "unknown_from_edge": graph.join(ids, F.col("from_edge") == F.col("id"), "left_anti"),
-        "unknown_to_edge": graph.join(ids, F.col("to_edge") == F.col("id"), "left_anti"),
-        "self_pair": graph.filter("from_edge = to_edge"),
+    """Counts of input faults: (fault, n). Ids and cells that a CSV file spells wrongly are null here."""
+    by_edge = {
+        "null_id": F.col("id").isNull(),
+        "null_cell": F.col("from_cell").isNull() | F.col("to_cell").isNull(),
+        "null_cost": F.col("length").isNull() | F.col("maxspeed").isNull(),
+        "impassable": F.col("maxspeed") <= 0,
+        "wrong_lca_res": ~F.col("lca_res").eqNullSafe(lca_resolution("from_cell", "to_cell")),
     }
-    out = None
-    for name, rows in faults.items():
-        one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("fault"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    by_pair = {
+        "null_pair": F.col("from_edge").isNull() | F.col("to_edge").isNull(),
+        "unknown_from_edge": F.col("from_edge").isNotNull() & F.col("a").isNull(),
+        "unknown_to_edge": F.col("to_edge").isNotNull() & F.col("b").isNull(),
+        "self_pair": F.col("from_edge") == F.col("to_edge"),
+    }
+    ids = edges.filter("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("times"))
+    known = ids.select("id")
+    pairs = graph.join(known.withColumnRenamed("id", "a"), F.col("a") == F.col("from_edge"), "left").join(known.withColumnRenamed("id", "b"), F.col("b") == F.col("to_edge"), "left")
+    counted = [_counts(edges, by_edge), _counts(ids, {"repeated_id": F.col("times") > 1}), _counts(pairs, by_pair)]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
+def _counts(rows: DataFrame, faults: dict[str, Column]) -> DataFrame:
+    """(fault, n) of each condition, by one aggregate."""
+    all_ = rows.agg(*[F.count_if(c).alias(name) for name, c in faults.items()])
+    return all_.select(F.explode(F.array(*[F.struct(F.lit(name).alias("fault"), F.col(name).alias("n")) for name in faults])).alias("x")).select("x.fault", "x.n")
 
 
 def write_shortcuts(shortcuts: DataFrame, path: str) -> None:

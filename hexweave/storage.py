@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, as in tests, one is made and set."""
+    """The folder of spark.checkpoint.dir; where it is unset and Spark runs in this process, one is made and set.
+
+    Raises on a cluster without that setting: executors do not see a folder of the driver's machine.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is to name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='hexweave-')}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)

@@ -12,6 +12,7 @@ from hexweave.operators.closure import closure_auto, closure_grouped, closure_jo
 from hexweave.operators.pairs import assign_cells, enrich
 from hexweave.operators.reduce import merge_min, min_path
 from hexweave.plans.hierarchy import Options, build_shortcuts
+from hexweave import storage
 from hexweave.sources import network
 
 INF = float("inf")
@@ -77,7 +78,7 @@ def test_costs(spark):
     assert {r.id: r.cost for r in edges.collect()} == {1: 4.0, 2: INF, 3: INF, 4: None, 5: None, 6: 0.0}
     graph = _graph(spark, [(1, 2), (1, 2), (9, 1), (1, 9), (1, 1)])
     faults = {r.fault: r.n for r in network.audit_input(edges, graph).collect()}
-    assert faults == {"null_cell": 1, "null_cost": 2, "impassable": 2, "wrong_lca_res": 0, "repeated_id": 0, "unknown_from_edge": 1, "unknown_to_edge": 1, "self_pair": 1}
+    assert faults == {"null_id": 0, "null_pair": 0, "null_cell": 1, "null_cost": 2, "impassable": 2, "wrong_lca_res": 0, "repeated_id": 0, "unknown_from_edge": 1, "unknown_to_edge": 1, "self_pair": 1}
     assert sorted((r.from_edge, r.to_edge, r.cost) for r in network.base_pairs(edges, graph).collect()) == sorted([(1, 2, 4.0), (9, 1, None), (1, 9, 4.0), (1, 1, 4.0)], key=str)
 
 
@@ -205,6 +206,45 @@ def test_unpack_stops_on_free_cycles(spark):
         paths.unpack(s, s.filter("from_edge = 1 AND to_edge = 2").select("from_edge", "to_edge"), max_rounds=3)
 
 
+def test_long_paths(spark):
+    """Two hundred segments: by jumps where each via is the next segment, by halves where vias are a closure's own."""
+    n = 200
+    base = spark.createDataFrame([(i, i + 1, 1.0, i + 1, 0) for i in range(n)], ARCS)
+    whole = closure_join(base)
+    via = paths.canonical_via(whole, base)
+    wanted = whole.filter(f"from_edge = 0 AND to_edge IN (1, 63, {n})").select("from_edge", "to_edge")
+    for got in (paths.walk(via, wanted), paths.unpack(whole, wanted)):
+        rows = sorted((r.to_edge, r.pos, r.edge) for r in got.collect())
+        assert rows == sorted((t, i, i) for t in (1, 63, n) for i in range(t + 1))
+
+
+def test_walk_stops_on_free_cycles(spark):
+    s = spark.createDataFrame([(1, 2, 3), (3, 2, 1)], "from_edge long, to_edge long, via_edge long")
+    with pytest.raises(RuntimeError):
+        paths.walk(s, s)
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError):
+        storage.shared_dir(Cluster)
+
+
+def test_malformed_ids_are_counted(spark, tmp_path):
+    (tmp_path / "edges.csv").write_text("id,from_cell,to_cell,lca_res,length,maxspeed\nx1,0,0,-1,1,1\n2,0,y,-1,1,1")
+    (tmp_path / "graph.csv").write_text("from_edge,to_edge\n2,z\n2,2")
+    edges, graph = network.load_edges(spark, str(tmp_path / "edges.csv")), network.load_graph(spark, str(tmp_path / "graph.csv"))
+    faults = {r.fault: r.n for r in network.audit_input(edges, graph).collect()}
+    assert (faults["null_id"], faults["null_pair"], faults["null_cell"], faults["self_pair"], faults["unknown_to_edge"]) == (1, 1, 1, 1, 0)
+
+
 def test_unpack_walks_the_graph(spark):
     rows, graph = _random_network(5, 12)
     edges = _edges(spark, rows)
