@@ -10,7 +10,9 @@ Notices are hard-wrapped too, so runs of successive words that go across lines a
 SLACK times the template has, for comment marks and insertions. Documents that hold too few tokens as a whole are left
 out first; every run that begins with a token is verified in the others.
 
-Null texts count as empty: no words, no labels, score 0. Rows that repeat a doc_id share the labels that lines give.
+Null texts count as empty: no words, no labels, score 0. Each row is a document of its own: rows that repeat a doc_id
+with other texts share no lines, and rows with a null doc_id have their labels. Other columns are not looked at. An
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -69,10 +71,19 @@ def _hits(found: Column, phrase: str) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(found)), at)
 
 
+#: What names a row's text in joins: its id, never null, and a hash of the text. Rows alike in both have equal results.
+ROW = ("id", "of_text")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, id, of_text, text)"""
+    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("of_text"), "text")
+
+
 def phrase_hits(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_base, first_word, last_word, base) of each row; places are sought only where a cheap pattern allows."""
+    """(doc_id, id, of_text, n_words, n_base, first_word, last_word, base) of each row; places are sought only where a cheap pattern allows."""
     any_phrase = "(?i)" + "|".join(_GAP.join(p.split()) for p in PHRASES)
-    rows = docs.select("doc_id", F.col("text").rlike(any_phrase).alias("may"), words("text").alias("words"))
+    rows = docs.select("doc_id", *ROW, F.col("text").rlike(any_phrase).alias("may"), words("text").alias("words"))
     none = F.array().cast("array<int>")
     for k, phrase in enumerate(PHRASES):
         rows = rows.withColumn(f"hits_{k}", F.when(F.col("may"), _hits(F.col("words"), phrase)).otherwise(none))
@@ -80,7 +91,8 @@ def phrase_hits(docs: DataFrame) -> DataFrame:
     labels = F.array_compact(F.array(*[F.when(F.size(f"hits_{k}") > 0, F.lit(label)) for k, label in enumerate(PHRASES.values())]))
     return rows.select(
         "doc_id",
-        F.coalesce(F.size("words"), F.lit(0)).cast("long").alias("n_words"),
+        *ROW,
+        F.when(F.col("words").isNull(), 0).otherwise(F.size("words")).cast("long").alias("n_words"),
         F.size(all_hits).cast("long").alias("n_base"),
         F.array_min(all_hits).cast("long").alias("first_word"),
         F.array_max(all_hits).cast("long").alias("last_word"),
@@ -98,56 +110,55 @@ def template_tokens(docs: DataFrame) -> DataFrame:
 
 
 def line_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, label, containment): the lines of each document that meet a template, best line of each label."""
+    """(id, of_text, label, containment): the lines of each document that meet a template, best line of each label."""
     templates = cut(template_tokens(docs))
     vocabulary = templates.select("token").distinct()
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "of")).filter(F.col("of") != "")
-    spoken = lines.select("doc_id", "line", F.explode(words("of")).alias("word")).select("doc_id", "line", F.lower("word").alias("token"), F.octet_length("word").alias("bytes"))
+    lines = docs.select(*ROW, F.posexplode(F.split("text", "\n")).alias("line", "of")).filter(F.col("of") != "")
+    spoken = lines.select(*ROW, "line", F.explode(words("of")).alias("word")).select(*ROW, "line", F.lower("word").alias("token"), F.octet_length("word").alias("bytes"))
     held = spoken.join(F.broadcast(vocabulary), "token").filter(F.col("bytes") == F.length("token"))  # the templates' words alone
-    held = cut(held.groupBy("doc_id", "line", "token").agg(F.lit(1).alias("one")).select("doc_id", "line", "token"))
+    held = cut(held.groupBy(*ROW, "line", "token").agg(F.lit(1).alias("one")).select(*ROW, "line", "token"))
     order = F.row_number().over(Window.partitionBy("label").orderBy("lines", "token"))
     frequency = held.groupBy("token").agg(F.count("*").alias("lines"))
     ranked = cut(templates.join(frequency, "token", "left").fillna(0, ["lines"]).withColumn("place", order))
     need = F.ceil(F.lit(threshold) * F.col("size") - F.lit(1e-9)).cast("int")
     prefix = ranked.withColumn("need", need).filter(F.col("place") <= F.col("size") - F.col("need") + 1)
-    n_tokens = held.groupBy("doc_id", "line").agg(F.count("*").alias("n_tokens"))
-    first = held.join(F.broadcast(prefix), "token").groupBy("doc_id", "line", "label", "size", "need").agg(F.min("place").alias("place"))
-    long = first.join(n_tokens, ["doc_id", "line"]).filter((F.col("n_tokens") >= F.col("need")) & (F.col("size") - F.col("place") + 1 >= F.col("need")))
-    candidates = long.select("doc_id", "line", "label", "size", "need")
-    common = candidates.join(F.broadcast(templates.select("label", "token")), "label").join(held, ["doc_id", "line", "token"])
-    found = common.groupBy("doc_id", "line", "label", "size", "need").agg(F.count("*").alias("n")).filter(F.col("n") >= F.col("need"))
-    return found.groupBy("doc_id", "label").agg(F.max(F.col("n") / F.col("size")).alias("containment"))
+    n_tokens = held.groupBy(*ROW, "line").agg(F.count("*").alias("n_tokens"))
+    first = held.join(F.broadcast(prefix), "token").groupBy(*ROW, "line", "label", "size", "need").agg(F.min("place").alias("place"))
+    long = first.join(n_tokens, [*ROW, "line"]).filter((F.col("n_tokens") >= F.col("need")) & (F.col("size") - F.col("place") + 1 >= F.col("need")))
+    candidates = long.select(*ROW, "line", "label", "size", "need")
+    common = candidates.join(F.broadcast(templates.select("label", "token")), "label").join(held, [*ROW, "line", "token"])
+    found = common.groupBy(*ROW, "line", "label", "size", "need").agg(F.count("*").alias("n")).filter(F.col("n") >= F.col("need"))
+    return found.groupBy(*ROW, "label").agg(F.max(F.col("n") / F.col("size")).alias("containment"))
 
 
 def wrapped_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, label, containment): the runs of words of each document, whatever its lines, that meet a template."""
+    """(id, of_text, label, containment): the runs of words of each document, whatever its lines, that meet a template."""
     texts = docs.sparkSession.createDataFrame(list(TEMPLATES.items()), "label string, text string").withColumn("all", words(F.lower("text")))
     sets = texts.select("label", (SLACK * F.size("all")).alias("reach"), F.array_except("all", F.array(*map(F.lit, STOP))).alias("want"))
     need = F.ceil(F.lit(threshold) * F.size("want") - F.lit(1e-9)).cast("int")
     templates = cut(sets.withColumn("need", need))
     vocabulary = templates.select(F.explode("want").alias("token")).distinct()
-    row = ["doc_id", "of_text"]  # rows may repeat a doc_id
-    spoken = docs.select("doc_id", F.xxhash64("text").alias("of_text"), F.posexplode(words("text")).alias("at", "word"))
-    said = spoken.select(*row, "at", F.lower("word").alias("token"), F.octet_length("word").alias("bytes"))
-    held = cut(said.join(F.broadcast(vocabulary), "token").filter(F.col("bytes") == F.length("token")).select(*row, "at", "token"))
-    whole = held.groupBy(*row).agg(F.collect_set("token").alias("said"))  # of the templates' words at most
+    spoken = docs.select(*ROW, F.posexplode(words("text")).alias("at", "word"))
+    said = spoken.select(*ROW, "at", F.lower("word").alias("token"), F.octet_length("word").alias("bytes"))
+    held = cut(said.join(F.broadcast(vocabulary), "token").filter(F.col("bytes") == F.length("token")).select(*ROW, "at", "token"))
+    whole = held.groupBy(*ROW).agg(F.collect_set("token").alias("said"))  # of the templates' words at most
     may = whole.join(F.broadcast(templates), F.size(F.array_intersect("said", "want")) >= F.col("need")).drop("said")
-    tokens = held.join(cut(may), row).filter(F.array_contains("want", F.col("token")))
+    tokens = held.join(cut(may), [*ROW]).filter(F.array_contains("want", F.col("token")))
     longest = SLACK * max(len(t.replace("-", " ").replace(".", " ").split()) for t in TEMPLATES.values())
-    run = Window.partitionBy(*row, "label").orderBy("at").rangeBetween(0, longest - 1)
+    run = Window.partitionBy(*ROW, "label").orderBy("at").rangeBetween(0, longest - 1)
     runs = tokens.withColumn("run", F.collect_list(F.struct("at", "token")).over(run))
     near = F.filter("run", lambda x: x["at"] < F.col("at") + F.col("reach"))
     n = F.size(F.array_distinct(F.transform(near, lambda x: x["token"])))
-    found = runs.select("doc_id", "label", "need", n.alias("n"), F.size("want").alias("size")).filter(F.col("n") >= F.col("need"))
-    return found.groupBy("doc_id", "label").agg(F.max(F.col("n") / F.col("size")).alias("containment"))
+    found = runs.select(*ROW, "label", "need", n.alias("n"), F.size("want").alias("size")).filter(F.col("n") >= F.col("need"))
+    return found.groupBy(*ROW, "label").agg(F.max(F.col("n") / F.col("size")).alias("containment"))
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of each row."""
-    docs = docs.select("doc_id", "text")
+    docs = _keyed(docs)
     matches = line_matches(docs, threshold).unionByName(wrapped_matches(docs, threshold))
-    lines = cut(matches.groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best")))  # of TEMPLATES labels at most
-    rows = phrase_hits(docs).join(lines, "doc_id", "left")
+    lines = cut(matches.groupBy(*ROW).agg(F.collect_set("label").alias("more"), F.max("containment").alias("best")))  # of TEMPLATES labels at most
+    rows = phrase_hits(docs).join(lines, [*ROW], "left")
     none = F.array().cast("array<string>")
     return rows.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",

@@ -155,6 +155,17 @@ def test_license_phrases(spark):
     assert got[5].labels == "gpl-3" and got[6].labels == "" and got[8].labels == "bsd" and (got[5].base_labels, got[5].score) == ("", 1.0)
 
 
+def test_licenses_of_repeated_and_null_ids(spark):
+    """Each row by itself; lengths of nulls are 0 whatever the session's settings."""
+    rows = [(1, "licensed under the GNU general"), (1, "public license version 3"), (None, "Licensed under the GNU General Public License version 3"), (None, None), (1, "Licensed under the GNU\nGeneral Public License version 3"), (2, None)]
+    was = spark.conf.get("spark.sql.ansi.enabled")
+    for ansi in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        got = licenses.scan(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, id string")).collect()
+        assert sorted((str(r.doc_id), r.n_words, r.labels, r.score) for r in got) == sorted([("1", 5, "", 0.0), ("1", 4, "", 0.0), ("None", 9, "gpl-3", 1.0), ("None", 0, "", 0.0), ("1", 9, "gpl-3", 1.0), ("2", 0, "", 0.0)])
+    spark.conf.set("spark.sql.ansi.enabled", was)
+
+
 def test_license_scan_of_an_empty_table(empty):
     assert licenses.scan(empty).count() == 0
 
