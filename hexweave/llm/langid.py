@@ -1,11 +1,12 @@
 """Language by words first, then by shorter and shorter character n-grams.
 
 A term (letters, digits, and all that is not ASCII) that the training sample has at least twice is scored by its log
-frequency in each language. An unseen term is scored by its known character 5-grams; if it has none, by its 4-grams,
-and so on to single bytes. A text's language has the largest mean over its terms.
+frequency in each language. An unseen term is scored by its known 5-grams of characters; if it has none, by its 4-grams,
+and so on to single characters. A text's language has the largest mean over its terms.
 
 `und`, with score 0, for a null text and one without a letter. A text with letters always has a learned language.
-Rows whose `lang` is null teach nothing; without any that does, every text is `und`.
+Rows whose `lang` is null teach nothing; without any that does, every text is `und`. Rows are told one by one, so
+repeated rows and null ids are told like others; rows that repeat a doc_id teach each, up to the sample's ids.
 """
 
 from __future__ import annotations
@@ -24,8 +25,7 @@ from hexweave.llm.text import Texts, chunks, mix, of_text, text_sums
 #: Labelled rows that the model is fitted on, in an order by hash; about 10 MB of text.
 SAMPLE = 3000
 ORDERS = (5, 4, 3, 2, 1)
-SLOTS = 1 << 18
-#: How often the sample has a term or an n-gram of two bytes and more that is known.
+#: How often the sample has a term or an n-gram of two characters and more that is known.
 LEAST_TIMES = 2
 UND = "und"
 _LETTER = np.zeros(256, bool)
@@ -35,33 +35,34 @@ _U = np.uint64
 
 @dataclass
 class Table:
-    """Hash to log frequency in each language: one slot a hash, the more frequent one keeps it."""
+    """Hash to log frequency in each language, by search among sorted hashes."""
 
     keys: np.ndarray
     logs: np.ndarray
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        slot = (h >> _U(40)).astype(np.int64) & (SLOTS - 1)
-        return slot, self.keys[slot] == h
+        """(row of each hash, whether it is known)."""
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return at, self.keys[at] == h
 
     @classmethod
     def of(cls, keys: np.ndarray, counts: np.ndarray) -> "Table":
         """From distinct hashes and how often each language has them (a column a language)."""
-        logs = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * max(1, len(keys))))
-        order = np.lexsort((keys, counts.sum(1)))[::-1]  # the most frequent first
-        slot = (keys >> _U(40)).astype(np.int64) & (SLOTS - 1)
-        held, first = np.unique(slot[order], return_index=True)
-        out = cls(np.zeros(SLOTS, _U), np.zeros((SLOTS, counts.shape[1]), np.float32))
-        out.keys[held], out.logs[held] = keys[order[first]], logs[order[first]]
-        return out
+        if not len(keys):
+            return cls(np.zeros(1, _U), np.zeros((1, counts.shape[1]), np.float32))
+        logs = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * len(keys)))
+        order = np.argsort(keys)
+        return cls(keys[order], logs[order].astype(np.float32))
 
 
 def ngrams(texts: Texts, starts: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, index of the span) of all n-byte grams of the spans."""
-    room = np.maximum(ends - starts - n + 1, 0)
+    """(hash, index of the span) of all grams of n characters of the spans."""
+    begin, before = texts.characters
+    first = before[starts]
+    room = np.maximum(before[ends] - first - n + 1, 0)
     of = np.repeat(np.arange(len(starts)), room)
-    at = np.arange(len(of)) - np.repeat(np.cumsum(room) - room, room) + starts[of]
-    return mix(texts.span_hash(at, at + n, True) + _U(n)), of
+    at = np.arange(len(of)) - np.repeat(np.cumsum(room) - room, room) + first[of]
+    return mix(texts.span_hash(begin[at], begin[at + n], True) + _U(n)), of
 
 
 @dataclass
@@ -72,8 +73,8 @@ class Model:
 
     def score(self, texts: Texts) -> tuple[list[str], np.ndarray]:
         terms = texts.terms
-        slot, known = self.words.find(terms.lower)
-        logs = np.where(known[:, None], self.words.logs[slot], 0)
+        at, known = self.words.find(terms.lower)
+        logs = np.where(known[:, None], self.words.logs[at], 0)
         open_ = np.flatnonzero(~known)
         for n in ORDERS:
             if not len(open_):

@@ -83,6 +83,14 @@ class Texts:
     def _sums_raw(self) -> np.ndarray:
         return self._sums(self.data)
 
+    @cached_property
+    def characters(self) -> tuple[np.ndarray, np.ndarray]:
+        """(where each character begins, and the end; how many begin before each byte, and before the end)."""
+        first = (self.data & 0xC0) != 0x80
+        before = np.zeros(len(self.data) + 1, np.int64)
+        np.cumsum(first, out=before[1:])
+        return np.append(np.flatnonzero(first), len(self.data)), before
+
     def per_text(self, mask: np.ndarray) -> np.ndarray:
         """How many bytes of each text are marked."""
         sums = np.zeros(len(mask) + 1, dtype=np.int64)

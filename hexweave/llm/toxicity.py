@@ -25,7 +25,8 @@ from hexweave.llm.text import Texts, chunks
 PER_CLASS = 1500
 BITS = 20
 PREFIXES = (4, 5, 6)
-KEPT_TERMS = 512
+#: Of 256, 512, 1024 and 4096 the best by inner_accuracy on the 0.1 tables (0.881, 0.873, 0.873, 0.831).
+KEPT_TERMS = 256
 RANK = 8
 LEAST_TEXTS = 4
 _U = np.uint64
@@ -86,18 +87,32 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[l
     return [rows[i] for i in order], y[order] if len(y) else y
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, epochs: int = 12, rate: float = 0.1) -> Model | None:
-    """Stochastic gradient descent with AdaGrad steps on four fifths of the sample; the rest calibrates."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, kept_terms: int = KEPT_TERMS) -> Model | None:
+    """From a bounded sample of rows outside the held-out fold: tasks find the terms, the driver trains."""
     rows, y = training_rows(docs, labels, per_class)
-    if len(set(y.tolist())) < 2:
-        return None
+    return learn_model(rows, y, kept_terms) if len(set(y.tolist())) == 2 else None
+
+
+def inner_accuracy(docs: DataFrame, labels: DataFrame, kept_terms: int, per_class: int = PER_CLASS) -> float:
+    """Balanced accuracy over every third row of the training sample of a model of the others: for choosing KEPT_TERMS."""
+    rows, y = training_rows(docs, labels, per_class)
+    apart = np.arange(len(y)) % 3 == 1
+    model = learn_model([r for r, a in zip(rows, apart) if not a], y[~apart], kept_terms)
+    own = [np.unique(model.number[r][model.number[r] >= 0]).astype(np.int64) for r, a in zip(rows, apart) if a]
+    raw = model.raw(np.concatenate(own), np.repeat(np.arange(len(own)), [len(o) for o in own]), len(own))
+    right = (sigmoid(model.slope * raw + model.shift) >= 0.5) == y[apart]
+    return float(np.mean([right[y[apart] == k].mean() for k in (0, 1)]))
+
+
+def learn_model(rows: list[np.ndarray], y: np.ndarray, kept_terms: int, epochs: int = 12, rate: float = 0.1) -> Model:
+    """Stochastic gradient descent with AdaGrad steps on four fifths of the rows; the rest calibrates."""
     flat = np.concatenate(rows)
     label = np.repeat(y, [len(r) for r in rows])
     n1 = np.bincount(flat[label == 1], minlength=1 << BITS).astype(float)
     n0 = np.bincount(flat[label == 0], minlength=1 << BITS).astype(float)
     p1, p0 = (n1 + 0.5) / ((y == 1).sum() + 1), (n0 + 0.5) / ((y == 0).sum() + 1)
     gap = np.where(n1 + n0 >= LEAST_TEXTS, (p1 - p0) ** 2 / (p1 + p0), -1.0)
-    kept = np.sort(np.argsort(-gap, kind="stable")[:KEPT_TERMS])
+    kept = np.sort(np.argsort(-gap, kind="stable")[:kept_terms])
     kept = kept[gap[kept] > 0]
     number = np.full(1 << BITS, -1, np.int16)
     number[kept] = np.arange(len(kept))

@@ -1,6 +1,7 @@
 """Plain versions of the operators' contracts, row by row, to hold results against."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -140,3 +141,89 @@ def check_places(rows, size=4096):
             end += length
         assert end <= size
     return len(at), sum(r.length for r in rows)
+
+
+BASE, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+
+def mixed(x):
+    x &= MASK
+    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> shift)) * times & MASK
+    return x ^ (x >> 31)
+
+
+def span_hash(raw):
+    """The hash of a byte string, place by place."""
+    return mixed(sum((b + 1) * pow(BASE, i, 1 << 64) for i, b in enumerate(raw)) + len(raw))
+
+
+def sigmoid(x):
+    return 1 / (1 + math.exp(-x))
+
+
+def toxic_score(text, model, prefixes, bits):
+    """A factorization machine, each pair of terms by itself."""
+    words = [w.encode() for w in TERM.findall(lower(text or ""))]
+    slots = {span_hash(w) >> 64 - bits for w in words}
+    slots |= {(span_hash(w[:n]) * (2 * n + 1) & MASK) >> 64 - bits for w in words for n in prefixes if len(w) > n}
+    own = sorted({int(model.number[s]) for s in slots} - {-1})
+    raw = model.bias + sum(model.weights[i] for i in own)
+    raw += sum(float(model.vectors[a] @ model.vectors[b]) for k, a in enumerate(own) for b in own[:k])
+    return sigmoid(model.slope * raw + model.shift)
+
+
+def family_slots(text, bits):
+    """{family: slot of each place}"""
+    text = text or ""
+    raw, words = text.encode(), [w.encode() for w in SPACE.findall(text)]
+    h = [span_hash(w) for w in words]
+    code = [(int.from_bytes(raw[i : i + 4], "little") * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - bits for i in range(len(raw) - 3)]
+    pair = [0 if a == b else ((a * 0xD6E8FEB86659FD93 + b * 0x9E3779B97F4A7C15) & MASK) >> 64 - bits for a, b in zip(h, h[1:])]
+    return {"bytes": code, "word": [x >> 64 - bits for x in h], "pair": pair}
+
+
+def embedded_score(text, model, families, bits):
+    """Softmax of the mean vectors of each family's places."""
+    hidden = np.zeros(model.vectors.shape[1])
+    for k, family in enumerate(families):
+        slots = family_slots(text, bits)[family]
+        for s in slots:
+            hidden += model.vectors[(k << bits) + s] / len(slots)
+    z = model.outputs @ hidden + model.biases
+    return math.exp(z[1] - z.max()) / sum(math.exp(x - z.max()) for x in z)
+
+
+def language_scores(rows, texts, orders, least):
+    """{text: {lang: mean log frequency}} by words, then shorter and shorter n-grams, from (text, lang) rows."""
+    langs = sorted({lang for _, lang in rows})
+    words, grams = Counter(), Counter()
+    for text, lang in rows:
+        own = TERM.findall(lower(text))
+        words.update((w, lang) for w in own)
+        for w in set(own):
+            grams.update((n, w[i : i + n], lang) for n in orders for i in range(len(w) - n + 1))
+
+    def table(counts, keep):
+        total = Counter()
+        for (*key, _), c in counts.items():
+            total[tuple(key)] += c
+        known = [k for k, c in total.items() if keep(k, c)]
+        sums = {lang: sum(counts[(*k, lang)] for k in known) for lang in langs}
+        return {k: [math.log((counts[(*k, lang)] + 0.5) / (sums[lang] + 0.5 * len(known))) for lang in langs] for k in known}
+
+    known = table(words, lambda k, c: c >= least)
+    by_order = {n: table(Counter({k: c for k, c in grams.items() if k[0] == n}), lambda k, c: k[0] == 1 or c >= least) for n in orders}
+    out = {}
+    for text in texts:
+        logs = []
+        for w in TERM.findall(lower(text)):
+            own = known.get((w,))
+            for n in orders if own is None else ():
+                hit = [by_order[n][n, w[i : i + n]] for i in range(len(w) - n + 1) if (n, w[i : i + n]) in by_order[n]]
+                if hit:
+                    own = np.mean(hit, axis=0)
+                    break
+            logs.append(own if own is not None else [0.0] * len(langs))
+        out[text] = dict(zip(langs, np.mean(logs, axis=0)))
+    return out

@@ -110,10 +110,56 @@ def test_models_do_not_depend_on_the_deal(documents, labels):
     a, b = (rules.fit(d, labels) for d in (documents.repartition(1), documents.repartition(7, "source")))
     assert np.array_equal(a.weights, b.weights)
     a, b = (langid.fit(d) for d in (documents.repartition(1), documents.repartition(7, "source")))
-    assert np.array_equal(a.words.logs, b.words.logs) and all(np.array_equal(a.grams[n].logs, b.grams[n].logs) for n in langid.ORDERS)
+    assert np.array_equal(a.words.keys, b.words.keys) and np.array_equal(a.words.logs, b.words.logs) and all(np.array_equal(a.grams[n].logs, b.grams[n].logs) for n in langid.ORDERS)
     assert np.array_equal(*[toxicity.fit(d, labels).weights for d in (documents.repartition(1), documents.repartition(7, "source"))])
 
 
+def test_scores_by_plain_loops(documents, labels):
+    """Operators 3 and 5: the query's scores are those of the plain formulas for the same model."""
+    texts = {r.doc_id: r.text for r in documents.select("doc_id", "text").collect()}
+    some = [i for i in sorted(texts) if i % 40 == 3 and len(texts[i] or "") < 3000]
+    assert len(some) > 10
+    model = toxicity.fit(documents, labels)
+    got = {r.doc_id: r.score for r in toxicity.toxicity(documents, labels).collect()}
+    for i in some:
+        assert got[i] == pytest.approx(brute.toxic_score(texts[i], model, toxicity.PREFIXES, toxicity.BITS), abs=1e-9)
+    model = quality.fit(documents, labels)
+    got = {r.doc_id: r.score for r in quality.quality(documents, labels).collect()}
+    for i in some:
+        assert got[i] == pytest.approx(brute.embedded_score(texts[i], model, features.FAMILIES, features.BITS), abs=1e-4)
+
+
+def test_rules_verdict_by_plain_loops(documents, labels):
+    """Operator 4: the model's verdict is a calibrated logistic of the mean weight of each family's places."""
+    model = rules.fit(documents, labels)
+    rows = {r.doc_id: r for r in rules.quality_rules(documents, labels).collect()}
+    for r in documents.select("doc_id", "text").filter("doc_id % 50 = 7").collect():
+        raw = model.bias
+        for k, family in enumerate(features.FAMILIES):
+            slots = brute.family_slots(r.text, features.BITS)[family]
+            raw += sum(float(model.weights[(k << features.BITS) + s]) for s in slots) / max(1, len(slots))
+        p, got = brute.sigmoid(model.slope * raw + model.shift), rows[r.doc_id]
+        assert got.p_quality == pytest.approx(p, abs=1e-5) and got.kept == (not got.base_failed and got.p_quality >= rules.THRESHOLD)
+
+
+def test_languages_by_plain_loops(spark):
+    """Operator 10, with letters of several bytes."""
+    rng = np.random.default_rng(6)
+    words = {"en": "the bread upon a table where rivers run past old mills".split(), "de": "der größere hund läuft über die straße im wald".split(), "el": "ο σκύλος τρέχει στο μεγάλο δάσος".split()}
+    rows = [(i, " ".join(rng.choice(words[lang], 6)), lang) for i in range(60) for lang in [list(words)[i % 3]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taught = [(t, lang) for i, t, lang in rows if brute.crc(i, 4) != 2]
+    new = ["größer straßen", "mill bread wheres", "σκύλοι τρέχουν", "hundert riversides", "x"]
+    asked = docs.unionByName(spark.createDataFrame([(1000 + k, t, None) for k, t in enumerate(new)], docs.schema))
+    want = brute.language_scores(taught, [t for _, t, _ in rows] + new, langid.ORDERS, langid.LEAST_TIMES)
+    texts = dict([(i, t) for i, t, _ in rows] + [(1000 + k, t) for k, t in enumerate(new)])
+    for r in langid.language(asked).collect():
+        means = want[texts[r.doc_id]]
+        p = {lang: np.exp(20 * (m - max(means.values()))) for lang, m in means.items()}
+        assert means[r.lang_pred] == pytest.approx(max(means.values()), abs=1e-5)
+        assert r.score == pytest.approx(p[r.lang_pred] / sum(p.values()), abs=1e-3)
+
+
 def test_fold(spark):
     rows = spark.range(200).select("id", fold("id", 5).alias("f")).collect()
     assert all(r.f == brute.crc(r.id, 5) for r in rows)
