@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexweave.llm.graph import components
-from hexweave.llm.tables import cut_texts, map_texts, whole_groups
+from hexweave.llm.tables import cut_texts, map_texts, when_few, whole_groups
 from hexweave.llm.text import Texts, mix, windows
 from hexweave.storage import cut
 
@@ -42,8 +42,6 @@ WIDTH = 5
 PERCENT = 85
 #: How likely a pair at the threshold shares no bucket, at most.
 MISS = 2e-5
-#: Most ids of documents that share a bucket which are broadcast: 8 MB of them.
-BROADCAST_IDS = 1_000_000
 #: Rows of a bucket that one block holds.
 BLOCK_ROWS = 256
 #: Columns of one 0-1 matrix.
@@ -246,16 +244,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = sketch.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("of"))
     classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()))
     one = sketch.join(classes.select("cls", "set_key", F.col("of").alias("doc_id")), ["doc_id", "set_key"]).dropDuplicates(["cls"])
-    bands = cut(one.select("cls", "doc_id", "set_key", "n_shingles", F.explode("bands").alias("bucket")))
+    one = cut(one.select("cls", "doc_id", "set_key", "n_shingles", "bands"))
+    bands = one.select("cls", F.explode("bands").alias("bucket"))
     shared = cut(bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
-    members = cut(bands.join(shared, "bucket"))
-    met = cut(members.select("cls", "doc_id", "set_key", "n_shingles").distinct())
-    ids = cut(met.select("doc_id").distinct())
-    few = ids.count() <= BROADCAST_IDS  # else texts are shuffled to their ids
-    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    sets = cut_texts(full_sets(texts)).join(met, "set_key").select("cls", "n_shingles", "shingles").dropDuplicates(["cls"])
+    members = cut(bands.join(shared, "bucket").select("bucket", "cls", "n"))
+    met = cut(one.select("cls", "doc_id", "set_key", "n_shingles").join(members.select("cls").distinct(), "cls", "left_semi"))
+    texts = docs.join(when_few(met.select("doc_id").distinct()), "doc_id", "left_semi")
+    sets = cut_texts(full_sets(texts)).dropDuplicates(["set_key"]).join(met, "set_key").select("cls", "n_shingles", "shingles")
     sets = cut(sets)
-    members = members.select("bucket", "cls", "n")
     centres = cut(stars(members))
     star = members.join(centres, "bucket").filter(F.col("cls") != F.col("centre"))
     star = star.select(F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")).distinct()

@@ -69,7 +69,7 @@ def test_a_bucket_without_links_gives_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_ROWS", 16)
     compared, found = minhash.compare_groups, []
     monkeypatch.setattr(minhash, "compare_groups", lambda *a: found.append(compared(*a)) or found[-1])
-    monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(minhash, "when_few", lambda ids: ids)
     assert _documents(docs) == brute.near_documents(rows)
     assert found[0].count() == 0
     more = [(100 + i, t.replace("w50 ", "y ")) for i, t in rows]  # a link to each
