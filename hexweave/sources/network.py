@@ -65,10 +65,12 @@ def grid_network(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     )
     cell = F.lit((1 << 59) + (15 << 52)) + F.when(4 * F.col("y") >= 3 * F.col("w"), F.lit(21 << 45)).otherwise(F.lit(20 << 45))
     bits = F.greatest(F.lit(5), F.length(F.bin(F.col("w") - 1)))  # digits of a cell: as many as the side needs
-    for k in range(1, 16):
-        at = F.greatest(bits - k, F.lit(0))
-        digit = F.call_function("shiftright", F.col("x"), at).bitwiseAND(1) + 2 * F.call_function("shiftright", F.col("y"), at).bitwiseAND(1)
-        cell = cell + F.when(bits >= k, F.shiftleft(digit, 3 * (15 - k))).otherwise(0)
+
+    def with_digit(so_far: Column, k: Column) -> Column:
+        x, y = (F.call_function("shiftright", F.col(c), bits - k).bitwiseAND(1) for c in "xy")
+        return so_far + F.call_function("shiftleft", x + 2 * y, 3 * (15 - k))
+
+    cell = F.aggregate(F.sequence(F.lit(1), bits), cell, with_digit)
     node = node.withColumn("cell", cell)
     turn = F.explode(
         F.array(*[F.struct(F.lit(d).alias("dir"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for d, (dx, dy) in enumerate([(1, 0), (-1, 0), (0, 1), (0, -1)])])
