@@ -1,14 +1,17 @@
 """Byte-level BPE by a table of distinct words.
 
 A word here is a run of white space with the text that follows it. No token of such a tokenizer reaches from text
-into white space, so words encode alone as they do in their text. Spark splits and counts the words; those that
-occur twice or more, most frequent first, up to HEAD of them, are encoded once each, decoded through the id-to-piece
-table, and joined back to their places in every text by a broadcast table. HEAD and WORD_BYTES bound that table
-whatever the corpus holds. The long tail - words beyond it, most of which occur once in the corpus - is encoded where
-it stands, each distinct word of a batch once: moving a word that occurs once to a table and back would cost more
-than its encoding.
+into white space, so words encode alone as they do in their text. Rows are split into words chunk by chunk: a row keeps
+its words' places in its chunk's list of distinct words. The lists make one table of the corpus's distinct words, in
+which each is encoded once, whatever its length or use, and decoded by a join of its ids with the table of pieces. That
+table joins the lists by word, and rows meet their chunk's joined list, which puts ids and pieces at their places.
+
+A word is shuffled once a chunk, however often it occurs there, so the most frequent word has a row a chunk. Chunks hold
+about CHUNK characters of text or one longer text, which bounds what a task holds.
 
 Null texts count as empty and have no tokens. Special tokens in a text are encoded as the tokenizer does by default.
+Rows are encoded one by one, so repeated rows and ids and null ids are encoded like others; columns that are not kept are
+not looked at, and kept ones may have any name but those of the results. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,19 +21,20 @@ import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hexweave.llm.tables import cut_texts
 from hexweave.storage import cut
 
-#: Most words in the broadcast table, and most bytes of one: some 25 MB as a rule, 150 MB at most.
-HEAD = 600_000
-WORD_BYTES = 64
+#: Characters of text in a chunk, unless one text is longer.
+CHUNK = 1 << 23
 #: Unicode white space.
 WHITE = "\\x09-\\x0D\\x20\\x85\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 _UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-_OTHER_WHITE = ["  ", " \n", "\n ", "\n\n", *map(chr, (9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))]
 _loaded: dict[str, object] = {}
 
 
@@ -66,133 +70,94 @@ def pieces(path: str) -> list[bytes]:
     return _loaded[key]
 
 
-def encode_words(words: list[str], path: str) -> list[tuple[int, bytes, bytes]]:
-    """(number of tokens, ids as decimals joined by commas, decoded bytes) of each word."""
-    table = pieces(path)
-    out = []
-    for lo in range(0, len(words), 4096):
-        for e in tokenizer(path).encode_batch(words[lo : lo + 4096], add_special_tokens=False):
-            ids = e.ids
-            out.append((len(ids), ",".join(map(str, ids)).encode(), b"".join([table[i] for i in ids])))
-    return out
+def piece_table(spark: SparkSession, path: str) -> DataFrame:
+    """(id, piece): the bytes of each id, of the vocabulary's size."""
+    return spark.createDataFrame(list(enumerate(pieces(path))), "id int, piece binary")
 
 
-def split_words(docs: DataFrame) -> DataFrame:
-    """(word) for each word of each text, as if a space stood before each text.
+def split_words(docs: DataFrame, keep: list[str], size: int = CHUNK) -> DataFrame:
+    """(kept, chunk, places, words): `places` are 32-bit numbers of a row's words in its chunk's list `words`.
 
-    Splits at single spaces and before line breaks: where white space is other than that, the parts are not all
-    words, which costs a slot of the table at most. Places are matched in full when the table is joined.
-    """
-    parts = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" \n")), " ")).alias("part"))
-    return parts.filter(F.length("part") > 0).select("part")
-
-
-def word_table(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
-    """(word, n, ids, decoded) of the most frequent words, each encoded once."""
-    counts = split_words(docs).groupBy("part").agg(F.count("*").alias("uses"))
-    word = F.when(F.col("part").startswith("\n"), F.col("part")).otherwise(F.concat(F.lit(" "), "part")).alias("word")
-    counts = cut(counts.filter((F.col("uses") > 1) & (F.octet_length("part") <= WORD_BYTES)).select(word, "uses"))
-    by_uses = counts.groupBy(F.least("uses", F.lit(100_000)).alias("uses")).count().orderBy(F.desc("uses")).collect()
-    total, least = 0, 1 << 62
-    for r in by_uses:
-        total += r["count"]
-        if total > head:
-            break
-        least = r.uses
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = b.column(0).to_pylist()
-            n, ids, decoded = zip(*encode_words(words, path)) if words else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=["word", "n", "ids", "decoded"])
-
-    return counts.filter(F.col("uses") >= least).select("word").mapInArrow(encode, "word string, n long, ids binary, decoded binary")
-
-
-class Joiner:
-    """Words of a text to what the table says of them, in order of place."""
-
-    def __init__(self, rows: list[tuple[str, tuple[int, bytes, bytes]]], path: str):
-        self.path = path
-        self.after_space, self.other = {}, {}
-        for word, entry in rows:
-            self._put(word, entry)
-
-    def _put(self, word: str, entry: tuple) -> None:
-        if len(word) > 1 and word[0] == " " and word[1] not in " \n":
-            self.after_space[word[1:]] = entry
-        elif len(word) > 1 and word[0] == "\n" and word[1] not in " \n":
-            self.after_space[word] = entry
-        else:
-            self.other[word] = entry
-
-    def batch(self, texts: list[str | None]) -> Iterator[list[tuple[int, bytes, bytes]]]:
-        known, other = self.after_space, self.other
-        found, missing = [], {}
-        for text in texts:
-            text = text or ""
-            if any(w in text for w in _OTHER_WHITE) or text[-1:] in (" ", "\n"):
-                units = _UNIT.findall(text)
-                got = [other.get(u) or (known.get(u[1:]) if u[0] == " " else known.get(u) if u[0] == "\n" else None) for u in units]
-                full = units
-            else:
-                parts = text.replace("\n", " \n").split(" ")
-                got = [known.get(p) for p in parts]
-                full = None
-                first = parts[0]
-                got[0] = other.get(first) if first else (0, b"", b"")
-            if None in got:
-                holes = []
-                for i, g in enumerate(got):
-                    if g is None:
-                        unit = full[i] if full is not None else parts[i] if i == 0 or parts[i][0] == "\n" else " " + parts[i]
-                        missing[unit] = None
-                        holes.append((i, unit))
-                found.append((got, holes))
-            else:
-                found.append((got, ()))
-        words = list(missing)
-        missing = dict(zip(words, encode_words(words, self.path)))
-        for got, holes in found:
-            for i, unit in holes:
-                got[i] = missing[unit]
-            yield got
-
-
-_joiners: dict[int, Joiner] = {}
-
-
-def encode_documents(docs: DataFrame, path: str, keep: list[str], head: int = HEAD) -> DataFrame:
-    """The kept columns, n_tokens, ids (decimals joined by commas) and decoded text of each row, and their SHA-256.
-
-    Lazy but for the word table. Select what is needed: ids and decoded are as large as the texts.
+    `kept` is a struct of the kept columns. One row of a chunk has the list, the others null.
     """
-    spark = docs.sparkSession
-    table = word_table(docs, path, head).toArrow()
-    words = spark.sparkContext.broadcast(table)  # at most `head` rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(words)
-        if key not in _joiners:
-            _joiners.clear()
-            t = words.value
-            _joiners[key] = Joiner(list(zip(t.column(0).to_pylist(), zip(*(t.column(i).to_pylist() for i in (1, 2, 3))))), path)
-        joiner = _joiners[key]
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                b = whole.slice(lo, 500)
-                n, ids_sha, text_sha = [], [], []
-                for got in joiner.batch(b.column(len(keep)).to_pylist()):
-                    got = [g for g in got if g[0]]
-                    n.append(sum([g[0] for g in got]))
-                    ids_sha.append(hashlib.sha256(b",".join([g[1] for g in got])).hexdigest())
-                    raw = b"".join([g[2] for g in got])
-                    text_sha.append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+        part, made = TaskContext.get().partitionId(), 0
+        kept, places, known, held = [], [], {}, 0
 
-    rows = docs.select(*keep, "text")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
-    return rows.mapInArrow(run, f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        def chunk() -> pa.RecordBatch:
+            n = len(places)
+            words = pa.array([list(known)] + [None] * (n - 1), pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(kept), pa.array([(part << 32) + made] * n, pa.int64()), pa.array(places, pa.binary()), words], names=["kept", "chunk", "places", "words"])
+
+        for b in batches:
+            begin = 0
+            for i, text in enumerate(b.column(1).to_pylist()):
+                text = text or ""
+                if places and held + len(text) > size:
+                    kept.append(b.column(0).slice(begin, i - begin))
+                    yield chunk()
+                    kept, places, known, held, begin, made = [], [], {}, 0, i, made + 1
+                number = known.setdefault
+                places.append(np.array([number(word, len(known)) for word in _UNIT.findall(text)], "<i4").tobytes())
+                held += len(text)
+            kept.append(b.column(0).slice(begin))
+        if places:
+            yield chunk()
+
+    rows = docs.select(F.struct(*keep).alias("kept"), "text")
+    return rows.mapInArrow(run, f"kept {rows.schema['kept'].dataType.simpleString()}, chunk long, places binary, words array<string>")
+
+
+def word_table(words: DataFrame, path: str) -> DataFrame:
+    """(word, n, ids, decoded) of each distinct word: number of tokens, ids as decimals joined by commas, and bytes.
+
+    Each word is encoded once; its ids join the table of pieces and meet again in their order.
+    """
+
+    @F.arrow_udf("array<int>")
+    def encode(column: pa.Array) -> pa.Array:
+        return pa.array([e.ids for e in tokenizer(path).encode_batch_fast(column.to_pylist(), add_special_tokens=False)], pa.list_(pa.int32()))
+
+    encoded = words.select("word").distinct().select("word", encode("word").alias("ids"))
+    placed = encoded.select("word", F.posexplode("ids").alias("at", "id"))
+    pieced = placed.join(F.broadcast(piece_table(words.sparkSession, path)), "id")
+    tokens = F.array_sort(F.collect_list(F.struct("at", "id", "piece")))
+    said = pieced.groupBy("word").agg(tokens.alias("tokens"))
+    decoded = F.aggregate("tokens", F.lit(b""), lambda done, x: F.concat(done, x["piece"]))
+    return said.select("word", F.size("tokens").alias("n"), F.array_join(F.transform("tokens", lambda x: x["id"].cast("string")), ",").cast("binary").alias("ids"), decoded.alias("decoded"))
+
+
+def _put_in_place(keep: list[str]):
+    """A chunk's rows and its list of words, with what the word table says of them, to digests of each row."""
+
+    def run(rows: pa.Table, words: pa.Table) -> pa.Table:
+        at = words.column("at").to_numpy()
+        size = int(at.max()) + 1 if len(at) else 0
+        n, ids, decoded = np.zeros(size, np.int64), np.full(size, None, object), np.full(size, None, object)
+        n[at] = words.column("n").to_numpy()
+        ids[at], decoded[at] = (np.array(words.column(c).to_pylist(), object) for c in ("ids", "decoded"))
+        counts, ids_sha, text_sha = [], [], []
+        for raw in rows.column("places").to_pylist():
+            own = np.frombuffer(raw, "<i4")
+            counts.append(int(n[own].sum()))
+            ids_sha.append(hashlib.sha256(b",".join(ids[own].tolist())).hexdigest())
+            text_sha.append(hashlib.sha256(b"".join(decoded[own].tolist()).decode("utf-8", "replace").encode()).hexdigest())
+        kept = rows.column("kept").combine_chunks()
+        columns = [kept.field(i) for i in range(len(keep))]
+        return pa.table([*columns, pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return run
+
+
+def encode_documents(docs: DataFrame, path: str, keep: list[str], size: int = CHUNK) -> DataFrame:
+    """The kept columns, n_tokens, and the SHA-256 of the ids (decimals joined by commas) and of the decoded text."""
+    split = cut_texts(split_words(docs, keep, size))
+    lists = split.filter(F.col("words").isNotNull())
+    listed = lists.select("chunk", F.posexplode("words").alias("at", "word"))
+    words = listed.join(word_table(listed, path), "word").select(F.col("chunk").alias("list"), "at", "n", "ids", "decoded")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
+    return split.select("chunk", "kept", "places").groupBy("chunk").cogroup(words.groupBy("list")).applyInArrow(_put_in_place(keep), f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_ids(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
@@ -213,8 +178,7 @@ def decode_ids(encoded: DataFrame, path: str, keep: list[str]) -> DataFrame:
 
     Null and empty ids give an empty text; bytes that are no UTF-8 give U+FFFD. An id outside the vocabulary is dropped.
     """
-    spark = encoded.sparkSession
-    table = spark.createDataFrame([(i, p) for i, p in enumerate(pieces(path))], "id int, piece binary")
+    table = piece_table(encoded.sparkSession, path)
     rows = encoded.select(*keep, F.monotonically_increasing_id().alias("_row"), "ids")
     rows = cut(rows)
     placed = rows.select("_row", F.posexplode("ids").alias("_at", "id")).join(F.broadcast(table), "id")

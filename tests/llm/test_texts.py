@@ -41,9 +41,9 @@ def _expected(text):
     return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("head", [5, bpe.HEAD])
-def test_encoding_is_the_librarys(spark, texts, head):
-    got = {r.doc_id: tuple(r)[1:] for r in bpe.encode_documents(texts, BYTES, ["doc_id"], head).collect()}
+@pytest.mark.parametrize("size", [1, 40, bpe.CHUNK])
+def test_encoding_is_the_librarys(spark, texts, size):
+    got = {r.doc_id: tuple(r)[1:] for r in bpe.encode_documents(texts, BYTES, ["doc_id"], size).collect()}
     for i, text in enumerate(TEXTS):
         assert got[i] == _expected(text), repr(text)
 
@@ -65,6 +65,18 @@ def test_bpe_of_odd_and_empty_tables(odd, empty):
     assert bpe.encode_documents(empty, BYTES, ["doc_id"]).count() == 0
 
 
+def test_words_are_encoded_once(spark, texts):
+    """One row a distinct word, whatever its length and use, and repeated rows and null ids each with their own result."""
+    listed = bpe.split_words(texts, ["doc_id"], 40).selectExpr("explode(words) AS word")
+    table = bpe.word_table(listed, BYTES).collect()
+    assert len(table) == len({r.word for r in table}) == listed.distinct().count()
+    for r in table:
+        assert bytes(r.decoded) == r.word.encode() and bytes(r.ids) == ",".join(map(str, LIBRARY.encode(r.word, add_special_tokens=False).ids)).encode()
+    rows = spark.createDataFrame([(None, "a b", 1), (None, "a b", 1), (7, "c", 2), (7, "d e", 3)], "doc_id long, text string, chunk int")
+    got = sorted((r.doc_id or 0, r.chunk, tuple(r)[2:]) for r in bpe.encode_documents(rows, BYTES, ["doc_id", "chunk"]).collect())
+    assert got == [(0, 1, _expected("a b")), (0, 1, _expected("a b")), (7, 2, _expected("c")), (7, 3, _expected("d e"))]
+
+
 def test_counts(documents, texts, odd):
     for docs in (documents, texts, odd):
         want = {r.doc_id: brute.counts(r.text) for r in docs.select("doc_id", "text").collect()}
