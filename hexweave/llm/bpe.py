@@ -31,7 +31,7 @@ from hexweave.llm.tables import cut_texts
 from hexweave.storage import cut
 
 #: Characters of text in a chunk, unless one text is longer.
-CHUNK = 1 << 23
+CHUNK = 1 << 24
 #: Unicode white space.
 WHITE = "\\x09-\\x0D\\x20\\x85\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 _UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
@@ -76,19 +76,19 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def split_words(docs: DataFrame, keep: list[str], size: int = CHUNK) -> DataFrame:
-    """(kept, chunk, places, words): `places` are 32-bit numbers of a row's words in its chunk's list `words`.
+    """(kept, chunk, places, n_places, words): 32-bit numbers, compressed, of a row's words in its chunk's list `words`.
 
     `kept` is a struct of the kept columns. One row of a chunk has the list, the others null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
-        kept, places, known, held = [], [], {}, 0
+        kept, places, sizes, known, held = [], [], [], {}, 0
 
         def chunk() -> pa.RecordBatch:
             n = len(places)
             words = pa.array([list(known)] + [None] * (n - 1), pa.list_(pa.string()))
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(kept), pa.array([(part << 32) + made] * n, pa.int64()), pa.array(places, pa.binary()), words], names=["kept", "chunk", "places", "words"])
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(kept), pa.array([(part << 32) + made] * n, pa.int64()), pa.array(places, pa.binary()), pa.array(sizes, pa.int32()), words], names=["kept", "chunk", "places", "n_places", "words"])
 
         for b in batches:
             begin = 0
@@ -97,16 +97,18 @@ def split_words(docs: DataFrame, keep: list[str], size: int = CHUNK) -> DataFram
                 if places and held + len(text) > size:
                     kept.append(b.column(0).slice(begin, i - begin))
                     yield chunk()
-                    kept, places, known, held, begin, made = [], [], {}, 0, i, made + 1
+                    kept, places, sizes, known, held, begin, made = [], [], [], {}, 0, i, made + 1
                 number = known.setdefault
-                places.append(np.array([number(word, len(known)) for word in _UNIT.findall(text)], "<i4").tobytes())
+                own = np.array([number(word, len(known)) for word in _UNIT.findall(text)], "<i4")
+                places.append(pa.compress(own, "zstd", asbytes=True) if len(own) else b"")
+                sizes.append(len(own))
                 held += len(text)
             kept.append(b.column(0).slice(begin))
         if places:
             yield chunk()
 
     rows = docs.select(F.struct(*keep).alias("kept"), "text")
-    return rows.mapInArrow(run, f"kept {rows.schema['kept'].dataType.simpleString()}, chunk long, places binary, words array<string>")
+    return rows.mapInArrow(run, f"kept {rows.schema['kept'].dataType.simpleString()}, chunk long, places binary, n_places int, words array<string>")
 
 
 def word_table(words: DataFrame, path: str) -> DataFrame:
@@ -116,9 +118,10 @@ def word_table(words: DataFrame, path: str) -> DataFrame:
     """
 
     @F.arrow_udf("array<int>")
-    def encode(column: pa.Array) -> pa.Array:
+    def ids_of(column: pa.Array) -> pa.Array:
         return pa.array([e.ids for e in tokenizer(path).encode_batch_fast(column.to_pylist(), add_special_tokens=False)], pa.list_(pa.int32()))
 
+    encode = ids_of.asNondeterministic()  # else a filter on its result is moved before the distinct words, and repeats it
     encoded = words.select("word").distinct().select("word", encode("word").alias("ids"))
     placed = encoded.select("word", F.posexplode("ids").alias("at", "id"))
     pieced = placed.join(F.broadcast(piece_table(words.sparkSession, path)), "id")
@@ -138,8 +141,8 @@ def _put_in_place(keep: list[str]):
         n[at] = words.column("n").to_numpy()
         ids[at], decoded[at] = (np.array(words.column(c).to_pylist(), object) for c in ("ids", "decoded"))
         counts, ids_sha, text_sha = [], [], []
-        for raw in rows.column("places").to_pylist():
-            own = np.frombuffer(raw, "<i4")
+        for raw, length in zip(rows.column("places").to_pylist(), rows.column("n_places").to_pylist()):
+            own = np.frombuffer(pa.decompress(raw, 4 * length, "zstd") if length else b"", "<i4")
             counts.append(int(n[own].sum()))
             ids_sha.append(hashlib.sha256(b",".join(ids[own].tolist())).hexdigest())
             text_sha.append(hashlib.sha256(b"".join(decoded[own].tolist()).decode("utf-8", "replace").encode()).hexdigest())
@@ -157,7 +160,7 @@ def encode_documents(docs: DataFrame, path: str, keep: list[str], size: int = CH
     listed = lists.select("chunk", F.posexplode("words").alias("at", "word"))
     words = listed.join(word_table(listed, path), "word").select(F.col("chunk").alias("list"), "at", "n", "ids", "decoded")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return split.select("chunk", "kept", "places").groupBy("chunk").cogroup(words.groupBy("list")).applyInArrow(_put_in_place(keep), f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return split.select("chunk", "kept", "places", "n_places").groupBy("chunk").cogroup(words.groupBy("list")).applyInArrow(_put_in_place(keep), f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_ids(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
