@@ -117,6 +117,45 @@ def test_odd_vectors(spark):
     assert lattice.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_groups_of_copies_give_counts_and_not_pairs(spark, monkeypatch):
+    """Blocks, both cells of a table and all tables count a link once; rows that leave the tasks do not grow with the square."""
+    rng = np.random.default_rng(7)
+    bases = rng.normal(size=(3, 16))
+    rows = [(1000 - i, [float(v) for v in bases[i % 3] + 0.02 * rng.normal(size=16)]) for i in range(240)]
+    rows += [(2000 + i, rows[i][1]) for i in range(5)] + [(None, rows[0][1]), (None, None)]
+    monkeypatch.setattr(lattice, "BLOCK_ROWS", 16)
+    compared, found = lattice._compare, []
+    monkeypatch.setattr(lattice, "_compare", lambda *a: found.append(compared(*a)) or found[-1])
+    out = lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = {i: 0 for i, _ in rows if i}
+    links = brute.near_vectors([r for r in rows if r[0]])
+    for a, b in links:
+        want[a], want[b] = want[a] + 1, want[b] + 1
+    assert {r.vec_id: r.n_links for r in out if r.vec_id} == want and len(out) == len(rows)
+    assert {r.vec_id: r.component_id for r in out if r.vec_id} == brute.union(links, set(want))
+    assert [(r.n_links, r.component_id, r.kept) for r in out if r.vec_id is None] == [(0, None, True)] * 2
+    assert found[0].filter("cls <> root").select("cls", "root").distinct().count() < len(links) / 4
+
+
+def test_first_met():
+    """Of all cells in which two rows meet, as host or guest but not both as guests, exactly one has their pair."""
+    rng = np.random.default_rng(2)
+    named = rng.integers(0, 9, (40, 4, 3))
+    named[:, :, 1:] = (named[:, :, :1] + 1 + np.argsort(rng.random((40, 4, 8)), 2)[:, :, :2]) % 9  # three different cells a table
+    named += 10 * np.arange(4)[None, :, None]
+    met, counted = set(), []
+    for table in range(4):
+        for bucket in range(10 * table, 10 * table + 9):
+            at = np.flatnonzero((named[:, table] == bucket).any(1))
+            i, j = np.nonzero(np.triu(np.ones((len(at), len(at)), bool), 1))
+            host = named[at, table, 0] == bucket
+            i, j = i[host[i] | host[j]], j[host[i] | host[j]]
+            met |= set(zip(at[i].tolist(), at[j].tolist()))
+            fresh = lattice.first_met(i, j, named[at, : table + 1], bucket)
+            counted += zip(at[i[fresh]].tolist(), at[j[fresh]].tolist())
+    assert len(counted) == len(set(counted)) and set(counted) == met and len(met) > 500
+
+
 def test_nearest_lattice_point():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 8)) * 2
