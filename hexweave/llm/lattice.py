@@ -172,6 +172,8 @@ def _compare(rows: DataFrame, cosine: float) -> DataFrame:
         i, j = i[keep], j[keep]
         exact = (x[i] * x[j]).sum(1) >= cosine
         i, j = i[exact], j[exact]
+        if not len(i):
+            return i, j
         fresh = first_met(i, j, named, bucket)
         return i[fresh], j[fresh]
 
