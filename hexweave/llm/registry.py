@@ -7,8 +7,9 @@ from collections.abc import Callable
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hexweave.llm import bpe, langid, lattice, licenses, minhash, oracles, packing, quality, rules, toxicity, warc
+from hexweave.llm import bpe, langid, lattice, licenses, minhash, oracles, packing, quality, rules, token_counts, toxicity, warc
 from hexweave.llm.tables import table
 
 
@@ -52,12 +53,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"])
+    return counted.withColumn("over_limit", F.col("n_tokens") > token_counts.LIMIT)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_warc, op2_bpe, op3_toxicity, op4_quality_rules, op5_quality_classifier, op6_license_scan, op7_minhash, op8_lattice, op9_packing, op10_language_id, pipeline)
+    named = (op1_warc, op2_bpe, op3_toxicity, op4_quality_rules, op5_quality_classifier, op6_license_scan, op7_minhash, op8_lattice, op9_packing, op10_language_id, op11_token_counts, pipeline)
     return {f.__name__: f for f in named}
 
 
