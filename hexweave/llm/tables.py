@@ -79,8 +79,8 @@ def when_few(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
-def whole_groups(rows: DataFrame, kernel: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """What `kernel` makes of tables that hold whole groups, one or more, sorted by the column `group`.
+def whole_groups(rows: DataFrame, kernel: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, order: tuple[str | Column, ...] = ()) -> DataFrame:
+    """What `kernel` makes of tables that hold whole groups, one or more, sorted by the column `group` and then `order`.
 
     A task holds the rows of one group and a batch more, so groups are to be of a bounded size.
     """
@@ -101,7 +101,7 @@ def whole_groups(rows: DataFrame, kernel: Callable[[pa.Table], Iterator[pa.Recor
         if held:
             yield from kernel(pa.Table.from_batches(held))
 
-    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, schema)
+    return rows.repartition("group").sortWithinPartitions("group", *order).mapInArrow(run, schema)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, parts: int = 5, held_out: int = 0) -> DataFrame:
