@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hexweave.llm import licenses, minhash, warc
+from hexweave.llm import divergence, licenses, minhash, warc
 
 _UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -51,5 +51,27 @@ SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_bas
 FROM w LEFT JOIN base ON base.doc_id = w.doc_id LEFT JOIN more ON more.doc_id = w.doc_id"""
 
 
+def divergence_sql(least_docs: int = divergence.LEAST_DOCS, top: int = divergence.TOP) -> str:
+    def probability(count: str, total: str) -> str:
+        return f"1 + (1000000000::HUGEINT * ({count} + 2)) // ({total} + 2 * v)"
+
+    def gap(p: str, q: str) -> str:
+        return f"(({p} - {q}) * ({p} - {q})) // ({p} + {q})"
+
+    return rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, coalesce(lang::VARCHAR, '') AS lang, coalesce(source::VARCHAR, '') AS source, regexp_extract_all({_lower("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS MATERIALIZED (SELECT lang, term, count(*) AS total FROM o GROUP BY ALL HAVING count(DISTINCT r) >= {least_docs}),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v, sum(total) AS l FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT lang, source, coalesce(sum(n), 0) AS s FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS MATERIALIZED (SELECT lang, source, term, coalesce(n, 0) AS n, {probability("coalesce(n, 0)", "s")} AS p, {probability("total", "l")} AS q FROM s JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum({gap("a.p", "b.p")}) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+part AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, {gap("p", "q")} FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM part QUALIFY part = 'pair' OR rank <= {top}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": RECORDS, "op6_license_scan": licenses_sql(), "op7_minhash": DOCUMENTS}
+    return {"op1_warc": RECORDS, "op12_divergence": divergence_sql(), "op6_license_scan": licenses_sql(), "op7_minhash": DOCUMENTS}

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexweave.llm import bpe, langid, lattice, licenses, minhash, oracles, packing, quality, resampling, rules, token_counts, toxicity, warc
+from hexweave.llm import bpe, divergence, langid, lattice, licenses, minhash, oracles, packing, quality, resampling, rules, token_counts, toxicity, warc
 from hexweave.llm.tables import table
 
 
@@ -58,6 +58,10 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > token_counts.LIMIT)
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -67,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_warc, op2_bpe, op3_toxicity, op4_quality_rules, op5_quality_classifier, op6_license_scan, op7_minhash, op8_lattice, op9_packing, op10_language_id, op11_token_counts, op13_resampling, pipeline)
+    named = (op1_warc, op2_bpe, op3_toxicity, op4_quality_rules, op5_quality_classifier, op6_license_scan, op7_minhash, op8_lattice, op9_packing, op10_language_id, op11_token_counts, op12_divergence, op13_resampling, pipeline)
     return {f.__name__: f for f in named}
 
 

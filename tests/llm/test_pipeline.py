@@ -75,7 +75,7 @@ def test_sql(spark, name):
 
 
 def test_names():
-    assert sorted(n.split("_")[0] for n in registry.queries()) == sorted([*(f"op{i}" for i in range(1, 12)), "pipeline"])
+    assert sorted(n.split("_")[0] for n in registry.queries()) == sorted([*(f"op{i}" for i in range(1, 14)), "pipeline"])
 
 
 def test_near_duplicate_threshold(spark):
