@@ -34,7 +34,7 @@ from hexweave.storage import cut
 
 LEAST_DOCS, TOP = 10, 10
 #: Bytes of terms that a task counts together; pairs of postings that it has at a time.
-FLUSH, PAIRS = 1 << 24, 1 << 19
+FLUSH, PAIRS = 1 << 23, 1 << 19
 #: Buckets of a count for each doubling of a term's count in the language.
 LEVELS = 4
 _NOT_LETTER = np.ones(256, bool)
