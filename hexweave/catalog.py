@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from hexweave.functions import cells
 from hexweave.operators import audit, paths, stats
-from hexweave.operators.closure import closure_auto, closure_grouped, closure_join, extend, usable_arcs
+from hexweave.operators.closure import closure_auto, closure_grouped, closure_join, extend, paths_between, usable_arcs
 from hexweave.operators.finalize import finalize
 from hexweave.operators.pairs import assign_cells, enrich, level_profile
 from hexweave.operators.reduce import changed, merge_min
 from hexweave.plans.hierarchy import Options, Shortcuts, build_shortcuts
-from hexweave.sources.network import EDGE_SCHEMA, audit_input, base_pairs, grid_network, load_edges, load_graph, read_shortcuts, write_csv, write_shortcuts
+from hexweave.sources.network import EDGE_SCHEMA, audit_input, base_pairs, grid_network, load_edges, load_graph, read_shortcuts, with_cost, write_csv, write_shortcuts
 from hexweave.storage import cut, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,9 +146,15 @@ def top_speeds(spark, sf_dir):
     return stats.top_values(_network(spark, sf_dir)[0], "maxspeed", 3)
 
 
+def _via(base: DataFrame) -> DataFrame:
+    """The next segment of every pair of the closure."""
+    arcs = cut(paths.whole_costs(base))
+    return cut(paths.canonical_via(cut(closure_join(_whole(arcs))), arcs))
+
+
 def _closed_via(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     e, _, b = _network(spark, sf_dir)
-    return cut(e), cut(paths.canonical_via(cut(closure_join(_whole(b))), b))
+    return cut(e), _via(b)
 
 
 def canonical_via(spark, sf_dir):
@@ -174,6 +180,49 @@ def path_res_range(spark, sf_dir):
     return paths.path_res_range(path_profile(spark, sf_dir))
 
 
+def _uneven(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(segments, direct pairs) at three tenths of the speeds, so that costs are no sums of powers of two."""
+    e, g, _ = _network(spark, sf_dir)
+    e = cut(with_cost(e.withColumn("maxspeed", F.col("maxspeed") * 0.3)))
+    return e, base_pairs(e, g)
+
+
+def uneven_via(spark, sf_dir):
+    return _via(_uneven(spark, sf_dir)[1])
+
+
+def uneven_paths(spark, sf_dir):
+    """Every pair's segments, and the cost before each in millionths of a second."""
+    e, b = _uneven(spark, sf_dir)
+    via = _via(b)
+    whole = e.withColumn("cost", F.floor(F.col("cost") * 1e6 + 0.5).cast("long"))
+    return paths.path_profile(paths.walk(via, via), whole).select("from_edge", "to_edge", "pos", "edge", F.col("cost_before").cast("long").alias("micros_before"))
+
+
+#: Seconds within which routes are looked for.
+ROUTE_LIMIT = 400.0
+
+
+def _crossings(e: DataFrame) -> DataFrame:
+    """The segments that cross the border between base cells."""
+    return e.filter("lca_res = -1").select(F.col("id").alias("edge"))
+
+
+def routes_within(spark, sf_dir):
+    """Cheapest paths from each segment that crosses between base cells to each other one, up to a cost."""
+    e, _, b = _network(spark, sf_dir)
+    ends = cut(_crossings(e))
+    return paths_between(b, ends, ends, ROUTE_LIMIT).select("from_edge", "to_edge", "cost")
+
+
+def routes_unpacked(spark, sf_dir):
+    """The segments of the paths between segments that cross between base cells: jumps to these ends alone."""
+    e, via = _closed_via(spark, sf_dir)
+    ends = cut(_crossings(e))
+    wanted = via.join(ends.withColumnRenamed("edge", "from_edge"), "from_edge", "left_semi").join(ends.withColumnRenamed("edge", "to_edge"), "to_edge", "left_semi")
+    return paths.walk(via, wanted.select("from_edge", "to_edge"))
+
+
 def unpack_all_paths(spark, sf_dir):
     return unpack_path(spark, sf_dir)
 
@@ -293,6 +342,10 @@ def queries() -> dict[str, Query]:
         "unpack_path": unpack_path,
         "path_profile": path_profile,
         "path_res_range": path_res_range,
+        "uneven_via": uneven_via,
+        "uneven_paths": uneven_paths,
+        "routes_within": routes_within,
+        "routes_unpacked": routes_unpacked,
         "unpack_all_paths": unpack_all_paths,
         "all_path_profiles": all_path_profiles,
         "all_path_res_ranges": all_path_res_ranges,

@@ -1,10 +1,10 @@
-"""All-pairs cheapest paths inside each cell, by joins or by a grouped kernel."""
+"""Cheapest paths inside each cell: of all pairs, by joins or by a grouped kernel; and from given starts to given ends."""
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +14,10 @@ from hexweave.storage import cut
 
 KEYS = ("from_edge", "to_edge", "current_cell")
 SCHEMA = "from_edge long, to_edge long, cost double, via_edge long, current_cell long"
-#: The largest arc count of a cell that the grouped kernel takes; it bounds a task's memory and time.
-GROUP_ARCS = 20_000
+#: Arcs of a cell up to which the grouped kernel is taken for choice, and those up to which a task can hold them.
+GROUP_ARCS, TASK_ARCS = 20_000, 1 << 20
+#: Pairs that a group of the kernel gives at most, unless one start has more; numbers in one of its matrices.
+GROUP_PAIRS, MATRIX = 500_000, 1 << 21
 
 
 def usable_arcs(active: DataFrame) -> DataFrame:
@@ -51,49 +53,108 @@ def closure_join(active: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"paths still improve after {max_rounds} rounds")
 
 
+def _relaxed(own: np.ndarray, n: int, f: np.ndarray, t: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cost, segment before) of each start and each of n segments, over arcs (f, t, c) in the order of t.
+
+    A round relaxes the arcs of segments that got cheaper for any start, for all starts at once. A segment's predecessor
+    changes only where its cost falls, so predecessors have no cycles, free ones neither.
+    """
+    cost, before = np.full((len(own), n), np.inf), np.full((len(own), n), -1, np.int32)
+    cost[np.arange(len(own)), own] = 0
+    active = np.zeros(n, bool)
+    active[own] = True
+    while len(on := np.flatnonzero(active[f])):
+        tried = cost[:, f[on]] + c[on]
+        heads = np.flatnonzero(np.diff(t[on], prepend=-1))
+        to, sizes = t[on][heads], np.diff(heads, append=len(on))
+        best = np.minimum.reduceat(tried, heads, axis=1)
+        better = best < cost[:, to]
+        least = np.minimum.reduceat(np.where(tried == np.repeat(best, sizes, axis=1), f[on].astype(np.int32), n), heads, axis=1)
+        cost[:, to] = np.where(better, best, cost[:, to])
+        before[:, to] = np.where(better, least, before[:, to])
+        active[:] = False
+        active[to[better.any(0)]] = True
+    return cost, before
+
+
 def _group_paths(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Cheapest paths from every start of one cell, least (cost, via) first; a batch for every few starts."""
-    arcs = pd.concat(list(frames), ignore_index=True).sort_values(["from_edge", "to_edge"])
-    cell = arcs.current_cell.iloc[0]
-    follow: dict[int, list[tuple[int, float]]] = {}
-    for a, b, c in zip(arcs.from_edge, arcs.to_edge, arcs.cost):
-        follow.setdefault(a, []).append((b, c))
-    direct = {(a, b): (c, v) for a, b, c, v in zip(arcs.from_edge, arcs.to_edge, arcs.cost, arcs.via_edge)}
-    out: list[tuple] = []
-    for start in follow:
-        best = {start: 0.0}
-        before: dict[int, int] = {}
-        heap = [(0.0, start)]
-        while heap:
-            d, at = heapq.heappop(heap)
-            if d > best[at]:
-                continue
-            for to, c in follow.get(at, ()):
-                if d + c < best.get(to, float("inf")):
-                    best[to] = d + c
-                    before[to] = at
-                    heapq.heappush(heap, (d + c, to))
-        for to, last in before.items():
-            c = direct.get((start, to))
-            out.append((start, to, best[to], c[1] if c and c[0] <= best[to] else last, cell))
-        if len(out) > 50_000:
-            yield pd.DataFrame(out, columns=["from_edge", "to_edge", "cost", "via_edge", "current_cell"])
-            out = []
-    yield pd.DataFrame(out, columns=["from_edge", "to_edge", "cost", "via_edge", "current_cell"])
-
-
-def closure_grouped(active: DataFrame) -> DataFrame:
-    """The same closure with each cell in one task: right for many small cells, wrong for a huge one."""
-    return usable_arcs(active).groupBy("current_cell").applyInPandas(_group_paths, SCHEMA)
+    """Cheapest paths of one cell from a block of its starts, a frame for every few starts."""
+    arcs = pd.concat(list(frames), ignore_index=True)
+    ids = np.unique(np.concatenate([arcs.from_edge, arcs.to_edge]))
+    f, t = np.searchsorted(ids, arcs.from_edge), np.searchsorted(ids, arcs.to_edge)
+    order = np.lexsort((f, t))
+    f, t, c, via = f[order], t[order], arcs.cost.to_numpy()[order], arcs.via_edge.to_numpy()[order]
+    direct = t * len(ids) + f
+    starts = np.unique(f)[arcs.block.iloc[0] :: arcs.blocks.iloc[0]]
+    step = max(1, MATRIX // max(len(c), len(ids)))
+    for lo in range(0, len(starts), step):
+        own = starts[lo : lo + step]
+        cost, before = _relaxed(own, len(ids), f, t, c)
+        cost[np.arange(len(own)), own] = np.inf
+        row, to = np.nonzero(np.isfinite(cost))
+        last, start = before[row, to], own[row]
+        arc = np.searchsorted(direct, to * len(ids) + start)
+        middle = np.where(last == start, via[np.minimum(arc, len(via) - 1)], ids[last])
+        yield pd.DataFrame({"from_edge": ids[start], "to_edge": ids[to], "cost": cost[row, to], "via_edge": middle, "current_cell": arcs.current_cell.iloc[0]})
+
+
+def closure_grouped(active: DataFrame, most_arcs: int = TASK_ARCS, pairs: int = GROUP_PAIRS) -> DataFrame:
+    """The same closure by relaxations over arrays. A cell's starts are dealt to blocks, each with all arcs of the cell, so
+    that no block gives more than `pairs` pairs; cells of more than `most_arcs` arcs go by joins."""
+    arcs = cut(usable_arcs(active))
+    cells = arcs.groupBy("current_cell").agg(F.count("*").alias("arcs"), (F.count_distinct("from_edge") * F.count_distinct("to_edge")).alias("pairs"))
+    cells = cut(cells.select("current_cell", "arcs", F.ceil(F.col("pairs") / pairs).cast("int").alias("blocks")))
+    sized = arcs.join(cells.filter(F.col("arcs") <= most_arcs).select("current_cell", "blocks"), "current_cell")
+    dealt = sized.select(*arcs.columns, "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    grouped = dealt.groupBy("current_cell", "block").applyInPandas(_group_paths, SCHEMA)
+    large = cells.filter(F.col("arcs") > most_arcs).select("current_cell")
+    if large.isEmpty():
+        return grouped
+    return grouped.unionByName(closure_join(arcs.join(large, "current_cell", "left_semi")))
 
 
 def closure_auto(active: DataFrame, group_arcs: int = GROUP_ARCS) -> DataFrame:
     """The grouped kernel for cells of at most `group_arcs` arcs, joins for the others."""
-    arcs = cut(usable_arcs(active))
-    large = arcs.groupBy("current_cell").count().filter(F.col("count") > group_arcs).select("current_cell")
-    if large.isEmpty():
-        return closure_grouped(arcs)
-    return closure_grouped(arcs.join(large, "current_cell", "left_anti")).unionByName(closure_join(arcs.join(large, "current_cell", "left_semi")))
+    return closure_grouped(active, group_arcs)
 
 
 KERNELS = {"join": closure_join, "grouped": closure_grouped, "auto": closure_auto}
+
+
+def paths_between(base: DataFrame, starts: DataFrame, ends: DataFrame | None = None, limit: float = float("inf"), max_rounds: int = 10_000) -> DataFrame:
+    """(from_edge, to_edge, cost, via_edge): cheapest paths of at most `limit` from each edge of `starts` to each of `ends`
+    (all where there are none), over the direct pairs of `base`. via_edge is the segment before the end, or the end itself.
+
+    Only rows of the starts are extended, by one arc a round where they got cheaper. With ends, each segment first
+    learns how far its nearest end is, from the ends backwards, and a path that cannot reach one within the limit is given up.
+    """
+    arcs = cut(usable_arcs(base.select("from_edge", "to_edge", "cost", "via_edge", F.lit(0).cast("long").alias("current_cell"))).select("from_edge", "to_edge", "cost"))
+    if ends is not None:
+        ends = cut(ends.select(F.col("edge").cast("long").alias("to_edge")).distinct())
+        back = ends.select(F.col("to_edge").alias("edge"), F.lit(0.0).alias("cost"), "to_edge")
+        turned = arcs.select(F.col("to_edge").alias("edge"), F.col("from_edge").alias("further"), F.col("cost").alias("by"))
+        nearest = _expanded(back.select("edge", "cost", F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("via_edge")), turned, limit, max_rounds)
+        rest = cut(nearest.select("edge", F.col("cost").alias("rest")))
+    else:
+        rest = None
+    first = starts.select(F.col("edge").cast("long").alias("edge")).distinct()
+    if rest is not None:
+        first = first.join(rest, "edge", "left_semi")
+    onward = arcs.select(F.col("from_edge").alias("edge"), F.col("to_edge").alias("further"), F.col("cost").alias("by"))
+    rows = _expanded(first.select("edge", F.lit(0.0).alias("cost"), F.col("edge").alias("key"), F.col("edge").alias("via_edge")), onward, limit, max_rounds, rest)
+    rows = rows.filter("key <> edge").select(F.col("key").alias("from_edge"), F.col("edge").alias("to_edge"), "cost", F.when(F.col("via_edge") == F.col("key"), F.col("edge")).otherwise(F.col("via_edge")).alias("via_edge"))
+    return rows if ends is None else rows.join(ends, "to_edge", "left_semi").select("from_edge", "to_edge", "cost", "via_edge")
+
+
+def _expanded(seeds: DataFrame, arcs: DataFrame, limit: float, max_rounds: int, rest: DataFrame | None = None) -> DataFrame:
+    """(edge, cost, key, via_edge): least cost of each edge and key, by rounds of one arc (edge, further, by) from the seeds."""
+    known = delta = cut(seeds)
+    for _ in range(max_rounds):
+        found = delta.join(arcs, "edge").select(F.col("further").alias("edge"), (F.col("cost") + F.col("by")).alias("cost"), "key", F.col("edge").alias("via_edge")).filter(F.col("cost") <= limit)
+        if rest is not None:
+            found = found.join(rest, "edge").filter(F.col("cost") + F.col("rest") <= limit).drop("rest")
+        delta = cut(changed(known, min_path(found, "edge", "key"), "edge", "key").select(known.columns))
+        if delta.isEmpty():
+            return known
+        known = cut(min_path(known.unionByName(delta), "edge", "key").select(known.columns))
+    raise RuntimeError(f"paths still improve after {max_rounds} rounds")

@@ -72,16 +72,22 @@ def assigned(level: int) -> str:
     return sides
 
 
-VIA = """
-arc AS (SELECT from_edge AS f, to_edge AS t, min(cost) AS c FROM b WHERE from_edge <> to_edge GROUP BY ALL),
-mid AS (SELECT a.f, s.t, min(a.t) AS m FROM arc a JOIN p c ON a.t = c.f JOIN p s ON s.f = a.f AND s.t = c.t AND s.c = a.c + c.c GROUP BY ALL),
-via AS MATERIALIZED (SELECT p.f AS from_edge, p.t AS to_edge, p.c AS cost, CASE WHEN d.c = p.c THEN p.t ELSE m END AS via_edge
-  FROM p LEFT JOIN arc d ON d.f = p.f AND d.t = p.t LEFT JOIN mid ON mid.f = p.f AND mid.t = p.t)"""
+def next_segments(cost: str, name: str = "via") -> tuple[str, str]:
+    """Cheapest paths by whole costs, whose low bits count segments, and the segment after the first of each."""
+    whole = f"floor(({cost}) * 1048576 + 0.5)::BIGINT * 65536 + 1"
+    arcs = f"SELECT from_edge AS f, to_edge AS t, 0::BIGINT AS k, min({whole}) AS c FROM b WHERE from_edge <> to_edge GROUP BY ALL"
+    return closure(arcs, f"{name}_w"), f"""
+{name}_try AS (SELECT f, t, c, t AS m FROM {name}_w_arc UNION ALL SELECT a.f, w.t, a.c + w.c, a.t FROM {name}_w_arc a JOIN {name}_w w ON a.t = w.f WHERE a.f <> w.t),
+{name} AS MATERIALIZED (SELECT f AS from_edge, t AS to_edge, floor(min(c) / 65536) / 1048576 AS cost, arg_min(m, (c, m)) AS via_edge FROM {name}_try GROUP BY ALL)"""
+
+
+VIA = ",".join(next_segments("cost"))
 UNPACK = """
 un(from_edge, to_edge, pos, edge) AS (SELECT from_edge, to_edge, 0::BIGINT, from_edge FROM via
   UNION ALL SELECT u.from_edge, u.to_edge, u.pos + 1, v.via_edge FROM un u JOIN via v ON v.from_edge = u.edge AND v.to_edge = u.to_edge WHERE u.edge <> u.to_edge),
 flat AS MATERIALIZED (SELECT * FROM un),
 prof AS (SELECT f.*, e.cost AS edge_cost, coalesce(sum(e.cost) OVER (PARTITION BY from_edge, to_edge ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cost_before, e.lca_res FROM flat f JOIN e ON e.id = f.edge)"""
+CROSSING = "SELECT id FROM e WHERE lca_res = -1"
 HALVES = f"""
 h1 AS ({published('b')}),
 h2 AS ({published('(SELECT from_edge, to_edge, min(cost) AS cost FROM (SELECT from_edge, to_edge, 2 * cost AS cost FROM b UNION ALL SELECT * FROM x1) GROUP BY ALL)')})"""
@@ -102,7 +108,12 @@ def oracle_sql() -> dict[str, str]:
     faults = {"null_id": "e WHERE id IS NULL", "null_pair": "g WHERE from_edge IS NULL OR to_edge IS NULL", "null_cell": "e WHERE from_cell IS NULL OR to_cell IS NULL", "null_cost": "e WHERE length IS NULL OR maxspeed IS NULL", "impassable": "e WHERE maxspeed <= 0", "wrong_lca_res": f"e WHERE lca_res IS DISTINCT FROM {lca_res('from_cell', 'to_cell')}", "repeated_id": "(SELECT id FROM e GROUP BY id HAVING count(*) > 1)", "unknown_from_edge": "g ANTI JOIN e ON g.from_edge = e.id", "unknown_to_edge": "g ANTI JOIN e ON g.to_edge = e.id", "self_pair": "g WHERE from_edge = to_edge"}
     active = " UNION ALL ".join(f"SELECT {level} AS level, {parent(f'{s}_cell', str(level))} AS cell FROM placed WHERE lca_res <= {level} AND {s}_res >= {level}" for level in range(-1, 16) for s in ("inner", "outer"))
     both = "r.cost IS NOT NULL AND n.cost IS NOT NULL"
+    uneven = ",".join(next_segments("(SELECT length / (maxspeed * 0.3) FROM e WHERE id = from_edge)"))
     return {
+        "uneven_via": _with(uneven, body="SELECT * FROM via"),
+        "uneven_paths": _with(uneven, UNPACK, body="SELECT from_edge, to_edge, pos, edge, coalesce(sum(floor(length / (maxspeed * 0.3) * 1e6 + 0.5)::BIGINT) OVER (PARTITION BY from_edge, to_edge ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS micros_before FROM flat JOIN e ON e.id = edge"),
+        "routes_within": _with(ALL, body=f"SELECT f AS from_edge, t AS to_edge, c AS cost FROM p WHERE f IN ({CROSSING}) AND t IN ({CROSSING}) AND c <= 400"),
+        "routes_unpacked": _with(VIA, UNPACK, body=f"SELECT * FROM flat WHERE from_edge IN ({CROSSING}) AND to_edge IN ({CROSSING})"),
         "edge_costs": _with(body="SELECT id, from_node, to_node, length, maxspeed, cost FROM e"),
         "edge_lca": _with(body=f"SELECT id, from_cell, to_cell, lca_res, {parent('from_cell', lca_res('from_cell', 'to_cell'))} AS lca_cell, ({res('from_cell')})::INTEGER AS res, {parent('from_cell', '3')} AS parent_3 FROM e"),
         "base_pairs": _with(body="SELECT * FROM b"),
@@ -136,13 +147,13 @@ def oracle_sql() -> dict[str, str]:
         "inside_distribution": _with(ALL, FINAL, body=_distribution("final", "inside")),
         "lca_res_distribution": _with(body=_distribution("e", "lca_res")),
         "top_speeds": _with(body="SELECT maxspeed, count(*) AS n FROM e GROUP BY maxspeed ORDER BY n DESC, maxspeed LIMIT 3"),
-        "canonical_via": _with(ALL, VIA, body="SELECT * FROM via"),
-        "unpack_path": _with(ALL, VIA, UNPACK, body="SELECT * FROM flat"),
-        "path_profile": _with(ALL, VIA, UNPACK, body="SELECT from_edge, to_edge, pos, edge, edge_cost, cost_before, lca_res FROM prof"),
-        "path_res_range": _with(ALL, VIA, UNPACK, body="SELECT from_edge, to_edge, count(*) AS n_edges, min(lca_res) AS min_res, max(lca_res) AS max_res FROM prof GROUP BY ALL"),
-        "unpack_all_paths": _with(ALL, VIA, UNPACK, body="SELECT * FROM flat"),
-        "all_path_profiles": _with(ALL, VIA, UNPACK, body="SELECT from_edge, to_edge, pos, edge, edge_cost, cost_before, lca_res FROM prof"),
-        "all_path_res_ranges": _with(ALL, VIA, UNPACK, body="SELECT from_edge, to_edge, count(*) AS n_edges, min(lca_res) AS min_res, max(lca_res) AS max_res FROM prof GROUP BY ALL"),
+        "canonical_via": _with(VIA, body="SELECT * FROM via"),
+        "unpack_path": _with(VIA, UNPACK, body="SELECT * FROM flat"),
+        "path_profile": _with(VIA, UNPACK, body="SELECT from_edge, to_edge, pos, edge, edge_cost, cost_before, lca_res FROM prof"),
+        "path_res_range": _with(VIA, UNPACK, body="SELECT from_edge, to_edge, count(*) AS n_edges, min(lca_res) AS min_res, max(lca_res) AS max_res FROM prof GROUP BY ALL"),
+        "unpack_all_paths": _with(VIA, UNPACK, body="SELECT * FROM flat"),
+        "all_path_profiles": _with(VIA, UNPACK, body="SELECT from_edge, to_edge, pos, edge, edge_cost, cost_before, lca_res FROM prof"),
+        "all_path_res_ranges": _with(VIA, UNPACK, body="SELECT from_edge, to_edge, count(*) AS n_edges, min(lca_res) AS min_res, max(lca_res) AS max_res FROM prof GROUP BY ALL"),
         "route_cost": _with(body="SELECT from_edge, to_edge, b.cost + e.cost AS route_cost FROM b LEFT JOIN e ON to_edge = id"),
         "explain_pair": _with(body="SELECT from_edge, to_edge, lca_res, inner_cell, inner_res::INTEGER AS inner_res, outer_cell, outer_res::INTEGER AS outer_res, greatest(inner_res - lca_res + 1, 0)::INTEGER AS inner_levels, greatest(outer_res - lca_res + 1, 0)::INTEGER AS outer_levels FROM placed"),
         "cell_prune": _with(f"fb AS ({published('b')})", body=f"SELECT from_edge, to_edge, cell, {parent('from_cell', '2')} AS high_cell FROM fb JOIN e ON from_edge = id WHERE {parent('cell', res(parent('from_cell', '2')))} = {parent('from_cell', '2')}"),

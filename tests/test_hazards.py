@@ -4,10 +4,12 @@ import heapq
 import random
 from itertools import pairwise
 
+import pandas as pd
 import pytest
 
 from hexweave.functions import cells
 from hexweave.operators import audit, paths, stats
+from hexweave.operators import closure as closure_module
 from hexweave.operators.closure import closure_auto, closure_grouped, closure_join
 from hexweave.operators.pairs import assign_cells, enrich
 from hexweave.operators.reduce import merge_min, min_path
@@ -210,8 +212,8 @@ def test_long_paths(spark):
     """Two hundred segments: by jumps where each via is the next segment, by halves where vias are a closure's own."""
     n = 200
     base = spark.createDataFrame([(i, i + 1, 1.0, i + 1, 0) for i in range(n)], ARCS)
-    whole = closure_join(base)
-    via = paths.canonical_via(whole, base)
+    whole, arcs = closure_join(base), paths.whole_costs(base)
+    via = paths.canonical_via(closure_join(arcs.selectExpr("*", "0L AS current_cell")), arcs)
     wanted = whole.filter(f"from_edge = 0 AND to_edge IN (1, 63, {n})").select("from_edge", "to_edge")
     for got in (paths.walk(via, wanted), paths.unpack(whole, wanted)):
         rows = sorted((r.to_edge, r.pos, r.edge) for r in got.collect())
@@ -260,3 +262,138 @@ def test_unpack_walks_the_graph(spark):
         assert walk[0] == a and walk[-1] == b and all(p in set(graph) for p in pairwise(walk))
         assert abs(sum(cost[e] for e in walk[:-1]) - price[a, b]) < 1e-9
     assert stats.distribution(built.final(), "inside").agg({"percent": "sum"}).first()[0] == pytest.approx(100)
+
+
+def _follow(pairs):
+    out = {}
+    for a, b, c in pairs:
+        out.setdefault(a, []).append((b, c))
+    return out
+
+
+def _real_network(seed, n=60):
+    """Arcs with costs that are no sums of powers of two, some of them 0, and cycles of these."""
+    rng = random.Random(seed)
+    arcs = {(i, i + 1): rng.choice([0.0, 8 / 2.7, 1 / 3, rng.random() * 30]) for i in range(n)}
+    arcs |= {(rng.randrange(n), rng.randrange(n)): rng.choice([0.0, rng.random() * 90]) for _ in range(2 * n)}
+    arcs |= {(5, 6): 0.0, (6, 5): 0.0, (6, 7): 0.0, (7, 5): 0.0}
+    return [(a, b, c) for (a, b), c in sorted(arcs.items()) if a != b]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_paths_of_real_costs(spark, seed):
+    """Every pair has a next segment and a walk that ends, whose cost is Dijkstra's, with free cycles too."""
+    pairs = _real_network(seed)
+    base = spark.createDataFrame([(a, b, c, b) for a, b, c in pairs], "from_edge long, to_edge long, cost double, via_edge long")
+    arcs = paths.whole_costs(base)
+    closed = closure_join(arcs.selectExpr("*", "0L AS current_cell"))
+    via = paths.canonical_via(closed, arcs)
+    want = {(a, b): c for a in {p[0] for p in pairs} for b, c in _dijkstra(_follow(pairs), a).items()}
+    table = {(r.from_edge, r.to_edge): r for r in via.collect()}
+    assert set(table) == set(want) and all(r.via_edge is not None and abs(r.cost - want[k]) < 1e-4 for k, r in table.items())
+    step, walks = {(a, b): c for a, b, c in pairs}, {}
+    for r in sorted(paths.walk(via, via).collect(), key=lambda r: r.pos):
+        walks.setdefault((r.from_edge, r.to_edge), []).append(r.edge)
+    assert set(walks) == set(want)
+    for (a, b), edges in walks.items():
+        assert (edges[0], edges[-1]) == (a, b) and len(set(edges)) == len(edges)
+        assert abs(sum(step[h] for h in pairwise(edges)) - want[a, b]) < 1e-4
+
+
+def test_chain_of_real_costs(spark):
+    """41 segments of length / speed, where sums in another order differ in their last bits."""
+    rng = random.Random(7)
+    costs = [rng.uniform(5, 90) / rng.uniform(3, 30) for _ in range(41)]
+    base = spark.createDataFrame([(i, i + 1, c, i + 1) for i, c in enumerate(costs)], "from_edge long, to_edge long, cost double, via_edge long")
+    arcs = paths.whole_costs(base)
+    via = paths.canonical_via(closure_join(arcs.selectExpr("*", "0L AS current_cell")), arcs)
+    assert {(r.from_edge, r.to_edge): r.via_edge for r in via.collect()} == {(i, j): i + 1 for i in range(42) for j in range(i + 1, 42)}
+
+
+def test_walk_names_what_is_missing(spark):
+    schema = "from_edge long, to_edge long, via_edge long"
+    with pytest.raises(ValueError, match="1 pairs have no next segment"):
+        paths.walk(s := spark.createDataFrame([(1, 2, 2), (1, 3, None)], schema), s)
+    with pytest.raises(ValueError, match="not in the table"):
+        paths.walk(s := spark.createDataFrame([(1, 3, 2)], schema), s)
+    assert paths.walk(s := spark.createDataFrame([(1, 2, 2)], schema), s.selectExpr("2L AS from_edge", "1L AS to_edge")).count() == 0
+
+
+def test_few_pairs_need_few_jumps(spark, monkeypatch):
+    """A table of jumps has a row for each start of the wanted ends, not for each pair."""
+    n = 40
+    via = spark.createDataFrame([(i, j, i + 1) for i in range(n) for j in range(i + 1, n)], "from_edge long, to_edge long, via_edge long")
+    sizes = []
+    whole = storage.cut
+
+    def counted(df):
+        out = whole(df)
+        sizes.append((sorted(out.columns), out.count()))
+        return out
+
+    monkeypatch.setattr(paths, "cut", counted)
+    wanted = spark.createDataFrame([(0, n - 1), (3, 9)], "from_edge long, to_edge long")
+    rows = sorted((r.from_edge, r.pos, r.edge) for r in paths.walk(via, wanted).collect())
+    assert rows == sorted([*((0, i, i) for i in range(n)), *((3, i - 3, i) for i in range(3, 10))])
+    jumps = [k for columns, k in sizes if columns == ["edge", "jump", "to_edge"]]
+    assert jumps and set(jumps) == {n - 1 + 9}
+
+
+@pytest.mark.parametrize("pairs,most_arcs", [(1, 1 << 20), (7, 1 << 20), (10**6, 5), (10**6, 1 << 20)])
+def test_grouped_kernel_by_blocks(spark, pairs, most_arcs, monkeypatch):
+    """Blocks of starts give the pairs of the whole cell, none more than it may; vias split costs and have no cycles."""
+    monkeypatch.setattr(closure_module, "MATRIX", 200)
+    rows = [(a, b, c, b, cell) for cell, seed in ((7, 1), (8, 2)) for a, b, c in _real_network(seed, 14)] + [(1, 2, 1.0, 2, 9)]
+    table = spark.createDataFrame(rows, ARCS)
+    got = {(r.current_cell, r.from_edge, r.to_edge): r for r in closure_grouped(table, most_arcs, pairs).collect()}
+    for cell in (7, 8, 9):
+        follow = _follow([r[:3] for r in rows if r[4] == cell])
+        want = {(cell, a, b): c for a in follow for b, c in _dijkstra(follow, a).items()}
+        assert {k for k in got if k[0] == cell} == set(want)
+        assert all(abs(got[k].cost - c) < 1e-9 for k, c in want.items())
+    for (cell, a, b), r in got.items():
+        seen = set()
+        while (v := got[cell, a, b].via_edge) != b:
+            assert v not in seen and abs(got[cell, a, v].cost + got[cell, v, b].cost - got[cell, a, b].cost) < 1e-9
+            seen.add(v)
+            b = v
+
+
+def test_blocks_of_starts():
+    """Each block gives the pairs of its own starts, about as many as the others."""
+    rows = [(i, j, 1.0 + i, j, 0) for i in range(12) for j in range(12) if i != j]
+    arcs = pd.DataFrame(rows, columns=["from_edge", "to_edge", "cost", "via_edge", "current_cell"])
+    made = [pd.concat(closure_module._group_paths(iter([arcs.assign(block=k, blocks=5)]))) for k in range(5)]
+    assert [sorted(set(m.from_edge)) for m in made] == [list(range(k, 12, 5)) for k in range(5)]
+    assert [len(m) for m in made] == [33, 33, 22, 22, 22]
+
+
+@pytest.mark.parametrize("seed", [1, 4])
+def test_paths_between(spark, seed):
+    pairs = _real_network(seed)
+    base = spark.createDataFrame([(a, b, c, b) for a, b, c in pairs] + [(1, 99, None, 99), (2, 98, INF, 98)], "from_edge long, to_edge long, cost double, via_edge long")
+    follow = _follow(pairs)
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "edge long")
+    for starts, ends, limit in (((0, 5, 44), (7, 60, 5, 777), 60.0), ((0, 3), None, 35.0), ((2,), (50, 51), INF), ((777,), (1,), INF), ((1, 2), (), INF)):
+        got = {(r.from_edge, r.to_edge): r for r in closure_module.paths_between(base, ids(*starts), None if ends is None else ids(*ends), limit).collect()}
+        want = {(a, b): c for a in starts for b, c in _dijkstra(follow, a).items() if (ends is None or b in ends) and c <= limit}
+        assert set(got) == set(want) and all(abs(got[k].cost - c) < 1e-9 for k, c in want.items())
+
+
+def test_work_of_paths_between_follows_the_starts(spark, monkeypatch):
+    """On two chains that do not meet, only rows of the start's chain, and of its way to the end, are made."""
+    pairs = [(i, i + 1, 1.0, i + 1) for k in (0, 1000) for i in range(k, k + 30)]
+    sizes = []
+    whole = closure_module.cut
+
+    def counted(df):
+        out = whole(df)
+        if "key" in out.columns:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(closure_module, "cut", counted)
+    base = spark.createDataFrame(pairs, "from_edge long, to_edge long, cost double, via_edge long")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "edge long")
+    assert [tuple(r)[:3] for r in closure_module.paths_between(base, ids(3), ids(8, 1008), 100.0).collect()] == [(3, 8, 5.0)]
+    assert max(sizes) <= 9 + 9
