@@ -15,7 +15,7 @@ from hexweave.operators.finalize import finalize
 from hexweave.operators.pairs import assign_cells, enrich, level_profile
 from hexweave.operators.reduce import changed, merge_min
 from hexweave.plans.hierarchy import Options, Shortcuts, build_shortcuts
-from hexweave.sources.network import EDGE_SCHEMA, audit_input, base_pairs, grid_network, load_edges, load_graph, read_shortcuts, with_cost, write_csv, write_shortcuts
+from hexweave.sources.network import EDGE_SCHEMA, audit_input, base_pairs, grid_network, load_edges, load_graph, lookup, read_shortcuts, shortcuts_inside, with_cost, write_csv, write_shortcuts
 from hexweave.storage import cut, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,7 +106,7 @@ def shortcuts(kernel: str) -> Query:
 
 
 def level_stats(spark, sf_dir):
-    return _built(spark, sf_dir).level_stats()
+    return _built(spark, sf_dir).level_stats().drop("kernel")
 
 
 def audit_closed(spark, sf_dir):
@@ -127,7 +127,7 @@ def _halves(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 
 def compare_outputs(spark, sf_dir):
-    return audit.compare(*_halves(spark, sf_dir)).drop("via_differs")
+    return audit.compare(*_halves(spark, sf_dir))
 
 
 def top_differences(spark, sf_dir):
@@ -288,22 +288,57 @@ def via_contract(spark, sf_dir):
 def level_activity(spark, sf_dir):
     """(level, active, cells): which pairs, by which of their cells, take part at each level at the start."""
     e, _, b = _network(spark, sf_dir)
-    rows = [(level, n, cells_) for level, (n, cells_, _) in level_profile(enrich(b, e)).items()]
+    rows = [(x.level, x.active, x.cells) for x in level_profile(enrich(b, e)).values()]
     return spark.createDataFrame(rows, "level int, active long, cells long")
 
 
+#: Rows of a level's largest cell up to which shortcuts_mixed takes the grouped kernel.
+SMALL_CELL = 64
+
+
 def shortcuts_mixed(spark, sf_dir):
-    """Joins for the coarse levels, the grouped kernel for the fine ones."""
-    return _published(build_shortcuts(*grid_network(spark, sf_dir), Options(kernel=lambda level: "join" if level < 2 else "grouped")))
+    """Joins for the levels with a large cell, the grouped kernel for the others."""
+    return _published(build_shortcuts(*grid_network(spark, sf_dir), Options(kernel=lambda x: "grouped" if x.largest <= SMALL_CELL else "join")))
 
 
 def watch_trace(spark, sf_dir):
-    """The last costs that a build reports of the five base pairs with the largest ids."""
+    """The costs, after each level of a build, of the five base pairs with the largest ids."""
     e, g, b = _network(spark, sf_dir)
     top = b.filter("from_edge <> to_edge").orderBy(F.desc("from_edge"), F.desc("to_edge")).limit(5).collect()
     out = build_shortcuts(e, g, Options(watch=tuple((r.from_edge, r.to_edge) for r in top)))
-    order = F.when(F.col("phase") == "forward", -F.col("level")).otherwise(100 + F.col("level"))
-    return out.watched().groupBy("from_edge", "to_edge").agg(F.max_by("cost", order).alias("cost"))
+    return out.watched().drop("via_edge")
+
+
+def _written(spark, sf_dir) -> tuple[str, DataFrame, DataFrame]:
+    path = f"{shared_dir(spark)}/parquet-{uuid.uuid4().hex}"
+    e, _, b = _network(spark, sf_dir)
+    write_shortcuts(finalize(b, e), path)
+    return path, e, b
+
+
+def inside_cell(spark, sf_dir):
+    """Published base pairs whose pruning cell lies in one cell, the resolution-1 cell of the last segment: a range of positions."""
+    path, e, _ = _written(spark, sf_dir)
+    cell = e.agg(F.max_by(cells.parent("from_cell", 1), "id")).first()[0]
+    return shortcuts_inside(spark, path, cell).withColumn("inside", F.col("inside").cast("int"))
+
+
+def lookup_pairs(spark, sf_dir):
+    """Five published pairs looked up in the written table, with what places them in the hierarchy."""
+    path, e, _ = _written(spark, sf_dir)
+    last = read_shortcuts(spark, path).orderBy(F.desc("from_edge"), F.desc("to_edge")).limit(5).collect()
+    found = lookup(spark, path, [(r.from_edge, r.to_edge) for r in last])
+    return enrich(found.withColumn("inside", F.col("inside").cast("int")), e)
+
+
+def sql_cells(spark, sf_dir):
+    """The arithmetic of cells in SQL, over all segments."""
+    cells.register(spark)
+    _network(spark, sf_dir)[0].createOrReplaceTempView("hexweave_segments")
+    return spark.sql(
+        "SELECT id, cell_resolution(from_cell) AS res, cell_base(from_cell) AS base, cell_parent(to_cell, 3) AS parent_3, cell_lca_resolution(from_cell, to_cell) AS lca_res,"
+        " cell_lca(from_cell, to_cell) AS lca_cell, cell_contains(cell_parent(from_cell, 2), to_cell) AS near FROM hexweave_segments"
+    )
 
 
 def sample_pairs(spark, sf_dir):
@@ -360,4 +395,7 @@ def queries() -> dict[str, Query]:
         "shortcuts_mixed": shortcuts_mixed,
         "watch_trace": watch_trace,
         "sample_pairs": sample_pairs,
+        "inside_cell": inside_cell,
+        "lookup_pairs": lookup_pairs,
+        "sql_cells": sql_cells,
     }

@@ -7,7 +7,7 @@ Cell 0 stands for the whole world, at resolution -1. A null cell gives null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 MAX_RES = 15
@@ -63,3 +63,37 @@ def lca(a: Column | str, b: Column | str) -> Column:
 def contains(outer: Column | str, inner: Column | str) -> Column:
     """Whether `outer` is `inner` or one of its ancestors; the global cell contains all."""
     return parent(inner, resolution(outer)) == _long(outer)
+
+
+def position(cell: Column | str) -> Column:
+    """A cell without its resolution bits: a key in whose order a cell's descendants stand together, the cell itself last."""
+    return _long(cell).bitwiseAND(_CLEAR_RES)
+
+
+def inside(place: Column | str, outer: Column | int) -> Column:
+    """Whether a cell of this position is `outer` or one of its descendants: one range, which a scan can push down.
+
+    The unused digits of a cell are 7, which no descendant has; so its range runs from its own digits and zeros to itself.
+    """
+    c, p = _long(outer), F.col(place) if isinstance(place, str) else place
+    free = F.call_function("shiftleft", F.lit(1).cast("long"), (3 * (MAX_RES - resolution(c))).cast("int")) - 1
+    low = F.when(c == 0, F.lit(-(1 << 63))).otherwise(position(c).bitwiseAND(F.bitwise_not(free)))
+    high = F.when(c == 0, F.lit((1 << 63) - 1)).otherwise(position(c))
+    return p.between(low, high)
+
+
+#: SQL bodies of the functions of cells, by name and parameters; those further down use those before.
+SQL_FUNCTIONS = {
+    "cell_resolution(cell BIGINT) RETURNS INT": "CASE WHEN cell = 0 THEN -1 ELSE CAST(shiftright(cell, 52) & 15 AS INT) END",
+    "cell_base(cell BIGINT) RETURNS INT": "CAST(shiftright(cell, 45) & 127 AS INT)",
+    "cell_parent(cell BIGINT, res INT) RETURNS BIGINT": f"CASE WHEN cell = 0 OR res < 0 THEN 0 WHEN res > cell_resolution(cell) THEN cell ELSE (cell & {_CLEAR_RES}) | shiftleft(CAST(res AS BIGINT), 52) | (shiftleft(1L, 3 * (15 - res)) - 1) END",
+    "cell_lca_resolution(a BIGINT, b BIGINT) RETURNS INT": f"CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN a = 0 OR b = 0 OR cell_base(a) <> cell_base(b) THEN -1 WHEN (a ^ b) & {(1 << 45) - 1} = 0 THEN least(cell_resolution(a), cell_resolution(b)) ELSE least(cell_resolution(a), cell_resolution(b), 14 - CAST(floor((length(bin((a ^ b) & {(1 << 45) - 1})) - 1) / 3) AS INT)) END",
+    "cell_lca(a BIGINT, b BIGINT) RETURNS BIGINT": "cell_parent(a, cell_lca_resolution(a, b))",
+    "cell_contains(outer_cell BIGINT, cell BIGINT) RETURNS BOOLEAN": "cell_parent(cell, cell_resolution(outer_cell)) = outer_cell",
+}
+
+
+def register(spark: SparkSession) -> None:
+    """The functions of cells for SQL in this session, as SQL that the optimizer puts in their place."""
+    for head, body in SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexweave.operators.reduce import changed, min_path
-from hexweave.storage import cut
+from hexweave.storage import Scope, cut
 
 KEYS = ("from_edge", "to_edge", "current_cell")
 SCHEMA = "from_edge long, to_edge long, cost double, via_edge long, current_cell long"
@@ -40,17 +40,20 @@ def closure_join(active: DataFrame, max_rounds: int = 64) -> DataFrame:
 
     Ends when a round improves nothing; raises if that takes more than `max_rounds`.
     """
-    known = cut(usable_arcs(active))
-    delta = known
-    for _ in range(max_rounds):
+    with Scope() as own:
+        known = delta = cut(usable_arcs(active))
+        for _ in range(max_rounds):
+            if delta.isEmpty():
+                own.keep_only(known)
+                return known
+            was = known, delta
+            found = min_path(extend(delta, known).unionByName(extend(known, delta)), *KEYS)
+            delta = cut(changed(known, found, *KEYS))
+            known = cut(min_path(known.unionByName(delta), *KEYS))
+            own.keep_only(*was, known, delta)
         if delta.isEmpty():
             return known
-        found = min_path(extend(delta, known).unionByName(extend(known, delta)), *KEYS)
-        delta = cut(changed(known, found, *KEYS))
-        known = cut(min_path(known.unionByName(delta), *KEYS))
-    if delta.isEmpty():
-        return known
-    raise RuntimeError(f"paths still improve after {max_rounds} rounds")
+        raise RuntimeError(f"paths still improve after {max_rounds} rounds")
 
 
 def _relaxed(own: np.ndarray, n: int, f: np.ndarray, t: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,13 +151,17 @@ def paths_between(base: DataFrame, starts: DataFrame, ends: DataFrame | None = N
 
 def _expanded(seeds: DataFrame, arcs: DataFrame, limit: float, max_rounds: int, rest: DataFrame | None = None) -> DataFrame:
     """(edge, cost, key, via_edge): least cost of each edge and key, by rounds of one arc (edge, further, by) from the seeds."""
-    known = delta = cut(seeds)
-    for _ in range(max_rounds):
-        found = delta.join(arcs, "edge").select(F.col("further").alias("edge"), (F.col("cost") + F.col("by")).alias("cost"), "key", F.col("edge").alias("via_edge")).filter(F.col("cost") <= limit)
-        if rest is not None:
-            found = found.join(rest, "edge").filter(F.col("cost") + F.col("rest") <= limit).drop("rest")
-        delta = cut(changed(known, min_path(found, "edge", "key"), "edge", "key").select(known.columns))
-        if delta.isEmpty():
-            return known
-        known = cut(min_path(known.unionByName(delta), "edge", "key").select(known.columns))
-    raise RuntimeError(f"paths still improve after {max_rounds} rounds")
+    with Scope() as own:
+        known = delta = cut(seeds)
+        for _ in range(max_rounds):
+            found = delta.join(arcs, "edge").select(F.col("further").alias("edge"), (F.col("cost") + F.col("by")).alias("cost"), "key", F.col("edge").alias("via_edge")).filter(F.col("cost") <= limit)
+            if rest is not None:
+                found = found.join(rest, "edge").filter(F.col("cost") + F.col("rest") <= limit).drop("rest")
+            was = known, delta
+            delta = cut(changed(known, min_path(found, "edge", "key"), "edge", "key").select(known.columns))
+            if delta.isEmpty():
+                own.keep_only(known)
+                return known
+            known = cut(min_path(known.unionByName(delta), "edge", "key").select(known.columns))
+            own.keep_only(*was, known, delta)
+        raise RuntimeError(f"paths still improve after {max_rounds} rounds")

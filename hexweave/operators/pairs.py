@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,16 +48,29 @@ def assign_cells(placed: DataFrame, level: int) -> DataFrame:
     return placed.select("from_edge", "to_edge", "cost", "via_edge", F.explode(cells).alias("current_cell"))
 
 
-def level_profile(placed: DataFrame) -> dict[int, tuple[int, int, int]]:
-    """What takes part at each level: (rows, cells, fingerprint of the pairs). At most 17 rows reach the driver.
+class Level(NamedTuple):
+    """What takes part at a level: rows, cells, a fingerprint of the pairs, rows of the largest cell, and about how many
+    pairs its cells give if each start reaches each end."""
+
+    level: int
+    active: int
+    cells: int
+    mark: int
+    largest: int
+    expected: int
+
+
+def level_profile(placed: DataFrame) -> dict[int, Level]:
+    """The levels at which pairs take part; at most 17 rows reach the driver.
 
-    Two neighbouring levels with the same profile deal the same pairs into the same cells.
+    Two neighbouring levels with the same rows, cells and fingerprint deal the same pairs into the same cells.
     """
     sides = F.array(*[F.struct(F.col(f"{s}_cell").alias("cell"), F.col(f"{s}_res").alias("res"), F.lit(s).alias("side")) for s in ("inner", "outer")])
     taking = placed.select("from_edge", "to_edge", "lca_res", F.explode(sides).alias("at")).filter(F.col("lca_res") <= F.col("at.res"))
     spread = taking.select("from_edge", "to_edge", "at.side", "at.cell", F.explode(F.sequence("lca_res", F.col("at.res"))).alias("level"))
+    ends = F.approx_count_distinct("from_edge", 0.1) * F.approx_count_distinct("to_edge", 0.1)
     cells = spread.groupBy("level", parent("cell", F.col("level")).alias("held")).agg(
-        F.count("*").alias("n"), F.expr("bit_xor(xxhash64(from_edge, to_edge, side))").alias("x")
+        F.count("*").alias("n"), F.expr("bit_xor(xxhash64(from_edge, to_edge, side))").alias("x"), ends.alias("pairs")
     )
-    rows = cells.groupBy("level").agg(F.sum("n").alias("n"), F.count("*").alias("cells"), F.expr("bit_xor(x)").alias("x")).collect()
-    return {r.level: (r.n, r.cells, r.x) for r in rows}
+    sums = F.sum("n").alias("n"), F.count("*").alias("cells"), F.expr("bit_xor(x)").alias("x"), F.max("n").alias("largest"), F.sum("pairs").alias("pairs")
+    return {r.level: Level(*r) for r in cells.groupBy("level").agg(*sums).collect()}

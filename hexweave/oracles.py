@@ -89,8 +89,26 @@ flat AS MATERIALIZED (SELECT * FROM un),
 prof AS (SELECT f.*, e.cost AS edge_cost, coalesce(sum(e.cost) OVER (PARTITION BY from_edge, to_edge ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cost_before, e.lca_res FROM flat f JOIN e ON e.id = f.edge)"""
 CROSSING = "SELECT id FROM e WHERE lca_res = -1"
 HALVES = f"""
-h1 AS ({published('b')}),
-h2 AS ({published('(SELECT from_edge, to_edge, min(cost) AS cost FROM (SELECT from_edge, to_edge, 2 * cost AS cost FROM b UNION ALL SELECT * FROM x1) GROUP BY ALL)')})"""
+h1 AS (SELECT *, to_edge AS via_edge FROM ({published('b')})),
+h3 AS MATERIALIZED (SELECT from_edge, to_edge, min(cost) AS cost, arg_min(via, (cost, via)) AS via_edge FROM (SELECT from_edge, to_edge, 2 * cost AS cost, to_edge AS via FROM b
+  UNION ALL SELECT a.from_edge, c.to_edge, a.cost + c.cost, a.to_edge FROM b a JOIN b c ON a.to_edge = c.from_edge AND a.from_edge <> c.to_edge AND a.from_edge <> a.to_edge AND c.from_edge <> c.to_edge) GROUP BY ALL),
+h2 AS (SELECT p.*, h3.via_edge FROM ({published('h3')}) p JOIN h3 USING (from_edge, to_edge))"""
+
+
+def passes() -> tuple[str, list[tuple[str, int, int]]]:
+    """Both passes over the levels, one after the other: what takes part at a level, what gets cheaper, and the pairs then."""
+    steps = [("forward", r) for r in range(15, -2, -1)] + [("backward", r) for r in range(16)]
+    parts = ["s0 AS MATERIALIZED (SELECT from_edge, to_edge, min(cost) AS cost FROM b WHERE cost IS NOT NULL GROUP BY ALL)"]
+    for k, (_, level) in enumerate(steps, 1):
+        sides = " UNION ALL ".join(f"SELECT from_edge, to_edge, cost, {parent(f'{x}_cell', str(level))} AS cell FROM q{k} WHERE lca_res <= {level} AND {x}_res >= {level}" for x in ("inner", "outer"))
+        parts += [
+            f"q{k} AS (SELECT s.from_edge, s.to_edge, s.cost, {_PLACE} FROM s{k - 1} s JOIN e a ON s.from_edge = a.id JOIN e b ON s.to_edge = b.id)",
+            f"a{k} AS MATERIALIZED ({sides})",
+            closure(f"SELECT from_edge AS f, to_edge AS t, cell AS k, min(cost) AS c FROM a{k} WHERE from_edge <> to_edge GROUP BY ALL", f"c{k}"),
+            f"i{k} AS MATERIALIZED (SELECT n.* FROM (SELECT f AS from_edge, t AS to_edge, min(c) AS cost FROM c{k} GROUP BY ALL) n LEFT JOIN s{k - 1} s USING (from_edge, to_edge) WHERE s.cost IS NULL OR n.cost < s.cost)",
+            f"s{k} AS MATERIALIZED (SELECT from_edge, to_edge, min(cost) AS cost FROM (SELECT * FROM s{k - 1} UNION ALL SELECT * FROM i{k}) GROUP BY ALL)",
+        ]
+    return ",".join(x.strip() for x in parts), [(phase, level, k) for k, (phase, level) in enumerate(steps, 1)]
 
 
 def _with(*parts: str, body: str) -> str:
@@ -108,6 +126,7 @@ def oracle_sql() -> dict[str, str]:
     faults = {"null_id": "e WHERE id IS NULL", "null_pair": "g WHERE from_edge IS NULL OR to_edge IS NULL", "null_cell": "e WHERE from_cell IS NULL OR to_cell IS NULL", "null_cost": "e WHERE length IS NULL OR maxspeed IS NULL", "impassable": "e WHERE maxspeed <= 0", "wrong_lca_res": f"e WHERE lca_res IS DISTINCT FROM {lca_res('from_cell', 'to_cell')}", "repeated_id": "(SELECT id FROM e GROUP BY id HAVING count(*) > 1)", "unknown_from_edge": "g ANTI JOIN e ON g.from_edge = e.id", "unknown_to_edge": "g ANTI JOIN e ON g.to_edge = e.id", "self_pair": "g WHERE from_edge = to_edge"}
     active = " UNION ALL ".join(f"SELECT {level} AS level, {parent(f'{s}_cell', str(level))} AS cell FROM placed WHERE lca_res <= {level} AND {s}_res >= {level}" for level in range(-1, 16) for s in ("inner", "outer"))
     both = "r.cost IS NOT NULL AND n.cost IS NOT NULL"
+    levels, steps = passes()
     uneven = ",".join(next_segments("(SELECT length / (maxspeed * 0.3) FROM e WHERE id = from_edge)"))
     return {
         "uneven_via": _with(uneven, body="SELECT * FROM via"),
@@ -133,16 +152,20 @@ def oracle_sql() -> dict[str, str]:
         "csv_edges": _with(body="SELECT id, from_cell, to_cell, lca_res, length, maxspeed, cost FROM e"),
         "csv_graph": _with(body="SELECT from_edge, to_edge FROM g"),
         "parquet_round_trip": _with(f"fb AS ({published('b')})", body="SELECT *, to_edge AS via_edge FROM fb"),
-        "via_contract": _with(ALL, FINAL, body="SELECT count(*) AS published, 0::BIGINT AS broken FROM final"),
+        "via_contract": _with(ALL, FINAL, VIA, body="SELECT count(*) AS published, count(*) FILTER (via_edge <> final.to_edge AND (c1.c IS NULL OR c2.c IS NULL OR abs(final.cost - c1.c - c2.c) > 1e-9)) AS broken FROM final LEFT JOIN via USING (from_edge, to_edge) LEFT JOIN p c1 ON c1.f = final.from_edge AND c1.t = via_edge LEFT JOIN p c2 ON c2.f = via_edge AND c2.t = final.to_edge"),
         "level_activity": _with(body=f"SELECT level::INTEGER AS level, sum(n)::BIGINT AS active, count(*) AS cells FROM (SELECT level, cell, count(*) AS n FROM ({active}) GROUP BY ALL) GROUP BY level"),
-        "watch_trace": _with(ALL, body="SELECT f AS from_edge, t AS to_edge, c AS cost FROM p JOIN (SELECT from_edge, to_edge FROM b WHERE from_edge <> to_edge ORDER BY from_edge DESC, to_edge DESC LIMIT 5) ON f = from_edge AND t = to_edge"),
+        "level_stats": _with(levels, body=" UNION ALL ".join(f"SELECT '{phase}' AS phase, {level}::INTEGER AS level, (SELECT count(*) FROM a{k}) AS active, (SELECT count(*) FROM i{k}) AS improved" for phase, level, k in steps)),
+        "watch_trace": _with(levels, "top AS MATERIALIZED (SELECT from_edge, to_edge FROM b WHERE from_edge <> to_edge ORDER BY from_edge DESC, to_edge DESC LIMIT 5)", body=" UNION ALL ".join(f"SELECT '{phase}' AS phase, {level}::INTEGER AS level, from_edge, to_edge, cost FROM s{k} JOIN top USING (from_edge, to_edge)" for phase, level, k in steps)),
+        "inside_cell": _with(f"fb AS ({published('b')})", f"one AS (SELECT arg_max({parent('from_cell', '1')}, id) AS x FROM e)", body=f"SELECT fb.*, to_edge AS via_edge FROM fb, one WHERE {parent('cell', res('x'))} = x"),
+        "lookup_pairs": _with(f"fb AS ({published('b')})", body="SELECT fb.*, to_edge AS via_edge, lca_res, inner_cell, outer_cell, inner_res::INTEGER AS inner_res, outer_res::INTEGER AS outer_res FROM (SELECT * FROM fb ORDER BY from_edge DESC, to_edge DESC LIMIT 5) fb JOIN placed USING (from_edge, to_edge)"),
+        "sql_cells": _with(body=f"SELECT id, ({res('from_cell')})::INTEGER AS res, ((from_cell >> 45) & 127)::INTEGER AS base, {parent('to_cell', '3')} AS parent_3, lca_res, {parent('from_cell', lca_res('from_cell', 'to_cell'))} AS lca_cell, {parent('to_cell', res(parent('from_cell', '2')))} = {parent('from_cell', '2')} AS near FROM e"),
         "sample_pairs": _with(body="SELECT from_edge, to_edge, cost FROM b ORDER BY md5(from_edge || '-' || to_edge || '-42'), from_edge, to_edge LIMIT 50"),
         "shortcuts_join": final,
         "shortcuts_grouped": final,
         "shortcuts_auto": final,
         "audit_closed": _with(ALL, body="SELECT count(*) AS pairs, count(*) FILTER (c - two > 1e-9) AS improvable, coalesce(max(CASE WHEN c - two > 1e-9 THEN c - two END), 0)::DOUBLE AS max_gain FROM p LEFT JOIN (SELECT a.f, d.t, min(a.c + d.c) AS two FROM p a JOIN p d ON a.t = d.f AND a.f <> d.t GROUP BY ALL) q USING (f, t)"),
         "audit_optimal": _with(ALL, FINAL, body="SELECT count(*) AS pairs, count(*) FILTER (abs(cost - c) <= 1e-6) AS optimal, count(*) FILTER (c IS NULL) AS unreachable, coalesce(avg(cost - c), 0)::DOUBLE AS mean_excess, coalesce(max(cost - c), 0)::DOUBLE AS max_excess FROM final LEFT JOIN p ON f = from_edge AND t = to_edge"),
-        "compare_outputs": _with(STEP, HALVES, body=f"SELECT count(r.cost) AS ref_rows, count(n.cost) AS new_rows, count(*) FILTER ({both}) AS matched, count(*) FILTER (n.cost IS NULL) AS only_ref, count(*) FILTER (r.cost IS NULL) AS only_new, count(*) FILTER (abs(r.cost - n.cost) > 1e-6) AS cost_differs, count(*) FILTER ({both} AND r.inside IS DISTINCT FROM n.inside) AS inside_differs, count(*) FILTER ({both} AND r.cell IS DISTINCT FROM n.cell) AS cell_differs, coalesce(max(abs(r.cost - n.cost)), 0)::DOUBLE AS max_gap, coalesce(avg(abs(r.cost - n.cost)), 0)::DOUBLE AS mean_gap FROM h1 r FULL JOIN h2 n ON r.from_edge = n.from_edge AND r.to_edge = n.to_edge"),
+        "compare_outputs": _with(STEP, HALVES, body=f"SELECT count(r.cost) AS ref_rows, count(n.cost) AS new_rows, count(*) FILTER ({both}) AS matched, count(*) FILTER (n.cost IS NULL) AS only_ref, count(*) FILTER (r.cost IS NULL) AS only_new, count(*) FILTER (abs(r.cost - n.cost) > 1e-6) AS cost_differs, count(*) FILTER ({both} AND r.inside IS DISTINCT FROM n.inside) AS inside_differs, count(*) FILTER ({both} AND r.cell IS DISTINCT FROM n.cell) AS cell_differs, count(*) FILTER ({both} AND r.via_edge IS DISTINCT FROM n.via_edge) AS via_differs, coalesce(max(abs(r.cost - n.cost)), 0)::DOUBLE AS max_gap, coalesce(avg(abs(r.cost - n.cost)), 0)::DOUBLE AS mean_gap FROM h1 r FULL JOIN h2 n ON r.from_edge = n.from_edge AND r.to_edge = n.to_edge"),
         "top_differences": _with(STEP, HALVES, body="SELECT r.from_edge, r.to_edge, r.cost AS ref_cost, n.cost AS new_cost, abs(r.cost - n.cost) AS gap FROM h1 r JOIN h2 n ON r.from_edge = n.from_edge AND r.to_edge = n.to_edge WHERE r.cost <> n.cost ORDER BY gap DESC, 1, 2 LIMIT 10"),
         "inside_distribution": _with(ALL, FINAL, body=_distribution("final", "inside")),
         "lca_res_distribution": _with(body=_distribution("e", "lca_res")),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hexweave.functions.cells import lca_resolution
+from hexweave.functions.cells import inside, lca_resolution, position
 
 EDGE_SCHEMA = T.StructType(
     [
@@ -136,10 +136,33 @@ def _counts(rows: DataFrame, faults: dict[str, Column]) -> DataFrame:
     return all_.select(F.explode(F.array(*[F.struct(F.lit(name).alias("fault"), F.col(name).alias("n")) for name in faults])).alias("x")).select("x.fault", "x.n")
 
 
+#: A column of written tables alone: the pruning cell's position.
+POSITION = "cell_position"
+
+
 def write_shortcuts(shortcuts: DataFrame, path: str) -> None:
-    """As Parquet, clustered by pruning cell so that row groups prune on it."""
-    shortcuts.repartitionByRange("cell", "from_edge").sortWithinPartitions("cell", "from_edge").write.mode("overwrite").parquet(path)
+    """As Parquet in the order of pruning cells' positions, so that row groups prune on a cell with its descendants, and with
+    bloom filters of both ends, so that they prune on a pair."""
+    placed = shortcuts.withColumn(POSITION, position("cell"))
+    writer = placed.repartitionByRange(POSITION, "from_edge").sortWithinPartitions(POSITION, "from_edge").write.mode("overwrite")
+    for end in ("from_edge", "to_edge"):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{end}", "true").option(f"parquet.enable.dictionary#{end}", "false")
+    writer.parquet(path)
 
 
 def read_shortcuts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop(POSITION)
+
+
+def shortcuts_inside(spark: SparkSession, path: str, cell: int) -> DataFrame:
+    """The written shortcuts whose pruning cell is `cell` or lies in it, by one range of positions."""
+    return spark.read.parquet(path).filter(inside(POSITION, cell)).drop(POSITION)
+
+
+def lookup(spark: SparkSession, path: str, pairs: list[tuple[int, int]]) -> DataFrame:
+    """The written shortcuts of these pairs (from_edge, to_edge), some few."""
+    any_of = F.lit(False)
+    for a, b in pairs:
+        any_of = any_of | ((F.col("from_edge") == a) & (F.col("to_edge") == b))
+    ends = F.col("from_edge").isin([a for a, _ in pairs]) & F.col("to_edge").isin([b for _, b in pairs])
+    return read_shortcuts(spark, path).filter(ends & any_of)

@@ -3,9 +3,11 @@
 import heapq
 import random
 from itertools import pairwise
+from pathlib import Path
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from hexweave.functions import cells
 from hexweave.operators import audit, paths, stats
@@ -13,6 +15,7 @@ from hexweave.operators import closure as closure_module
 from hexweave.operators.closure import closure_auto, closure_grouped, closure_join
 from hexweave.operators.pairs import assign_cells, enrich
 from hexweave.operators.reduce import merge_min, min_path
+from hexweave.plans import hierarchy
 from hexweave.plans.hierarchy import Options, build_shortcuts
 from hexweave import storage
 from hexweave.sources import network
@@ -397,3 +400,82 @@ def test_work_of_paths_between_follows_the_starts(spark, monkeypatch):
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "edge long")
     assert [tuple(r)[:3] for r in closure_module.paths_between(base, ids(3), ids(8, 1008), 100.0).collect()] == [(3, 8, 5.0)]
     assert max(sizes) <= 9 + 9
+
+
+def test_positions_are_ranges_of_descendants(spark):
+    rng = random.Random(9)
+    rows = []
+    for _ in range(400):
+        a, b = (cell(rng.choice([3, 4]), *(rng.randrange(7) for _ in range(15))) for _ in "ab")
+        rows.append((a, rng.choice([a, b]), rng.randrange(-1, 16), rng.randrange(-1, 16)))
+    made = spark.createDataFrame(rows, "a long, b long, r long, s long").select(cells.parent("a", F.col("r")).alias("x"), cells.parent("b", F.col("s")).alias("y"))
+    got = made.select(cells.contains("x", "y").alias("want"), cells.inside(cells.position("y"), F.col("x")).alias("got")).collect()
+    assert all(r.want == r.got for r in got) and {r.want for r in got} == {True, False}
+
+
+def _rows_read(df):
+    """Rows that the scan gives, after row groups are skipped."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    while not plan.nodeName().startswith("Scan"):
+        plan = plan.finalPhysicalPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan.children().apply(0)
+    return plan.metrics().apply("numOutputRows").value(), df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
+def test_scans_skip_what_a_cell_or_a_pair_does_not_need(spark, tmp_path):
+    rng = random.Random(3)
+    rows = []
+    for i in range(40_000):
+        c = cell(3, *(rng.randrange(3) for _ in range(6)))
+        rows.append((i, rng.randrange(1 << 40), 1.0, i, 0, c))
+    table = spark.createDataFrame(rows, "from_edge long, to_edge long, cost double, via_edge long, inside int, cell long").withColumn("cell", cells.parent("cell", F.pmod("from_edge", F.lit(7))))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        network.write_shortcuts(table.repartition(3), str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    wanted = (cell(3, 1) & ~(15 << 52)) | (1 << 52) | ((1 << 42) - 1)
+    part = network.shortcuts_inside(spark, str(tmp_path), wanted)
+    read, plan = _rows_read(part)
+    assert "GreaterThanOrEqual(cell_position" in plan and "LessThanOrEqual(cell_position" in plan
+    assert part.count() == table.filter(cells.contains(F.lit(wanted), "cell")).count() > 0 and read < 40_000
+    some = rows[77]
+    found = network.lookup(spark, str(tmp_path), [(some[0], some[1]), (1, 1)])
+    read, plan = _rows_read(found)
+    assert [(r.from_edge, r.to_edge) for r in found.collect()] == [some[:2]] and read < 40_000 and "PushedFilters" in plan
+    assert network.read_shortcuts(spark, str(tmp_path)).columns == table.columns
+
+
+def test_sql_functions_are_inlined(spark):
+    cells.register(spark)
+    rng = random.Random(5)
+    rows = [(cell(rng.choice([3, 4]), *(rng.randrange(7) for _ in range(rng.randrange(16)))), cell(3, *(rng.randrange(3) for _ in range(5))), rng.randrange(-1, 17)) for _ in range(200)] + [(0, cell(3), 2), (None, cell(3), 1)]
+    spark.createDataFrame(rows, "a long, b long, r int").createOrReplaceTempView("some_cells")
+    told = spark.sql("SELECT *, cell_parent(a, r) AS p, cell_lca(a, b) AS l, cell_lca_resolution(a, b) AS n, cell_contains(cell_lca(a, b), b) AS c FROM some_cells")
+    plan = told._sc._jvm.PythonSQLUtils.explainString(told._jdf.queryExecution(), "formatted")
+    assert "EvalPython" not in plan and "cell_parent(" not in plan
+    same = told.select("*", cells.parent("a", F.col("r")).alias("p2"), cells.lca("a", "b").alias("l2"), cells.lca_resolution("a", "b").alias("n2"), cells.contains(cells.lca("a", "b"), "b").alias("c2"))
+    assert all((r.p, r.l, r.n, r.c) == (r.p2, r.l2, r.n2, r.c2) for r in same.collect())
+
+
+def test_a_build_keeps_few_tables(spark):
+    """Two tables are left of all that the levels write, and never more than a level needs at a time."""
+    here = Path(storage.shared_dir(spark).removeprefix("file://"))
+    had, most = set(here.iterdir()), []
+    whole = storage.cut
+
+    def counted(df):
+        out = whole(df)
+        most.append(len(set(here.iterdir()) - had))
+        return out
+
+    rows, graph = _random_network(3, 12)
+    for module in (hierarchy, closure_module):
+        module.cut = counted
+    try:
+        out = build_shortcuts(_edges(spark, rows), _graph(spark, graph), Options(kernel="join"))
+    finally:
+        for module in (hierarchy, closure_module):
+            module.cut = whole
+    assert len(set(here.iterdir()) - had) == 2 and max(most) <= 9 < len(most)
+    assert out.final().count() > 0
