@@ -3,9 +3,9 @@
 Each text is encoded, ended with an id, and cut into pieces only where it is longer than a sequence. What the plan
 needs of the corpus is the histogram of piece lengths, at most `size` counts. The linear program over patterns (which
 lengths share a sequence) is solved by multiplicative weights: lengths have weights, a knapsack by dynamic
-programming prices the pattern that covers most weight, and covered lengths lose weight. The mean of the chosen
-patterns, scaled to cover all pieces, is rounded down; the room and the pieces that this leaves go by best fit over
-the histogram. Pieces then take their places by their rank among pieces of their length.
+programming prices a pattern around the length of most weight, and covered lengths lose weight. Amounts of patterns are
+rounded down to whole sequences as they are found, and the program goes on with the pieces left; the last few
+sequences' worth goes by best fit. Pieces then take their places by their rank among pieces of their length.
 
 Null texts count as empty: one piece that holds the end id alone. Rows are packed one by one, so repeated rows and null
 ids are packed like others; columns other than doc_id and text are not looked at. An empty table gives an empty one.
@@ -29,6 +29,10 @@ from hexweave.storage import cut
 
 SIZE = 4096
 END_ID = 1
+#: Classes among which a pattern is priced; how fast weights shrink; what weights count for beside tokens.
+CANDIDATES, RATE, TILT = 48, 0.1, 1e-4
+#: Sequences whose pieces are left to best fit at the end.
+REMAINDER = 16
 #: Slots of a worker's table of words, a word each.
 SLOTS = 1 << 20
 #: Ids after which that table is begun anew, and bytes of the longest word in it.
@@ -200,87 +204,50 @@ def price(lengths: np.ndarray, weights: np.ndarray, counts: np.ndarray, size: in
     return times
 
 
-def fractional(lengths: np.ndarray, counts: np.ndarray, size: int, rounds: int, rate: float = 0.3) -> dict[tuple[int, ...], float]:
-    """{pattern: how often}, which covers all pieces on the average: multiplicative weights on the classes.
+def program(left: dict[int, int], size: int, remainder: int = REMAINDER) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
+    """([(lengths in a sequence, how many such sequences)], pieces left): patterns for all but about `remainder` sequences.
 
-    A round prices a pattern, uses it until its scarcest class is used up once, and shrinks the weights of what it
-    covers.
+    Every length is a class of its own. A class's weight begins as its length and shrinks as its pieces are covered, so the
+    class of most weight is one that is long and has waited. It gets a pattern: the knapsack fills the rest of the sequence
+    from CANDIDATES classes, half of them those of most weight, half spread over the lengths that fit beside it. A class
+    counts for its tokens there and, far less, for its weight, as tokens are the program's dual prices where sequences can
+    be filled. The pattern is used as often as its scarcest class allows, rounded down; each round uses a class up or
+    nearly, so rounds follow the number of lengths, whatever the number of pieces.
     """
-    weights, cover, used = lengths / size, np.zeros(len(lengths)), {}
-    for _ in range(rounds):
-        times = price(lengths, weights, counts, size)
+    lengths = np.array(sorted(k for k, n in left.items() if n > 0), np.int64)
+    stock = np.array([left[int(k)] for k in lengths], np.int64)
+    whole, weights, plan = stock.copy(), lengths / size, []
+    tokens = int((lengths * stock).sum())
+    while tokens > remainder * size:
+        have = np.flatnonzero(stock)
+        top = have[np.argsort(-weights[have], kind="stable")[: CANDIDATES // 2]]
+        first, room = top[0], size - int(lengths[top[0]])
+        beside = have[lengths[have] <= room]
+        spread = beside[np.linspace(0, len(beside) - 1, min(len(beside), CANDIDATES // 2)).astype(int)]
+        own = np.union1d(top[lengths[top] <= room], spread).astype(np.int64)
+        times = np.zeros(len(lengths), np.int64)
+        if len(own):
+            times[own] = price(lengths[own], lengths[own] / size * (1 + TILT * weights[own]), stock[own] - (own == first), room)
+        times[first] += 1
         on = np.flatnonzero(times)
-        step = float((counts[on] / times[on]).min())
-        share = step * times[on] / counts[on]
-        cover[on] += share
-        weights[on] *= 1 - rate * share
-        weights /= weights.max()
-        key = tuple(times.tolist())
-        used[key] = used.get(key, 0.0) + step
-    mean = float((cover * counts * lengths).sum() / (counts * lengths).sum())
-    return {k: n / mean for k, n in used.items()}
-
-
-def solve(histogram: dict[int, int], size: int = SIZE, rounds: int = 120, classes: int = 256) -> list[tuple[tuple[int, ...], int]]:
-    """[(lengths in a sequence, how many such sequences)], each piece once, never more sequences than best fit alone.
-
-    Sequences that one piece fills are set aside first. The linear program is over at most `classes` classes of
-    neighbouring lengths with about as many pieces each, which bounds its size whatever the histogram; a class counts as
-    its longest. Its patterns are rounded down to whole sequences, whose slots take the longest pieces of their class.
-    Best fit closes them, so that what a class is shorter than its longest is not lost, and deals out all other pieces.
-    Of the plans that keep all slots of a pattern, that leave its shortest slot to best fit, and of best fit alone, the
-    one of fewest sequences holds.
+        step = int((stock[on] // times[on]).min())
+        stock -= step * times
+        weights[on] *= 1 - RATE * step * times[on] / whole[on]
+        tokens -= step * int((times * lengths).sum())
+        plan.append((tuple(int(x) for x in np.repeat(lengths[on], times[on])[::-1]), step))
+    return plan, {int(k): int(n) for k, n in zip(lengths, stock) if n}
+
+
+def solve(histogram: dict[int, int], size: int = SIZE, remainder: int = REMAINDER) -> list[tuple[tuple[int, ...], int]]:
+    """[(lengths in a sequence, how many such sequences)], each piece once.
+
+    Sequences that one piece fills are set aside. The program deals out all but some `remainder` sequences' worth of the other
+    pieces; best fit deals those into what room the patterns have and into sequences of their own.
     """
     left = {int(k): int(v) for k, v in histogram.items() if v > 0}
     full = [((size,), left.pop(size))] if left.get(size) else []
-    if not left:
-        return full
-    known = sorted(left)
-    before = np.cumsum([left[n] for n in known]) - 1
-    group = np.arange(len(known)) if len(known) <= classes else np.unique(before * classes // (before[-1] + 1), return_inverse=True)[1]
-    members: list[list[tuple[int, int]]] = [[] for _ in range(group[-1] + 1)]  # of each class (length, pieces), the longest last
-    for length, k in zip(known, group):
-        members[k].append((length, left[length]))
-    lengths, counts = np.array([rows[-1][0] for rows in members]), np.array([sum(n for _, n in rows) for rows in members])
-    patterns = sorted(fractional(lengths, counts, size, rounds).items(), key=lambda x: (-x[1], x[0]))
-    plans = [_rounded(patterns, members, size, drop) for drop in (0, 1)] + [best_fit(left, size)]
-    return full + min(plans, key=lambda plan: sum(n for _, n in plan))
-
-
-def _rounded(patterns: list[tuple[tuple[int, ...], float]], members: list[list[tuple[int, int]]], size: int, drop: int) -> list[tuple[tuple[int, ...], int]]:
-    """Whole sequences of the patterns, without their `drop` shortest slots, and best fit for the rest."""
-    stock = [[list(row) for row in rows] for rows in members]
-    counts = np.array([sum(n for _, n in rows) for rows in members])
-    started: list[tuple[tuple[int, ...], int]] = []
-    for times, amount in patterns:
-        whole = min([int(amount + 1e-9), *(int(counts[k]) // n for k, n in enumerate(times) if n)])
-        counts = counts - whole * np.array(times)
-        slots = [k for k, n in enumerate(times) for _ in range(n)][drop:][::-1]  # the longest first
-        while whole and slots:
-            n, pattern = whole, []
-            for k in slots:
-                length, have = stock[k][-1]
-                n = min(n, have)
-                pattern.append((k, length, n))
-                _take(stock[k], n)
-            for k, length, taken in reversed(pattern):  # back what a scarcer slot behind it left over
-                _return(stock[k], length, taken - n)
-            started.append((tuple(x for _, x, _ in pattern), n))
-            whole -= n
-    return best_fit({length: n for rows in stock for length, n in rows}, size, started)
-
-
-def _take(rows: list[list[int]], n: int) -> None:
-    rows[-1][1] -= n
-    if not rows[-1][1]:
-        rows.pop()
-
-
-def _return(rows: list[list[int]], length: int, n: int) -> None:
-    if n and rows and rows[-1][0] == length:
-        rows[-1][1] += n
-    elif n:
-        rows.append([length, n])
+    plan, rest = program(left, size, remainder)
+    return full + best_fit(rest, size, plan)
 
 
 def best_fit(left: dict[int, int], size: int, started: list[tuple[tuple[int, ...], int]] = ()) -> list[tuple[tuple[int, ...], int]]:

@@ -177,3 +177,16 @@ def test_pattern_of_most_weight():
         assert (times <= counts).all() and (times * lengths).sum() <= 60
         best = max((np.array(p) * weights).sum() for p in product(*[range(c + 1) for c in counts]) if (np.array(p) * lengths).sum() <= 60)
         assert abs((times * weights).sum() - best) < 1e-9
+
+
+def test_the_program_places_the_pieces(documents):
+    """On the documents' lengths, and on many times as many, the program deals out all but a few sequences, and best fit alone needs no fewer."""
+    rows = packing.pieces_of(documents, WORDS).groupBy("length").count().collect()
+    for times in (1, 10, 100, 1500):
+        histogram = {r.length: times * r["count"] for r in rows if r.length < 4096}
+        plan, rest = packing.program(histogram, 4096)
+        total, left = (sum(k * n for k, n in h.items()) for h in (histogram, rest))
+        assert left <= packing.REMAINDER * 4096
+        assert sum(n * sum(pattern) for pattern, n in plan) + left == total
+        assert sum(n * (sum(pattern) == 4096) for pattern, n in plan) >= 0.98 * sum(n for _, n in plan)
+        assert sum(n for _, n in packing.solve(histogram)) <= sum(n for _, n in packing.best_fit(histogram, 4096))
