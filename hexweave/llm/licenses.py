@@ -7,12 +7,13 @@ of its first n - ceil(THRESHOLD * n) + 1 (prefix filter) and has tokens enough (
 match after the first common token reaches the threshold (positional filter). Every line left is verified.
 
 Notices are hard-wrapped too, so runs of successive words that go across lines are blocks as well: as many words as
-SLACK times the template has, for comment marks and insertions. Documents that hold too few tokens as a whole are left
-out first; every run that begins with a token is verified in the others.
+SLACK times the template has, for comment marks and insertions. A run's document holds the run's tokens, so documents
+go through the same filters first, with tokens ordered by the number of documents that hold them; in those left, every
+run that begins with a token is verified.
 
 Null texts count as empty: no words, no labels, score 0. Each row is a document of its own: rows that repeat a doc_id
-with other texts share no lines, and rows with a null doc_id have their labels. Other columns are not looked at. An
-empty table gives an empty one.
+with other texts share no lines, and rows with a null doc_id have their labels. Rows alike in id and text are looked at
+once. Very long lines and texts are blocks like others. Other columns are not looked at. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -109,47 +110,53 @@ def template_tokens(docs: DataFrame) -> DataFrame:
     return tokens.join(sizes, "label")
 
 
+def _candidates(held: DataFrame, templates: DataFrame, block: list[str], threshold: float) -> DataFrame:
+    """(block, label, size, need): the blocks that may meet a template, of the distinct tokens (block, token) that they hold."""
+    order = F.row_number().over(Window.partitionBy("label").orderBy("blocks", "token"))
+    frequency = held.groupBy("token").agg(F.count("*").alias("blocks"))
+    ranked = cut(templates.join(frequency, "token", "left").fillna(0, ["blocks"]).withColumn("place", order))
+    need = F.ceil(F.lit(threshold) * F.col("size") - F.lit(1e-9)).cast("int")
+    prefix = ranked.withColumn("need", need).filter(F.col("place") <= F.col("size") - F.col("need") + 1)
+    n_tokens = held.groupBy(*block).agg(F.count("*").alias("n_tokens"))
+    first = held.join(F.broadcast(prefix), "token").groupBy(*block, "label", "size", "need").agg(F.min("place").alias("place"))
+    long = first.join(n_tokens, block).filter((F.col("n_tokens") >= F.col("need")) & (F.col("size") - F.col("place") + 1 >= F.col("need")))
+    return long.select(*block, "label", "size", "need")
+
+
 def line_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, of_text, label, containment): the lines of each document that meet a template, best line of each label."""
-    templates = cut(template_tokens(docs))
+    templates, block = cut(template_tokens(docs)), [*ROW, "line"]
     vocabulary = templates.select("token").distinct()
     lines = docs.select(*ROW, F.posexplode(F.split("text", "\n")).alias("line", "of")).filter(F.col("of") != "")
-    spoken = lines.select(*ROW, "line", F.explode(words("of")).alias("word")).select(*ROW, "line", F.lower("word").alias("token"), F.octet_length("word").alias("bytes"))
+    spoken = lines.select(*block, F.explode(words("of")).alias("word")).select(*block, F.lower("word").alias("token"), F.octet_length("word").alias("bytes"))
     held = spoken.join(F.broadcast(vocabulary), "token").filter(F.col("bytes") == F.length("token"))  # the templates' words alone
-    held = cut(held.groupBy(*ROW, "line", "token").agg(F.lit(1).alias("one")).select(*ROW, "line", "token"))
-    order = F.row_number().over(Window.partitionBy("label").orderBy("lines", "token"))
-    frequency = held.groupBy("token").agg(F.count("*").alias("lines"))
-    ranked = cut(templates.join(frequency, "token", "left").fillna(0, ["lines"]).withColumn("place", order))
-    need = F.ceil(F.lit(threshold) * F.col("size") - F.lit(1e-9)).cast("int")
-    prefix = ranked.withColumn("need", need).filter(F.col("place") <= F.col("size") - F.col("need") + 1)
-    n_tokens = held.groupBy(*ROW, "line").agg(F.count("*").alias("n_tokens"))
-    first = held.join(F.broadcast(prefix), "token").groupBy(*ROW, "line", "label", "size", "need").agg(F.min("place").alias("place"))
-    long = first.join(n_tokens, [*ROW, "line"]).filter((F.col("n_tokens") >= F.col("need")) & (F.col("size") - F.col("place") + 1 >= F.col("need")))
-    candidates = long.select(*ROW, "line", "label", "size", "need")
-    common = candidates.join(F.broadcast(templates.select("label", "token")), "label").join(held, [*ROW, "line", "token"])
-    found = common.groupBy(*ROW, "line", "label", "size", "need").agg(F.count("*").alias("n")).filter(F.col("n") >= F.col("need"))
+    held = cut(held.select(*block, "token").distinct())
+    common = _candidates(held, templates, block, threshold).join(F.broadcast(templates.select("label", "token")), "label").join(held, [*block, "token"])
+    found = common.groupBy(*block, "label", "size", "need").agg(F.count("*").alias("n")).filter(F.col("n") >= F.col("need"))
     return found.groupBy(*ROW, "label").agg(F.max(F.col("n") / F.col("size")).alias("containment"))
 
 
+def reach(label: str) -> int:
+    """Words of a run for a template."""
+    return SLACK * len(TEMPLATES[label].replace("-", " ").replace(".", " ").split())
+
+
 def wrapped_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, of_text, label, containment): the runs of words of each document, whatever its lines, that meet a template."""
-    texts = docs.sparkSession.createDataFrame(list(TEMPLATES.items()), "label string, text string").withColumn("all", words(F.lower("text")))
-    sets = texts.select("label", (SLACK * F.size("all")).alias("reach"), F.array_except("all", F.array(*map(F.lit, STOP))).alias("want"))
-    need = F.ceil(F.lit(threshold) * F.size("want") - F.lit(1e-9)).cast("int")
-    templates = cut(sets.withColumn("need", need))
-    vocabulary = templates.select(F.explode("want").alias("token")).distinct()
+    templates = cut(template_tokens(docs))
+    vocabulary = templates.select("token").distinct()
     spoken = docs.select(*ROW, F.posexplode(words("text")).alias("at", "word"))
     said = spoken.select(*ROW, "at", F.lower("word").alias("token"), F.octet_length("word").alias("bytes"))
-    held = cut(said.join(F.broadcast(vocabulary), "token").filter(F.col("bytes") == F.length("token")).select(*ROW, "at", "token"))
-    whole = held.groupBy(*ROW).agg(F.collect_set("token").alias("said"))  # of the templates' words at most
-    may = whole.join(F.broadcast(templates), F.size(F.array_intersect("said", "want")) >= F.col("need")).drop("said")
-    tokens = held.join(cut(may), [*ROW]).filter(F.array_contains("want", F.col("token")))
-    longest = SLACK * max(len(t.replace("-", " ").replace(".", " ").split()) for t in TEMPLATES.values())
-    run = Window.partitionBy(*ROW, "label").orderBy("at").rangeBetween(0, longest - 1)
+    held = said.join(F.broadcast(vocabulary), "token").filter(F.col("bytes") == F.length("token"))
+    held = cut(held.select(*ROW, "at", "token").distinct())  # of rows alike in id and text once
+    may = _candidates(held.select(*ROW, "token").distinct(), templates, [*ROW], threshold)
+    tokens = held.join(cut(may), [*ROW]).join(F.broadcast(templates.select("label", "token")), ["label", "token"])
+    run = Window.partitionBy(*ROW, "label").orderBy("at").rangeBetween(0, max(map(reach, TEMPLATES)) - 1)
     runs = tokens.withColumn("run", F.collect_list(F.struct("at", "token")).over(run))
-    near = F.filter("run", lambda x: x["at"] < F.col("at") + F.col("reach"))
+    reaches = F.create_map(*[F.lit(x) for label in TEMPLATES for x in (label, reach(label))])
+    near = F.filter("run", lambda x: x["at"] < F.col("at") + reaches[F.col("label")])
     n = F.size(F.array_distinct(F.transform(near, lambda x: x["token"])))
-    found = runs.select(*ROW, "label", "need", n.alias("n"), F.size("want").alias("size")).filter(F.col("n") >= F.col("need"))
+    found = runs.select(*ROW, "label", "need", n.alias("n"), "size").filter(F.col("n") >= F.col("need"))
     return found.groupBy(*ROW, "label").agg(F.max(F.col("n") / F.col("size")).alias("containment"))
 
 

@@ -34,16 +34,19 @@ def licenses_sql(threshold: float = licenses.THRESHOLD) -> str:
     words = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     phrases = ", ".join(f"({p.split()}, '{label}')" for p, label in licenses.PHRASES.items())
     stop = ", ".join(f"'{s}'" for s in licenses.STOP)
-    templates = ", ".join(f"('{label}', '{text}')" for label, text in licenses.TEMPLATES.items())
+    templates = ", ".join(f"('{label}', '{text}', {licenses.reach(label)})" for label, text in licenses.TEMPLATES.items())
     return f"""
 WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, {words}) AS w FROM documents),
 phrase(p, label) AS (VALUES {phrases}),
 hit AS MATERIALIZED (SELECT doc_id, i - 1 AS place, label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w), phrase WHERE w[i] = p[1] AND w[i:i + len(p) - 1] = p),
 base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM hit GROUP BY 1),
-template AS (SELECT label, list_distinct(list_filter(regexp_extract_all({_lower("t")}, {words}), lambda x: x NOT IN ({stop}))) AS want FROM (VALUES {templates}) AS v(label, t)),
+template AS MATERIALIZED (SELECT label, reach, list_distinct(list_filter(regexp_extract_all({_lower("t")}, {words}), lambda x: x NOT IN ({stop}))) AS want FROM (VALUES {templates}) AS v(label, t, reach)),
 line AS (SELECT doc_id, list_distinct(regexp_extract_all({_lower("of")}, {words})) AS held FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS of FROM documents)),
 met AS (SELECT doc_id, label, len(list_intersect(want, held)) AS n, len(want) AS size FROM line, template),
-more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(n / size::DOUBLE) AS best FROM met WHERE n >= ceil({threshold} * size - 1e-9) GROUP BY 1)
+said AS MATERIALIZED (SELECT doc_id, i - 1 AS place, w[i] AS token FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w) WHERE w[i] IN (SELECT unnest(want) FROM template)),
+own AS MATERIALIZED (SELECT doc_id, label, reach, len(want) AS size, place, token FROM said JOIN template ON list_contains(want, token)),
+run AS (SELECT a.doc_id, a.label, count(DISTINCT b.token) AS n, a.size FROM own a JOIN own b ON a.doc_id = b.doc_id AND a.label = b.label AND b.place BETWEEN a.place AND a.place + a.reach - 1 GROUP BY a.doc_id, a.label, a.place, a.size),
+more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(n / size::DOUBLE) AS best FROM (SELECT doc_id, label, n, size FROM met UNION ALL SELECT doc_id, label, n, size FROM run) WHERE n >= ceil({threshold} * size - 1e-9) GROUP BY 1)
 SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ','), '') AS labels,

@@ -87,6 +87,19 @@ def line_labels(text, templates, stop, threshold):
     return out
 
 
+def run_labels(text, templates, stop, threshold, slack=2):
+    """{label: best share of a template's words that a run of slack times its words holds, whatever the lines}"""
+    out, words = {}, TERM.findall(lower(text or ""))
+    for label, said in templates.items():
+        all_ = TERM.findall(lower(said))
+        want = set(all_) - set(stop)
+        for i, w in enumerate(words):
+            share = len(want & set(words[i : i + slack * len(all_)])) / len(want) if w in want else 0
+            if share >= threshold - 1e-12:
+                out[label] = max(share, out.get(label, 0))
+    return out
+
+
 def shingles(text):
     words = SPACE.findall(lower(text or ""))
     if len(words) < 5:
