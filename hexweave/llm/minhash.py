@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexweave.llm.graph import components
-from hexweave.llm.tables import cut_texts, map_texts, when_few, whole_groups
+from hexweave.llm.tables import cut_texts, map_texts, whole_groups
 from hexweave.llm.text import Texts, mix, windows
 from hexweave.storage import cut
 
@@ -249,7 +249,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     shared = cut(bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
     members = cut(bands.join(shared, "bucket").select("bucket", "cls", "n"))
     met = cut(one.select("cls", "doc_id", "set_key", "n_shingles").join(members.select("cls").distinct(), "cls", "left_semi"))
-    texts = docs.join(when_few(met.select("doc_id").distinct()), "doc_id", "left_semi")
+    texts = docs.join(met.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")  # one plan at all sizes
     sets = cut_texts(full_sets(texts)).dropDuplicates(["set_key"]).join(met, "set_key").select("cls", "n_shingles", "shingles")
     sets = cut(sets)
     centres = cut(stars(members))

@@ -14,8 +14,6 @@ from pyspark.sql.pandas.types import to_arrow_type
 from hexweave.llm.text import chunks
 from hexweave.storage import cut
 
-#: Most ids that are broadcast in place of a shuffle of the texts that they name: 8 MB of them.
-BROADCAST_IDS = 1_000_000
 #: Rows of texts, or of pairs of texts, that go to Python at a time.
 TEXT_ROWS = 500
 
@@ -73,12 +71,6 @@ def cut_texts(df: DataFrame, rows: int = TEXT_ROWS) -> DataFrame:
         conf.set(key, was)
 
 
-def when_few(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
-    """A column of ids as a table, to be broadcast where they are at most `most`; else a join shuffles both its sides."""
-    ids = cut(ids)
-    return F.broadcast(ids) if ids.count() <= most else ids
-
-
 def whole_groups(rows: DataFrame, kernel: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, order: tuple[str | Column, ...] = ()) -> DataFrame:
     """What `kernel` makes of tables that hold whole groups, one or more, sorted by the column `group` and then `order`.
 

@@ -1,5 +1,8 @@
 """Operators 6, 7 and 8 and the components that they share."""
 
+import sys
+from pathlib import Path
+
 import brute
 import numpy as np
 import pytest
@@ -69,7 +72,6 @@ def test_a_bucket_without_links_gives_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_ROWS", 16)
     compared, found = minhash.compare_groups, []
     monkeypatch.setattr(minhash, "compare_groups", lambda *a: found.append(compared(*a)) or found[-1])
-    monkeypatch.setattr(minhash, "when_few", lambda ids: ids)
     assert _documents(docs) == brute.near_documents(rows)
     assert found[0].count() == 0
     more = [(100 + i, t.replace("w50 ", "y ")) for i, t in rows]  # a link to each
@@ -95,7 +97,39 @@ def _vectors(df):
     return {r.vec_id: (r.n_links, r.component_id, r.kept) for r in lattice.near_duplicates(df).collect()}
 
 
-def test_lattice_recall(spark):
+def test_lattice_recall_of_planted_pairs(spark):
+    """Pairs of each band of cosines, and groups, among vectors that are like none of them."""
+    rng = np.random.default_rng(12)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    def at(x, cosine):
+        y = rng.normal(size=x.shape)
+        y = unit(y - (y * x).sum(-1, keepdims=True) * x)
+        return cosine[:, None] * x + np.sqrt(1 - cosine[:, None] ** 2) * y
+
+    bands, rows = ((0.901, 0.92), (0.92, 0.95), (0.95, 0.999)), []
+    for k, (lo, hi) in enumerate(bands):
+        a = unit(rng.normal(size=(300, 64)))
+        for side, x in enumerate((a, at(a, rng.uniform(lo, hi, 300)))):
+            rows += [(10_000 * (k + 1) + 2 * i + side, v.tolist()) for i, v in enumerate(x)]
+    centres = unit(rng.normal(size=(10, 64)))
+    rows += [(50_000 + 100 * g + i, v.tolist()) for g in range(10) for i, v in enumerate(at(np.repeat(centres[g : g + 1], 30, 0), np.full(30, 0.965)))]
+    rows += [(90_000 + i, v.tolist()) for i, v in enumerate(rng.normal(size=(3000, 64)))]
+    got = _vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    links, n = brute.near_vectors(rows), {i: 0 for i, _ in rows}
+    for a, b in links:
+        n[a], n[b] = n[a] + 1, n[b] + 1
+    assert all(got[i][0] <= n[i] for i in n), "a link below the threshold"
+    for lo, least in ((10_000, 550), (20_000, 590), (30_000, 590), (50_000, 1000)):
+        want, found = (sum(v for i, v in x.items() if lo <= i < lo + 10_000) for x in (n, {i: g[0] for i, g in got.items()}))
+        assert want >= least and found >= 0.95 * want, (lo, found, want)
+    assert sum(v for i, v in n.items() if i >= 90_000) == 0
+
+
+def test_lattice_on_embeddings(spark):
+    """Nothing is linked that brute force does not link; these vectors hold no near pair."""
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     links = brute.near_vectors([(r.vec_id, r.embedding) for r in df.select("vec_id", "embedding").collect()])
     got = _vectors(df)
@@ -178,6 +212,8 @@ def test_license_scan(request, table):
     for r in docs.select("doc_id", "text").collect():
         n, hits, first, last, labels = brute.phrase_places(r.text)
         more = brute.line_labels(r.text, licenses.TEMPLATES, licenses.STOP, licenses.THRESHOLD)
+        for label, share in brute.run_labels(r.text, licenses.TEMPLATES, licenses.STOP, licenses.THRESHOLD).items():
+            more[label] = max(share, more.get(label, 0))
         g = got[r.doc_id]
         assert (g.n_words, g.n_base, g.first_word, g.last_word) == (n, hits, first, last)
         assert g.base_labels == ",".join(sorted(labels)) and g.labels == ",".join(sorted(labels | set(more)))
@@ -258,3 +294,39 @@ def test_wrapped_notices(spark):
     ]
     got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: ("mit-grant", 1.0), 2: ("bsd", 1.0), 3: ("mit-grant", 1.0), 4: ("bsd", 1.0), 5: ("gpl-3", 1.0), 6: ("", 0.0), 8: ("", 0.0), 9: ("", 0.0)}
+
+
+def test_wrapped_notices_in_sql(spark, tmp_path):
+    """Spark, SQL and plain loops agree on notices over several lines, with insertions, cut short and twice."""
+    sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+    from oracle import assert_same
+
+    from hexweave.llm.oracles import licenses_sql
+
+    rng, rows = np.random.default_rng(5), []
+    for label, text in licenses.TEMPLATES.items():
+        words = text.split()
+        for k, every in enumerate((2, 3, 5, 100)):
+            lines = ["# " + " ".join(words[i : i + every]) for i in range(0, len(words), every)]
+            noisy = [w for x in words for w in ([x] if rng.random() < 0.8 else [x, "noise", "more"])]
+            rows += [(len(rows), "code\n" + "\n".join(lines) + "\nend"), (len(rows) + 1, "\n".join(noisy)), (len(rows) + 2, "\n".join(words[:-2] if k else words[2:] + ["x"] * 60 + words[:2])), (len(rows) + 3, text.upper() + "\n" + text)]
+    rows += [(len(rows), None), (len(rows) + 1, ""), (len(rows) + 2, "License " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert_same(spark, str(tmp_path), lambda s, d: licenses.scan(s.read.parquet(f"{d}/documents.parquet")), licenses_sql())
+    got, met = _scan(docs), 0
+    for i, text in rows:
+        more = [f(text, licenses.TEMPLATES, licenses.STOP, licenses.THRESHOLD) for f in (brute.line_labels, brute.run_labels)]
+        labels = {*more[0], *more[1], *brute.phrase_places(text)[4]}
+        assert got[i].labels == ",".join(sorted(labels)), (i, text)
+        met += set(more[1]) > set(more[0])
+    assert met >= 12
+
+
+def test_repeated_rows_cost_like_other_rows(spark):
+    """Rows alike in id and text are looked at once: their runs do not meet each other."""
+    notice = licenses.TEMPLATES["bsd"].replace(" forms", "\nforms")
+    docs = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(notice).alias("text"))
+    rows = licenses.scan(docs).groupBy("labels", "n_words").count().collect()
+    assert [(r.labels, r["count"]) for r in rows] == [("bsd", 3000)]
+    assert licenses.wrapped_matches(licenses._keyed(docs)).count() == 1
