@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hexweave.llm import langid, minhash, packing, rules
-from hexweave.llm.tables import cut_texts, own_name, table, when_few
+from hexweave.llm.tables import cut_texts, own_name, table
 from hexweave.storage import cut
 
 #: A language less likely than this rejects a document.
@@ -51,8 +51,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     part = minhash.near_duplicates(known.select(F.col(own).alias("doc_id"), "text"), NEAR_PERCENT).select(F.col("doc_id").alias(own), "component_id")
     least = known.select(own, "doc_id").join(part, own).groupBy("component_id").agg(F.min(F.struct("doc_id", own)).alias("first"))
     kept = cut(least.select(F.col(f"first.{own}").alias(own)))
-    gone = when_few(known.select(own).join(kept, own, "left_anti"))  # fewer than what stays, and no texts are shuffled
-    return known.join(gone, own, "left_anti").select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    return known.join(kept.hint("merge"), own, "left_semi").select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
