@@ -3,8 +3,8 @@
 A family gives each place of a text a slot of a table. A text's value in a slot is the share of its places there, so
 a linear model over these values is the mean of slot weights over places: scoring is one look-up a place.
 
-Families: bytes (character n-grams of CHARS bytes, letters' case kept), word, pair (two successive words; a pair of
-equal words has one slot whatever the word).
+Families: chars2 and chars4 (n-grams of characters, letters' case kept), word, pair (two successive words; a pair of equal
+words has one slot whatever the word).
 """
 
 from __future__ import annotations
@@ -21,26 +21,38 @@ from hexweave.llm.text import Texts, chunks, text_sums
 
 BITS = 15
 SLOTS = 1 << BITS
-CHARS = 4
-FAMILIES = ("bytes", "word", "pair")
+CHARS = {"chars2": 2, "chars4": 4}
+FAMILIES = (*CHARS, "word", "pair")
 _U = np.uint64
+_TIMES = _U(0x9E3779B97F4A7C15)
+
+
+def code_units(texts: Texts) -> np.ndarray:
+    """A number for each character: its bytes of UTF-8, the first one lowest."""
+    begin, _ = texts.characters
+    size = np.diff(begin)
+    code = texts.data[begin[:-1]].astype(_U)
+    for j in range(1, 4):
+        more = np.flatnonzero(size > j)
+        code[more] |= texts.data[begin[more] + j].astype(_U) << _U(8 * j)
+    return code
 
 
 def places(texts: Texts, family: str) -> tuple[np.ndarray, np.ndarray]:
     """(slot of each place, index of each text's first place)."""
-    if family == "bytes":
-        data = texts.data.astype(np.uint32)
-        n = max(len(data) - CHARS + 1, 0)
-        code = data[:n].copy()
-        for j in range(1, CHARS):
-            code |= data[j : j + n] << np.uint32(8 * j)
-        code = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
-        inside = np.ones(n, bool)
-        for j in range(1, CHARS):
-            at = texts.offsets[1:] - j
-            inside[at[(at >= texts.offsets[:-1]) & (at < n)]] = False
-        sizes = np.maximum(np.diff(texts.offsets) - CHARS + 1, 0)
-        return code[inside].astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
+    if family in CHARS:
+        n, code, before = CHARS[family], code_units(texts), texts.characters[1]
+        h = code[: max(len(code) - n + 1, 0)].copy()
+        for j in range(1, n):
+            h = h * _TIMES + code[j : j + len(h)]
+        h = ((h ^ (h >> _U(29))) * _TIMES) >> _U(64 - BITS)
+        first = before[texts.offsets]
+        sizes = np.maximum(np.diff(first) - n + 1, 0)
+        inside = np.ones(len(h), bool)
+        for j in range(1, n):
+            at = first[1:] - j
+            inside[at[(at >= first[:-1]) & (at < len(h))]] = False
+        return h[inside].astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
     h = texts.words.raw
     if family == "word":
         return (h >> _U(64 - BITS)).astype(np.int64), texts.words.first

@@ -5,7 +5,9 @@ each family, under a softmax over both labels; numpy stochastic gradient descent
 being linear, a slot's vector counts as one number at scoring time: its product with the difference of both outputs.
 
 Null and empty texts have zero vectors and get the score of the outputs' biases. Without labelled rows of both kinds
-all scores are 0.5.
+all scores are 0.5. Rows are scored one by one, by the whole of their texts, very long ones too, so repeated rows and ids
+and null ids are scored like others and equal texts equally. Columns other than those kept and text are not looked at.
+An empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -4,7 +4,9 @@ Counts of a text's words (runs of what is not ASCII white space), symbols, repea
 exact but for a 64-bit hash. A row fails on too few words or too many in repeated windows; the others are kept where
 the model's probability of quality reaches a fixed threshold.
 
-Null and empty texts have no words, so they fail. Without labelled rows of both kinds all probabilities are 1.
+Null and empty texts have no words, so they fail. Without labelled rows of both kinds all probabilities are 1. Rows are
+judged one by one, by the whole of their texts, very long ones too, so repeated rows and ids and null ids are judged like
+others and equal texts equally. Columns other than those kept and text are not looked at. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -108,7 +110,7 @@ VERDICT = ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept
 
 
 def _kernel(spark: SparkSession, model: Model | None, threshold: float) -> Callable[[Texts], dict]:
-    shared = spark.sparkContext.broadcast(model)  # three tables of SLOTS weights
+    shared = spark.sparkContext.broadcast(model)  # a table of SLOTS weights for each family
 
     def kernel(texts: Texts) -> dict:
         out = counts(texts)

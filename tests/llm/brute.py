@@ -189,11 +189,20 @@ def toxic_score(text, model, prefixes, bits):
 def family_slots(text, bits):
     """{family: slot of each place}"""
     text = text or ""
-    raw, words = text.encode(), [w.encode() for w in SPACE.findall(text)]
-    h = [span_hash(w) for w in words]
-    code = [(int.from_bytes(raw[i : i + 4], "little") * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - bits for i in range(len(raw) - 3)]
+    h = [span_hash(w.encode()) for w in SPACE.findall(text)]
+    code = [int.from_bytes(c.encode(), "little") for c in text]
+
+    def grams(n):
+        out = []
+        for i in range(len(code) - n + 1):
+            x = 0
+            for c in code[i : i + n]:
+                x = (x * BASE + c) & MASK
+            out.append(((x ^ (x >> 29)) * BASE & MASK) >> 64 - bits)
+        return out
+
     pair = [0 if a == b else ((a * 0xD6E8FEB86659FD93 + b * 0x9E3779B97F4A7C15) & MASK) >> 64 - bits for a, b in zip(h, h[1:])]
-    return {"bytes": code, "word": [x >> 64 - bits for x in h], "pair": pair}
+    return {"chars2": grams(2), "chars4": grams(4), "word": [x >> 64 - bits for x in h], "pair": pair}
 
 
 def embedded_score(text, model, families, bits):
