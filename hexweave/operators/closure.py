@@ -106,12 +106,16 @@ def closure_grouped(active: DataFrame, most_arcs: int = TASK_ARCS, pairs: int =
     that no block gives more than `pairs` pairs; cells of more than `most_arcs` arcs go by joins."""
     arcs = cut(usable_arcs(active))
     cells = arcs.groupBy("current_cell").agg(F.count("*").alias("arcs"), (F.count_distinct("from_edge") * F.count_distinct("to_edge")).alias("pairs"))
-    cells = cut(cells.select("current_cell", "arcs", F.ceil(F.col("pairs") / pairs).cast("int").alias("blocks")))
+    cells = cells.select("current_cell", "arcs", F.ceil(F.col("pairs") / pairs).cast("int").alias("blocks"))
+    most = cells.agg(F.max("arcs").alias("arcs"), F.max("blocks").alias("blocks")).first()
+    if not most.arcs or most.arcs <= most_arcs and most.blocks == 1:  # a block a cell
+        return arcs.select("*", F.lit(1).alias("blocks"), F.lit(0).alias("block")).groupBy("current_cell").applyInPandas(_group_paths, SCHEMA)
+    cells = cut(cells)
     sized = arcs.join(cells.filter(F.col("arcs") <= most_arcs).select("current_cell", "blocks"), "current_cell")
     dealt = sized.select(*arcs.columns, "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     grouped = dealt.groupBy("current_cell", "block").applyInPandas(_group_paths, SCHEMA)
     large = cells.filter(F.col("arcs") > most_arcs).select("current_cell")
-    if large.isEmpty():
+    if most.arcs <= most_arcs:
         return grouped
     return grouped.unionByName(closure_join(arcs.join(large, "current_cell", "left_semi")))
 
