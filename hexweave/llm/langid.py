@@ -6,7 +6,9 @@ and so on to single characters. A text's language has the largest mean over its
 
 `und`, with score 0, for a null text and one without a letter. A text with letters always has a learned language.
 Rows whose `lang` is null teach nothing; without any that does, every text is `und`. Rows are told one by one, so
-repeated rows and null ids are told like others; rows that repeat a doc_id teach each, up to the sample's ids.
+repeated rows and null ids are told like others; rows that repeat a doc_id in a language teach it each. Every language
+with a row to learn from is learned, however rare. Very long texts are scored whole; columns other than doc_id, lang and
+text are not looked at, whatever their names, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -16,14 +18,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hexweave.llm.tables import fold, map_texts, text_struct
 from hexweave.llm.text import Texts, chunks, mix, of_text, text_sums
 
-#: Labelled rows that the model is fitted on, in an order by hash; about 10 MB of text.
-SAMPLE = 3000
+#: Ids of each language that the model is fitted on, in an order by hash. Tasks keep no more of a language before the
+#: shuffle, as long as this is at most spark.sql.optimizer.windowGroupLimitThreshold (1,000).
+PER_LANGUAGE = 750
 ORDERS = (5, 4, 3, 2, 1)
 #: How often the sample has a term or an n-gram of two characters and more that is known.
 LEAST_TIMES = 2
@@ -112,14 +115,23 @@ def counted(texts: Texts) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """From at most `sample` labelled rows outside the held-out fold, in an order by hash.
+def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """(lang, text) of at most `per_language` ids of each language outside the held-out fold, in an order by hash.
 
-    Tasks count; the driver gets a row for each hash that occurs often enough.
+    The chosen ids, at most `per_language` times the number of languages, are what is broadcast.
     """
     known = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 4) != 2))
-    ids = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = known.join(F.broadcast(ids), "doc_id").select("lang", "text")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = known.select("lang", "doc_id").distinct().withColumn("rank", rank).filter(F.col("rank") <= per_language).drop("rank")
+    return known.join(F.broadcast(ids), ["lang", "doc_id"]).select("lang", "text")
+
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
+    """From a bounded number of labelled rows of each language; None without any.
+
+    Tasks count; the driver gets a row for each hash that occurs often enough.
+    """
+    rows = training_rows(docs, per_language)
     langs = sorted(r.lang for r in rows.select("lang").distinct().collect())
     if not langs:
         return None
@@ -165,6 +177,6 @@ def identify(docs: DataFrame, keep: list[str], model: Model | None) -> DataFrame
     return map_texts(docs, keep, VERDICT, _kernel(docs.sparkSession, model))
 
 
-def language(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of each row."""
-    return identify(docs, ["doc_id"], fit(docs, sample)).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return identify(docs, ["doc_id"], fit(docs, per_language)).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
