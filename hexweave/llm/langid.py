@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 from hexweave.llm.tables import fold, map_texts, text_struct
 from hexweave.llm.text import Texts, chunks, mix, of_text, text_sums
 
-#: Ids of each language that the model is fitted on, in an order by hash. Tasks keep no more of a language before the
-#: shuffle, as long as this is at most spark.sql.optimizer.windowGroupLimitThreshold (1,000).
+#: Ids of each language that the model is fitted on, in an order by hash.
 PER_LANGUAGE = 750
+#: A language's ids are cut to about this many times those before they are ranked, by a bound on the hash.
+SPARE = 3
 ORDERS = (5, 4, 3, 2, 1)
 #: How often the sample has a term or an n-gram of two characters and more that is known.
 LEAST_TIMES = 2
@@ -115,15 +116,21 @@ def counted(texts: Texts) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """(lang, text) of at most `per_language` ids of each language outside the held-out fold, in an order by hash.
+def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], DataFrame]:
+    """(languages, (lang, text) of at most `per_language` ids of each outside the held-out fold, in an order by hash).
 
-    The chosen ids, at most `per_language` times the number of languages, are what is broadcast.
+    Languages are counted first; those with many ids are cut by a bound on the hash, so that what is ranked together
+    does not grow with the rows or tasks. The chosen ids, at most `per_language` times the languages, are what is broadcast.
     """
     known = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 4) != 2))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.select("lang", "doc_id").distinct().withColumn("rank", rank).filter(F.col("rank") <= per_language).drop("rank")
-    return known.join(F.broadcast(ids), ["lang", "doc_id"]).select("lang", "text")
+    sizes = sorted((r.lang, r.n) for r in known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect())
+    bounds = [(lang, min((1 << 63) - 1, (1 << 63) * SPARE * per_language // max(n, 1))) for lang, n in sizes]
+    below = docs.sparkSession.createDataFrame(bounds, "lang string, below long")
+    order = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    near = known.select("lang", "doc_id", order.alias("at")).join(F.broadcast(below), "lang").filter("at <= below").select("lang", "doc_id", "at").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id"))
+    ids = near.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("lang", "doc_id")
+    return [lang for lang, _ in sizes], known.join(F.broadcast(ids), ["lang", "doc_id"]).select("lang", "text")
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
@@ -131,8 +138,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
 
     Tasks count; the driver gets a row for each hash that occurs often enough.
     """
-    rows = training_rows(docs, per_language)
-    langs = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    langs, rows = training_rows(docs, per_language)
     if not langs:
         return None
 

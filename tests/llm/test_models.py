@@ -83,15 +83,14 @@ def test_words_then_shorter_and_shorter_grams(spark):
 
 
 def test_rare_languages_are_learned(spark):
-    """A language with a few rows of many is learned; of a frequent one, tasks keep no more than the sample before the shuffle."""
+    """A language with a few rows of many is learned, repeated rows each; of a frequent one, a bounded number of ids."""
     many = [(i, f"the bread upon table {i} was good", "en") for i in range(600)]
     rare = [(1000 + i, "szép kenyér volt az asztalon ma este", "hu") for i in range(6)]
     docs = spark.createDataFrame([*many, *rare, *rare[:2]], "doc_id long, text string, lang string")
-    taught = {lang: [x for x in (many if lang == "en" else [*rare, *rare[:2]]) if brute.crc(x[0], 4) != 2] for lang in ("en", "hu")}
-    got = langid.training_rows(docs, 20)
-    counts = {r.lang: r["count"] for r in got.groupBy("lang").count().collect()}
-    assert counts == {"en": 20, "hu": len(taught["hu"])} and counts["hu"] >= 2
-    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+    taught = [x for x in [*rare, *rare[:2]] if brute.crc(x[0], 4) != 2]
+    langs, rows = langid.training_rows(docs, 20)
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    assert langs == ["en", "hu"] and counts == {"en": 20, "hu": len(taught)} and len(taught) >= 2
     told = {r.doc_id: r.lang_pred for r in langid.language(docs, 20).collect()}
     assert all(told[i] == lang for i, _, lang in [*many, *rare])
 
