@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +18,8 @@ SCHEMA = "from_edge long, to_edge long, cost double, via_edge long, current_cell
 GROUP_ARCS, TASK_ARCS = 20_000, 1 << 20
 #: Pairs that a group of the kernel gives at most, unless one start has more; numbers in one of its matrices.
 GROUP_PAIRS, MATRIX = 500_000, 1 << 21
+#: Rows from which on a task hands over what it has found.
+OUT_ROWS = 50_000
 
 
 def usable_arcs(active: DataFrame) -> DataFrame:
@@ -80,15 +82,14 @@ def _relaxed(own: np.ndarray, n: int, f: np.ndarray, t: np.ndarray, c: np.ndarra
     return cost, before
 
 
-def _group_paths(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Cheapest paths of one cell from a block of its starts, a frame for every few starts."""
-    arcs = pd.concat(list(frames), ignore_index=True)
-    ids = np.unique(np.concatenate([arcs.from_edge, arcs.to_edge]))
-    f, t = np.searchsorted(ids, arcs.from_edge), np.searchsorted(ids, arcs.to_edge)
+def _block_paths(arcs: dict[str, np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Cheapest paths of one cell from a block of its starts: columns of from_edge, to_edge, cost and via_edge, for every few starts."""
+    ids = np.unique(np.concatenate([arcs["from_edge"], arcs["to_edge"]]))
+    f, t = np.searchsorted(ids, arcs["from_edge"]), np.searchsorted(ids, arcs["to_edge"])
     order = np.lexsort((f, t))
-    f, t, c, via = f[order], t[order], arcs.cost.to_numpy()[order], arcs.via_edge.to_numpy()[order]
+    f, t, c, via = f[order], t[order], arcs["cost"][order], arcs["via_edge"][order]
     direct = t * len(ids) + f
-    starts = np.unique(f)[arcs.block.iloc[0] :: arcs.blocks.iloc[0]]
+    starts = np.unique(f)[arcs["block"][0] :: arcs["blocks"][0]]
     step = max(1, MATRIX // max(len(c), len(ids)))
     for lo in range(0, len(starts), step):
         own = starts[lo : lo + step]
@@ -98,7 +99,58 @@ def _group_paths(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, start = before[row, to], own[row]
         arc = np.searchsorted(direct, to * len(ids) + start)
         middle = np.where(last == start, via[np.minimum(arc, len(via) - 1)], ids[last])
-        yield pd.DataFrame({"from_edge": ids[start], "to_edge": ids[to], "cost": cost[row, to], "via_edge": middle, "current_cell": arcs.current_cell.iloc[0]})
+        yield [ids[start], ids[to], cost[row, to], middle]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The arcs of each block of a cell, whose rows come one after another."""
+    held: list[dict[str, np.ndarray]] = []
+
+    def whole() -> dict[str, np.ndarray]:
+        return held[0] if len(held) == 1 else {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = {c: b.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(b.schema.names)}
+        cell, block = rows["current_cell"], rows["block"]
+        ends = np.flatnonzero((cell[1:] != cell[:-1]) | (block[1:] != block[:-1])) + 1
+        if held and (held[-1]["current_cell"][-1], held[-1]["block"][-1]) != (cell[0], block[0]):
+            yield whole()
+            held = []
+        for lo, hi in zip([0, *ends], [*ends, b.num_rows]):
+            held.append({c: x[lo:hi] for c, x in rows.items()})
+            if hi < b.num_rows:
+                yield whole()
+                held = []
+    if held:
+        yield whole()
+
+
+def _group_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Paths of the blocks in a task, the small ones together: a batch has OUT_ROWS rows or those of one more few starts."""
+    made, n = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made)], names=["from_edge", "to_edge", "cost", "via_edge", "current_cell"])
+
+    for arcs in _groups(batches):
+        for columns in _block_paths(arcs):
+            made.append([*columns, np.full(len(columns[0]), arcs["current_cell"][0])])
+            n += len(columns[0])
+            if n >= OUT_ROWS:
+                yield batch()
+                made, n = [], 0
+    if made:
+        yield batch()
+
+
+def _by_blocks(dealt: DataFrame) -> DataFrame:
+    """Paths of arcs that are dealt to blocks of cells. Blocks are many and small, so they go to Python by the task, not one by one.
+
+    Arcs without a cell take part in none; one without a middle segment is taken as direct."""
+    dealt = dealt.filter("current_cell IS NOT NULL").withColumn("via_edge", F.coalesce("via_edge", "to_edge"))
+    return dealt.repartition("current_cell", "block").sortWithinPartitions("current_cell", "block").mapInArrow(_group_paths, SCHEMA)
 
 
 def closure_grouped(active: DataFrame, most_arcs: int = TASK_ARCS, pairs: int = GROUP_PAIRS) -> DataFrame:
@@ -109,11 +161,11 @@ def closure_grouped(active: DataFrame, most_arcs: int = TASK_ARCS, pairs: int =
     cells = cells.select("current_cell", "arcs", F.ceil(F.col("pairs") / pairs).cast("int").alias("blocks"))
     most = cells.agg(F.max("arcs").alias("arcs"), F.max("blocks").alias("blocks")).first()
     if not most.arcs or most.arcs <= most_arcs and most.blocks == 1:  # a block a cell
-        return arcs.select("*", F.lit(1).alias("blocks"), F.lit(0).alias("block")).groupBy("current_cell").applyInPandas(_group_paths, SCHEMA)
+        return arcs.select("*", F.lit(1).alias("blocks"), F.lit(0).alias("block")).transform(_by_blocks)
     cells = cut(cells)
     sized = arcs.join(cells.filter(F.col("arcs") <= most_arcs).select("current_cell", "blocks"), "current_cell")
     dealt = sized.select(*arcs.columns, "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    grouped = dealt.groupBy("current_cell", "block").applyInPandas(_group_paths, SCHEMA)
+    grouped = _by_blocks(dealt)
     large = cells.filter(F.col("arcs") > most_arcs).select("current_cell")
     if most.arcs <= most_arcs:
         return grouped

@@ -6,6 +6,7 @@ from itertools import pairwise
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -366,9 +367,22 @@ def test_blocks_of_starts():
     """Each block gives the pairs of its own starts, about as many as the others."""
     rows = [(i, j, 1.0 + i, j, 0) for i in range(12) for j in range(12) if i != j]
     arcs = pd.DataFrame(rows, columns=["from_edge", "to_edge", "cost", "via_edge", "current_cell"])
-    made = [pd.concat(closure_module._group_paths(iter([arcs.assign(block=k, blocks=5)]))) for k in range(5)]
-    assert [sorted(set(m.from_edge)) for m in made] == [list(range(k, 12, 5)) for k in range(5)]
-    assert [len(m) for m in made] == [33, 33, 22, 22, 22]
+    dealt = pd.concat([arcs.assign(block=k, blocks=5) for k in range(5)], ignore_index=True)
+    for size in (7, 132, 1000):  # blocks end inside batches, and span them
+        rows = pa.Table.from_pandas(dealt, preserve_index=False).to_batches(size)
+        made = [pd.concat([pd.DataFrame(dict(zip(("from_edge", "to_edge"), columns))) for columns in closure_module._block_paths(block)]) for block in closure_module._groups(iter(rows))]
+        assert [sorted(set(m.from_edge)) for m in made] == [list(range(k, 12, 5)) for k in range(5)]
+        assert [len(m) for m in made] == [33, 33, 22, 22, 22]
+        assert sum(b.num_rows for b in closure_module._group_paths(iter(rows))) == 132
+
+
+def test_grouped_kernel_without_cells_and_middles(spark):
+    """Rows without a cell take part in none, and rows without a middle segment are direct; ids above 2 ** 53 stay whole."""
+    big = (1 << 60) + 1
+    rows = [(1, big, 1.0, None, big), (big, 3, 2.0, 3, big), (1, 2, 1.0, 2, None), (2, 3, 1.0, 3, None), (1, 2, 5.0, 2, big + 2)]
+    got = sorted(tuple(r) for r in closure_grouped(spark.createDataFrame(rows, ARCS)).collect())
+    assert got == [(1, 2, 5.0, 2, big + 2), (1, 3, 3.0, big, big), (1, big, 1.0, big, big), (big, 3, 2.0, 3, big)]
+    assert closure_grouped(spark.createDataFrame([], ARCS)).count() == 0
 
 
 @pytest.mark.parametrize("seed", [1, 4])
