@@ -4,7 +4,9 @@ A word here is a run of white space with the text that follows it. No token of s
 into white space, so words encode alone as they do in their text. Rows are split into words chunk by chunk: a row keeps
 its words' places in its chunk's list of distinct words. The lists make one table of the corpus's distinct words, in
 which each is encoded once, whatever its length or use, and decoded by a join of its ids with the table of pieces. That
-table joins the lists by word, and rows meet their chunk's joined list, which puts ids and pieces at their places.
+table joins the lists by word, and rows meet their chunk's joined list, which puts ids and pieces at their places. Rows are
+written in buckets by chunk, so their places are not shuffled; a word's bytes go back to chunks only where decoding
+changes them.
 
 A word is shuffled once a chunk, however often it occurs there, so the most frequent word has a row a chunk. Chunks hold
 about CHUNK characters of text or one longer text, which bounds what a task holds.
@@ -27,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexweave.llm.tables import cut_texts
+from hexweave.llm.tables import cut_buckets
 from hexweave.storage import cut
 
 #: Characters of text in a chunk, unless one text is longer.
@@ -135,11 +137,14 @@ def _put_in_place(keep: list[str]):
     """A chunk's rows and its list of words, with what the word table says of them, to digests of each row."""
 
     def run(rows: pa.Table, words: pa.Table) -> pa.Table:
-        at = words.column("at").to_numpy()
-        size = int(at.max()) + 1 if len(at) else 0
-        n, ids, decoded = np.zeros(size, np.int64), np.full(size, None, object), np.full(size, None, object)
-        n[at] = words.column("n").to_numpy()
-        ids[at], decoded[at] = (np.array(words.column(c).to_pylist(), object) for c in ("ids", "decoded"))
+        at, said, other = words.column("at").to_numpy(), words.column("ids").to_pylist(), words.column("other").to_pylist()
+        listed = next(x for x in rows.column("words").to_pylist() if x is not None)
+        n, ids = np.zeros(len(listed), np.int64), np.full(len(listed), None, object)
+        n[at], ids[at] = [x.count(b",") + 1 for x in said], np.array(said, object)
+        decoded = np.array([word.encode() for word in listed], object)
+        for i, changed in zip(at.tolist(), other):
+            if changed is not None:
+                decoded[i] = changed
         counts, ids_sha, text_sha = [], [], []
         for raw, length in zip(rows.column("places").to_pylist(), rows.column("n_places").to_pylist()):
             own = np.frombuffer(pa.decompress(raw, 4 * length, "zstd") if length else b"", "<i4")
@@ -155,12 +160,13 @@ def _put_in_place(keep: list[str]):
 
 def encode_documents(docs: DataFrame, path: str, keep: list[str], size: int = CHUNK) -> DataFrame:
     """The kept columns, n_tokens, and the SHA-256 of the ids (decimals joined by commas) and of the decoded text."""
-    split = cut_texts(split_words(docs, keep, size))
+    split = cut_buckets(split_words(docs, keep, size), "chunk", int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     lists = split.filter(F.col("words").isNotNull())
     listed = lists.select("chunk", F.posexplode("words").alias("at", "word"))
-    words = listed.join(word_table(listed, path), "word").select(F.col("chunk").alias("list"), "at", "n", "ids", "decoded")
+    other = F.when(F.col("decoded") != F.col("word").cast("binary"), F.col("decoded"))
+    words = listed.join(word_table(listed, path), "word").select(F.col("chunk").alias("list"), "at", "ids", other.alias("other"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return split.select("chunk", "kept", "places", "n_places").groupBy("chunk").cogroup(words.groupBy("list")).applyInArrow(_put_in_place(keep), f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return split.groupBy("chunk").cogroup(words.groupBy("list")).applyInArrow(_put_in_place(keep), f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_ids(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:

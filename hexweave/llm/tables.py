@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from hexweave.llm.text import chunks
-from hexweave.storage import cut
+from hexweave.storage import cut, shared_dir
 
 #: Rows of texts, or of pairs of texts, that go to Python at a time.
 TEXT_ROWS = 500
@@ -71,6 +72,19 @@ def cut_texts(df: DataFrame, rows: int = TEXT_ROWS) -> DataFrame:
         conf.set(key, was)
 
 
+def cut_buckets(df: DataFrame, by: str, buckets: int, rows: int = TEXT_ROWS) -> DataFrame:
+    """cut_texts(df) as a table in `buckets` buckets by the column `by`, which a grouping by it need not shuffle again."""
+    spark = df.sparkSession
+    name, key = f"cut_{uuid.uuid4().hex}", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        df.write.format("parquet").bucketBy(buckets, by).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    finally:
+        spark.conf.set(key, was)
+    return spark.table(name)
+
+
 def whole_groups(rows: DataFrame, kernel: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, order: tuple[str | Column, ...] = ()) -> DataFrame:
     """What `kernel` makes of tables that hold whole groups, one or more, sorted by the column `group` and then `order`.
 
