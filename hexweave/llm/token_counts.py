@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexweave.llm.bpe import tokenizer
+from hexweave.llm.bpe import tokenizer, unit_starts
 from hexweave.llm.tables import cut_texts
 from hexweave.llm.text import Texts, chunks
 from hexweave.storage import cut
@@ -37,10 +37,6 @@ HUGE, STRIDE, OVERLAP = 1 << 15, 1 << 14, 1 << 9
 LIMIT = 512
 #: Bytes of text whose units are told apart at a time; units that a worker remembers, and the bytes of the longest of them.
 BLOCK, KNOWN, UNIT_BYTES = 1 << 21, 1 << 20, 64
-_ASCII_WHITE = np.zeros(256, bool)
-_ASCII_WHITE[[9, 10, 11, 12, 13, 32]] = True
-#: Other white space of Unicode.
-_WIDE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
 
 def margin(path: str) -> int:
@@ -49,22 +45,6 @@ def margin(path: str) -> int:
     return max(4, *(len(x.content) for x in tokenizer(path).get_added_tokens_decoder().values()))
 
 
-def unit_starts(texts: Texts) -> np.ndarray:
-    """Where each unit begins: at a text, and at ASCII white space that no white space precedes."""
-    white = _ASCII_WHITE[texts.data]
-    begin = white.copy()
-    begin[1:] &= ~white[:-1]
-    if (texts.data >= 0x80).any():
-        raw = texts.data.tobytes()
-        for wide in _WIDE:
-            at = raw.find(wide)
-            while at >= 0:
-                begin[at + len(wide) : at + len(wide) + 1] = False
-                at = raw.find(wide, at + len(wide))
-    begin[texts.offsets[:-1][np.diff(texts.offsets) > 0]] = True
-    return np.flatnonzero(begin)
-
-
 class UnitCounts:
     """Numbers of tokens of units, remembered up to a bound."""
 

@@ -77,6 +77,53 @@ def test_words_are_encoded_once(spark, texts):
     assert got == [(0, 1, _expected("a b")), (0, 1, _expected("a b")), (7, 2, _expected("c")), (7, 3, _expected("d e"))]
 
 
+def test_words_encode_alone_as_in_their_texts():
+    """Units are cut where kinds of ASCII characters change, and what is cut gives the ids of the whole text."""
+    parts = ["a", "word", "S", "'", "s", "re", "ll", "12", "7", ",", ".", "--", "(", '"', " ", " ", "\n", "\t", "\x1c", "\x7f", "é", "\u0301", "日", "²", "\u00a0", "\u3000", "\x85", "<|endoftext|>", "<|", "endoftext", "|>"]
+    draw = np.random.default_rng(1)
+    drawn = ["".join(draw.choice(parts, n)) for n in draw.integers(0, 30, 3000)] + TEXTS
+    _, every = next(chunks(pa.array(drawn, pa.string()), 1 << 62))
+    starts = bpe.word_starts(every, bpe.whole_tokens(BYTES))
+    ends = np.append(starts[1:], len(every.data))
+    first = np.searchsorted(starts, every.offsets)
+    for i, text in enumerate(drawn):
+        words = [every.data[a:z].tobytes().decode() for a, z in zip(starts[first[i] : first[i + 1]], ends[first[i] : first[i + 1]])]
+        assert "".join(words) == (text or "")
+        assert [x for w in words for x in LIBRARY.encode(w, add_special_tokens=False).ids] == LIBRARY.encode(text or "", add_special_tokens=False).ids, repr(text)
+    _, one = next(chunks(pa.array(["(words), words; don't 12ab"]), 1 << 62))
+    assert bpe.word_starts(one, bpe.whole_tokens(BYTES)).tolist() == [0, 1, 6, 8, 14, 15, 19, 21, 24]
+
+
+def test_bytes_come_from_the_table_of_pieces(spark, monkeypatch):
+    """Where the pieces are not a word's own bytes, its rows have the pieces'."""
+    own = LIBRARY.encode(" b", add_special_tokens=False).ids
+    assert len(own) == 1
+    changed = spark.createDataFrame([(i, b" B\xff" if i == own[0] else x) for i, x in enumerate(bpe.pieces(BYTES))], "id int, piece binary")
+    monkeypatch.setattr(bpe, "piece_table", lambda *_: changed)
+    rows = spark.createDataFrame([(1, "a b, c b"), (2, "a b"), (3, "a c"), (4, None)], "doc_id long, text string")
+    for size in (1, bpe.CHUNK):
+        got = {r.doc_id: tuple(r)[1:] for r in bpe.encode_documents(rows, BYTES, ["doc_id"], size).collect()}
+        for i, text, decoded in ((1, "a b, c b", "a B\ufffd, c B\ufffd"), (2, "a b", "a B\ufffd"), (3, "a c", "a c"), (4, "", "")):
+            assert got[i] == (*_expected(text)[:2], hashlib.sha256(decoded.encode()).hexdigest())
+
+
+def test_packed_numbers():
+    numbers = np.array([0, 1, 127, 128, 16383, 16384, 2097151, 2097152, 268435455, 268435456, 2147483647, 5])
+    data, ends = bpe.pack(numbers)
+    assert bpe.unpack(data).tolist() == numbers.tolist() and ends[-1] == len(data) and ends[2] == 3
+    assert bpe.unpack(bpe.pack(numbers[:0])[0]).tolist() == []
+
+
+def test_words_and_their_ids_are_shuffled_once(documents):
+    """Words go to their group in one shuffle and ids to their chunks in another; a row's places take less than two bytes each."""
+    rows = documents.limit(200)
+    plan = bpe.encode_documents(rows, BYTES, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("BroadcastExchange") == 1
+    split = bpe.split_words(rows, ["doc_id"], path=BYTES).collect()
+    sizes, n = sum(len(r.places) for r in split), sum(len(bpe.unpack(np.frombuffer(r.places, np.uint8))) for r in split)
+    assert n > 50_000 and sizes < 2 * n
+
+
 def test_counts(documents, texts, odd):
     for docs in (documents, texts, odd):
         want = {r.doc_id: brute.counts(r.text) for r in docs.select("doc_id", "text").collect()}
