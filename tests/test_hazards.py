@@ -5,6 +5,7 @@ import random
 from itertools import pairwise
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from hexweave.functions import cells
 from hexweave.operators import audit, paths, stats
 from hexweave.operators import closure as closure_module
-from hexweave.operators.closure import closure_auto, closure_grouped, closure_join
+from hexweave.operators import sweeps
+from hexweave.operators.closure import closure_auto, closure_grouped, closure_join, closure_whole
 from hexweave.operators.pairs import assign_cells, enrich
 from hexweave.operators.reduce import merge_min, min_path
 from hexweave.plans import hierarchy
@@ -493,3 +495,42 @@ def test_a_build_keeps_few_tables(spark):
             module.cut = whole
     assert len(set(here.iterdir()) - had) == 2 and max(most) <= 9 < len(most)
     assert out.final().count() > 0
+
+
+def _in_arrays(pairs, **kinds):
+    """Rows as a task gets them: arcs, and by kind what else is said of segments."""
+    rows = [(a, b, c, 0, 0.0) for a, b, c in pairs] + [row for more in kinds.values() for row in more]
+    return dict(zip(("from_edge", "to_edge", "cost", "kind", "seconds"), map(np.array, zip(*rows))))
+
+
+@pytest.mark.parametrize("core", [0, 7, 512])
+def test_sweeps_find_least_costs(core, monkeypatch):
+    """However few segments are left when elimination stops: against Dijkstra, with free cycles."""
+    monkeypatch.setattr(sweeps, "CORE", core)
+    pairs = _real_network(4)
+    net = sweeps._prepared(_in_arrays(pairs))
+    assert len(net["core"]) == min(core, len(net["ids"]))
+    start, end, cost = next(sweeps.give_costs(net, sweeps._least(net, net["ends"]), net["ends"]))
+    got = dict(zip(zip(start.tolist(), end.tolist()), cost.tolist()))
+    want = {(a, b): c for a in {p[0] for p in pairs} for b, c in _dijkstra(_follow(pairs), a).items()}
+    assert set(got) == set(want) and all(abs(got[k] - c) < 1e-9 for k, c in want.items())
+
+
+def test_whole_closure_goes_by_sweeps(spark, monkeypatch):
+    """Of pairs no table is written; a network with too many arcs for a task goes by joins."""
+    base = spark.createDataFrame([(a, b, c, b) for a, b, c in _real_network(6)] + [(1, 99, None, 99), (2, 98, INF, 98), (3, 3, 1.0, 3)], "from_edge long, to_edge long, cost double, via_edge long")
+    sizes, whole = [], storage.cut
+
+    def counted(df):
+        out = whole(df)
+        sizes.append(out.count())
+        return out
+
+    for module in (closure_module, sweeps):
+        monkeypatch.setattr(module, "cut", counted)
+    got = {(r.from_edge, r.to_edge): r.cost for r in closure_whole(base).collect()}
+    assert max(sizes) <= base.count() < len(got)
+    monkeypatch.setattr(closure_module, "TASK_ARCS", 5)
+    joined = {(r.from_edge, r.to_edge): r.cost for r in closure_whole(base).collect()}
+    assert set(got) == set(joined) and all(abs(c - joined[k]) < 1e-9 for k, c in got.items())
+    assert closure_whole(base.limit(0)).count() == 0
