@@ -534,3 +534,17 @@ def test_whole_closure_goes_by_sweeps(spark, monkeypatch):
     joined = {(r.from_edge, r.to_edge): r.cost for r in closure_whole(base).collect()}
     assert set(got) == set(joined) and all(abs(c - joined[k]) < 1e-9 for k, c in got.items())
     assert closure_whole(base.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("core", [0, 7, 512])
+def test_sweeps_find_next_segments(core, monkeypatch):
+    """On whole-number costs: of the segments that lead on at least cost the least one, though many paths tie."""
+    monkeypatch.setattr(sweeps, "CORE", core)
+    rng = random.Random(8)
+    step = {(a, b): ((rng.choice([0, 1, 2]) << 20) << 16) + 1 for a, b in {(rng.randrange(40), rng.randrange(40)) for _ in range(130)} if a != b}
+    net = sweeps._prepared(_in_arrays([(a, b, c) for (a, b), c in step.items()]))
+    start, end, seconds, via = next(sweeps.give_nexts(net, sweeps._least(net, net["ends"]), net["ends"]))
+    follow = _follow([(a, b, c) for (a, b), c in step.items()])
+    best = {a: _dijkstra(follow, a) | {a: 0} for a in range(40)}
+    want = {(a, b): (int(c) >> 36, min(v for v, x in follow[a] if x + best[v].get(b, INF) == c)) for a in range(40) for b, c in best[a].items() if a != b}
+    assert dict(zip(zip(start.tolist(), end.tolist()), zip(seconds.tolist(), via.tolist()))) == want
