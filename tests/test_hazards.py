@@ -548,3 +548,10 @@ def test_sweeps_find_next_segments(core, monkeypatch):
     best = {a: _dijkstra(follow, a) | {a: 0} for a in range(40)}
     want = {(a, b): (int(c) >> 36, min(v for v, x in follow[a] if x + best[v].get(b, INF) == c)) for a in range(40) for b, c in best[a].items() if a != b}
     assert dict(zip(zip(start.tolist(), end.tolist()), zip(seconds.tolist(), via.tolist()))) == want
+
+
+def test_next_segments_by_sweeps_and_by_joins(spark, monkeypatch):
+    base = spark.createDataFrame([(a, b, c, b) for a, b, c in _real_network(9, 30)], "from_edge long, to_edge long, cost double, via_edge long")
+    swept = sorted(map(tuple, paths.next_segments(base).collect()))
+    monkeypatch.setattr(paths, "TASK_ARCS", 5)
+    assert swept == sorted(map(tuple, paths.next_segments(base).collect())) and len(swept) > 200
