@@ -555,3 +555,17 @@ def test_next_segments_by_sweeps_and_by_joins(spark, monkeypatch):
     swept = sorted(map(tuple, paths.next_segments(base).collect()))
     monkeypatch.setattr(paths, "TASK_ARCS", 5)
     assert swept == sorted(map(tuple, paths.next_segments(base).collect())) and len(swept) > 200
+
+
+def test_unpacking_between_some_ends(spark, monkeypatch):
+    """Only tables of arcs and marks are written, no jumps; ends that are not there, or none at all, give nothing."""
+    n = 40
+    base = spark.createDataFrame([(i, i + 1, 1.0, i + 1) for i in range(n)], "from_edge long, to_edge long, cost double, via_edge long")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "edge long")
+    names, whole = [], storage.cut
+    for module in (paths, sweeps):
+        monkeypatch.setattr(module, "cut", lambda df: names.append(df.columns) or whole(df))
+    rows = sorted((r.from_edge, r.to_edge, r.pos, r.edge) for r in paths.unpacked(base, ids(0, 30, 777), ids(9, 30, n, 888, None)).collect())
+    assert rows == sorted((a, b, i - a, i) for a, b in ((0, 9), (0, 30), (0, n), (30, n)) for i in range(a, b + 1))
+    assert names and not any("jump" in x for x in names)
+    assert paths.unpacked(base, ids(0), ids()).count() == paths.unpacked(base.limit(0)).count() == 0
