@@ -569,3 +569,16 @@ def test_unpacking_between_some_ends(spark, monkeypatch):
     assert rows == sorted((a, b, i - a, i) for a, b in ((0, 9), (0, 30), (0, n), (30, n)) for i in range(a, b + 1))
     assert names and not any("jump" in x for x in names)
     assert paths.unpacked(base, ids(0), ids()).count() == paths.unpacked(base.limit(0)).count() == 0
+
+
+def test_whole_audit_finds_faults(spark):
+    """Costs in a task that are too high by more than the tolerance are found by the arcs; those of the closure have none."""
+    net = sweeps._prepared(_in_arrays([(i, i + 1, 1.0) for i in range(20)]))
+    cost = sweeps._least(net, net["ends"])
+    assert [x.tolist() for x in next(sweeps.give_gains(net, cost, net["ends"]))] == [[210], [0], [0.0]]
+    cost[3, np.flatnonzero(net["ends"] == 9)] += 5
+    assert [x.tolist() for x in next(sweeps.give_gains(net, cost, net["ends"]))] == [[210], [1], [5.0]]
+    base = spark.createDataFrame([(a, b, c, b) for a, b, c in _real_network(2)], "from_edge long, to_edge long, cost double, via_edge long")
+    whole = closure_join(base.selectExpr("*", "0L AS current_cell"))
+    assert audit.audit_whole(base).first() == audit.audit_closed(whole, arcs=base).first()
+    assert tuple(audit.audit_whole(base.limit(0)).first()) == (0, 0, 0.0)
