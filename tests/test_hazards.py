@@ -582,3 +582,29 @@ def test_whole_audit_finds_faults(spark):
     whole = closure_join(base.selectExpr("*", "0L AS current_cell"))
     assert audit.audit_whole(base).first() == audit.audit_closed(whole, arcs=base).first()
     assert tuple(audit.audit_whole(base.limit(0)).first()) == (0, 0, 0.0)
+
+
+def _in_arrays_whole(pairs, res):
+    """With whole-number costs, and the resolution of some segments (None: a segment without one); seconds are the id's half."""
+    segments = [(i, sweeps.NONE if r is None else r, 0, 3, i / 2) for i, r in res.items()]
+    return _in_arrays([(a, b, (round(c * (1 << 20)) << 16) + 1) for a, b, c in pairs], segments=segments)
+
+
+def test_ranges_without_unpacking():
+    """Against the walk along next segments; unknown resolutions are left out, and null where a path has no other."""
+    pairs = _real_network(11, 30)
+    res = {i: None if i % 4 == 0 else i % 7 - 1 for i in range(28)}
+    net = sweeps._prepared(_in_arrays_whole(pairs, res))
+    cost = sweeps._least(net, net["ends"])
+    start, end, _, via = next(sweeps.give_nexts(net, cost, net["ends"]))
+    after = dict(zip(zip(start.tolist(), end.tolist()), via.tolist()))
+    want = {}
+    for a, b in after:
+        walk = [a]
+        while walk[-1] != b:
+            walk.append(after[walk[-1], b])
+        known = [res[i] for i in walk if res.get(i) is not None]
+        want[a, b] = (len(walk), min(known, default=None), max(known, default=None))
+    got = [x.tolist() for x in next(sweeps.give_ranges(net, cost, net["ends"]))]
+    assert {(a, b): x for a, b, *x in zip(*got)} == {k: list(x) for k, x in want.items()}
+    assert any(x[1] is None for x in want.values()) and max(x[0] for x in want.values()) > 8
