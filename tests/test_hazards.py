@@ -608,3 +608,12 @@ def test_ranges_without_unpacking():
     got = [x.tolist() for x in next(sweeps.give_ranges(net, cost, net["ends"]))]
     assert {(a, b): x for a, b, *x in zip(*got)} == {k: list(x) for k, x in want.items()}
     assert any(x[1] is None for x in want.values()) and max(x[0] for x in want.values()) > 8
+
+
+def test_ranges_of_all_paths_by_sweeps_and_by_joins(spark, monkeypatch):
+    pairs = _real_network(12, 20)
+    base = spark.createDataFrame([(a, b, c, b) for a, b, c in pairs], "from_edge long, to_edge long, cost double, via_edge long")
+    edges = spark.createDataFrame([(i, None if i == 3 else 1.0, None if i % 5 == 0 else i % 4) for i in range(19)], "id long, cost double, lca_res int")
+    rows = [sorted(map(str, paths.unpacked_res_range(base, edges).collect()))]
+    monkeypatch.setattr(paths, "TASK_ARCS", 5)
+    assert rows[0] == sorted(map(str, paths.unpacked_res_range(base, edges).collect())) and len(rows[0]) > 100
