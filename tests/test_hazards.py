@@ -617,3 +617,16 @@ def test_ranges_of_all_paths_by_sweeps_and_by_joins(spark, monkeypatch):
     rows = [sorted(map(str, paths.unpacked_res_range(base, edges).collect()))]
     monkeypatch.setattr(paths, "TASK_ARCS", 5)
     assert rows[0] == sorted(map(str, paths.unpacked_res_range(base, edges).collect())) and len(rows[0]) > 100
+
+
+def test_dense_cells_are_closed_without_joins(spark, monkeypatch):
+    """A cell of more than 20,000 arcs, nearly all of its pairs: one matrix in a task, not a row for each way through a segment."""
+    def joined(*_):
+        raise AssertionError("goes by joins")
+
+    monkeypatch.setattr(closure_module, "closure_join", joined)
+    n, rng = 150, random.Random(10)
+    arcs = [(a, b, float(rng.randrange(1, 99)), b, 0) for a in range(n) for b in range(n) if a != b]
+    got = {(r.from_edge, r.to_edge): r.cost for r in closure_auto(spark.createDataFrame(arcs, ARCS)).collect()}
+    follow = _follow([r[:3] for r in arcs])
+    assert got == {(a, b): c for a in range(n) for b, c in _dijkstra(follow, a).items()}
