@@ -630,3 +630,14 @@ def test_dense_cells_are_closed_without_joins(spark, monkeypatch):
     got = {(r.from_edge, r.to_edge): r.cost for r in closure_auto(spark.createDataFrame(arcs, ARCS)).collect()}
     follow = _follow([r[:3] for r in arcs])
     assert got == {(a, b): c for a in range(n) for b, c in _dijkstra(follow, a).items()}
+
+
+def test_costs_of_some_pairs(spark):
+    """Those that have a path, whatever the others are."""
+    pairs = _real_network(14, 30)
+    base = spark.createDataFrame([(a, b, c, b) for a, b, c in pairs], "from_edge long, to_edge long, cost double, via_edge long")
+    best = {a: _dijkstra(_follow(pairs), a) for a in range(31)}
+    wanted = [(a, b) for a in range(0, 31, 3) for b in range(31)] + [(777, 3), (3, 777), (None, 1), (2, None)]
+    got = {(r.from_edge, r.to_edge): r.cost for r in closure_whole(base, spark.createDataFrame(wanted, "from_edge long, to_edge long")).collect()}
+    want = {(a, b): best[a][b] for a, b in wanted if b in best.get(a, {}) and a != b}
+    assert set(got) == set(want) and all(abs(got[k] - c) < 1e-9 for k, c in want.items())
