@@ -641,3 +641,19 @@ def test_costs_of_some_pairs(spark):
     got = {(r.from_edge, r.to_edge): r.cost for r in closure_whole(base, spark.createDataFrame(wanted, "from_edge long, to_edge long")).collect()}
     want = {(a, b): best[a][b] for a, b in wanted if b in best.get(a, {}) and a != b}
     assert set(got) == set(want) and all(abs(got[k] - c) < 1e-9 for k, c in want.items())
+
+
+def test_steps_of_paths_in_a_task():
+    """Each path from its start to its end along arcs, place by place, at the cost of the pair."""
+    pairs = _real_network(15, 30)
+    net = sweeps._prepared(_in_arrays_whole(pairs, {}))
+    cost = sweeps._least(net, net["ends"])
+    walks = {}
+    for a, b, pos, edge in sweeps.give_steps(net, cost, net["ends"]):
+        for k, p, i in zip(zip(a.tolist(), b.tolist()), pos.tolist(), edge.tolist()):
+            walks.setdefault(k, []).append(i)
+            assert len(walks[k]) == p + 1
+    step = {(a, b): c for a, b, c in pairs}
+    want = {(a, b): c for a in {p[0] for p in pairs} for b, c in _dijkstra(_follow(pairs), a).items()}
+    assert set(walks) == set(want)
+    assert all((w[0], w[-1]) == k and abs(sum(step[h] for h in pairwise(w)) - want[k]) < 1e-4 for k, w in walks.items())
