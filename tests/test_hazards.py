@@ -657,3 +657,10 @@ def test_steps_of_paths_in_a_task():
     want = {(a, b): c for a in {p[0] for p in pairs} for b, c in _dijkstra(_follow(pairs), a).items()}
     assert set(walks) == set(want)
     assert all((w[0], w[-1]) == k and abs(sum(step[h] for h in pairwise(w)) - want[k]) < 1e-4 for k, w in walks.items())
+
+
+def test_all_paths_by_sweeps_and_by_joins(spark, monkeypatch):
+    base = spark.createDataFrame([(a, b, c, b) for a, b, c in _real_network(16, 15)], "from_edge long, to_edge long, cost double, via_edge long")
+    rows = sorted(map(tuple, paths.unpacked(base).collect()))
+    monkeypatch.setattr(paths, "TASK_ARCS", 5)
+    assert rows == sorted(map(tuple, paths.unpacked(base).collect())) and len(rows) > 300
