@@ -673,3 +673,11 @@ def test_profiles_of_paths_in_a_task():
     rows = [row for x in sweeps.give_profiles(net, sweeps._least(net, net["ends"]), net["ends"]) for row in zip(*(pa.array(c).to_pylist() for c in x))]
     want = [(a, b, p, a + p, None if a + p == 9 else (a + p) / 2, sum((a + q) / 2 for q in range(p)), None if a + p in (2, 9) else (a + p) % 3) for a in range(9) for b in range(a + 1, 10) for p in range(b - a + 1)]
     assert sorted(map(str, rows)) == sorted(map(str, want))
+
+
+def test_all_profiles_by_sweeps_and_by_joins(spark, monkeypatch):
+    base = spark.createDataFrame([(a, b, c, b) for a, b, c in _real_network(17, 15)], "from_edge long, to_edge long, cost double, via_edge long")
+    edges = spark.createDataFrame([(i, 1.5 * i, i % 4) for i in range(14)], "id long, cost double, lca_res int")
+    rows = sorted(map(str, paths.unpacked_profile(base, edges).collect()))
+    monkeypatch.setattr(paths, "TASK_ARCS", 5)
+    assert rows == sorted(map(str, paths.unpacked_profile(base, edges).collect())) and len(rows) > 300
