@@ -681,3 +681,11 @@ def test_all_profiles_by_sweeps_and_by_joins(spark, monkeypatch):
     rows = sorted(map(str, paths.unpacked_profile(base, edges).collect()))
     monkeypatch.setattr(paths, "TASK_ARCS", 5)
     assert rows == sorted(map(str, paths.unpacked_profile(base, edges).collect())) and len(rows) > 300
+
+
+def test_a_round_of_joins_writes_one_table(spark, monkeypatch):
+    """Forty segments in a chain take six rounds that improve paths and one that does not."""
+    tables, whole = [], storage.cut
+    monkeypatch.setattr(closure_module, "cut", lambda df: tables.append(1) or whole(df))
+    arcs = spark.createDataFrame([(i, i + 1, 1.0, i + 1, 0) for i in range(40)], ARCS)
+    assert closure_join(arcs).count() == 40 * 41 // 2 and len(tables) == 1 + 6 + 1
