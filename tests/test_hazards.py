@@ -689,3 +689,18 @@ def test_a_round_of_joins_writes_one_table(spark, monkeypatch):
     monkeypatch.setattr(closure_module, "cut", lambda df: tables.append(1) or whole(df))
     arcs = spark.createDataFrame([(i, i + 1, 1.0, i + 1, 0) for i in range(40)], ARCS)
     assert closure_join(arcs).count() == 40 * 41 // 2 and len(tables) == 1 + 6 + 1
+
+
+def test_a_round_of_joins_meets_fresh_rows_once(spark, monkeypatch):
+    """Of fresh rows on both sides each way is made once, and of equal costs the known path keeps its middle."""
+    made, once = [], closure_module.extend
+
+    def counted(left, right):
+        out = once(left, right)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(closure_module, "extend", counted)
+    rows = [(1, 2, 1.0, 2, 0), (2, 3, 1.0, 3, 0), (1, 3, 2.0, 3, 0), (3, 4, 1.0, 4, 0)]
+    got = {(r.from_edge, r.to_edge): (r.cost, r.via_edge) for r in closure_join(spark.createDataFrame(rows, ARCS)).collect()}
+    assert got[1, 3] == (2.0, 3) and got[1, 4][0] == 3.0 and made[0] == 3 and len(made) == 3
