@@ -704,3 +704,26 @@ def test_a_round_of_joins_meets_fresh_rows_once(spark, monkeypatch):
     rows = [(1, 2, 1.0, 2, 0), (2, 3, 1.0, 3, 0), (1, 3, 2.0, 3, 0), (3, 4, 1.0, 4, 0)]
     got = {(r.from_edge, r.to_edge): (r.cost, r.via_edge) for r in closure_join(spark.createDataFrame(rows, ARCS)).collect()}
     assert got[1, 3] == (2.0, 3) and got[1, 4][0] == 3.0 and made[0] == 3 and len(made) == 3
+
+
+def test_middles_of_matrices_split_costs():
+    """Middle segments lead to shorter and shorter hops that end in arcs, with free cycles too."""
+    rng = random.Random(13)
+    arcs = {(a, b): rng.choice([0.0, 1.0, 2.5, 7.0, 30.0]) for a in range(20) for b in range(20) if a != b and rng.random() < 0.6}
+    rows = [(a, b, c, b, 0, 1, 0) for (a, b), c in arcs.items()]
+    block = dict(zip(("from_edge", "to_edge", "cost", "via_edge", "current_cell", "blocks", "block"), map(np.array, zip(*rows))))
+    made = list(closure_module._block_paths(block))
+    assert len(made) == 1
+    got = {(a, b): (c, v) for a, b, c, v in zip(*(x.tolist() for x in made[0]))}
+    assert {k: c for k, (c, _) in got.items()} == {(a, b): c for a in range(20) for b, c in _dijkstra(_follow([(*k, c) for k, c in arcs.items()]), a).items()}
+
+    def hops(a, b, depth=0):
+        assert depth < 20
+        cost, via = got[a, b]
+        if via == b:
+            assert arcs[a, b] == cost
+            return 1
+        assert got[a, via][0] + got[via, b][0] == cost
+        return hops(a, via, depth + 1) + hops(via, b, depth + 1)
+
+    assert max(hops(*k) for k in got) > 3
