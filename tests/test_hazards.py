@@ -671,7 +671,7 @@ def test_profiles_of_paths_in_a_task():
     chain = [(i, i + 1, 1.0) for i in range(9)]
     net = sweeps._prepared(_in_arrays_whole(chain, {i: None if i == 2 else i % 3 for i in range(9)}))
     rows = [row for x in sweeps.give_profiles(net, sweeps._least(net, net["ends"]), net["ends"]) for row in zip(*(pa.array(c).to_pylist() for c in x))]
-    want = [(a, b, p, a + p, None if a + p == 9 else (a + p) / 2, sum((a + q) / 2 for q in range(p)), None if a + p in (2, 9) else (a + p) % 3) for a in range(9) for b in range(a + 1, 10) for p in range(b - a + 1)]
+    want = [(a, b, p, a + p, None if a + p == 9 else (a + p) / 2, sum(((a + q) / 2 for q in range(p)), 0.0), None if a + p in (2, 9) else (a + p) % 3) for a in range(9) for b in range(a + 1, 10) for p in range(b - a + 1)]
     assert sorted(map(str, rows)) == sorted(map(str, want))
 
 
