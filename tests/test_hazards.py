@@ -727,3 +727,15 @@ def test_middles_of_matrices_split_costs():
         return hops(a, via, depth + 1) + hops(via, b, depth + 1)
 
     assert max(hops(*k) for k in got) > 3
+
+
+def test_profiles_of_whole_seconds_stay_whole():
+    """Millionths of a second before a segment, summed in a task, are exact, as uneven_paths asks."""
+    chain = [(i, i + 1, 1.0) for i in range(30)]
+    micros = {i: 10**12 // (i + 3) for i in range(31)}
+    rows = _in_arrays_whole(chain, {i: 1 for i in range(31)})
+    told = rows["kind"] == 3
+    rows["seconds"][told] = [float(micros[i]) for i in rows["from_edge"][told].tolist()]
+    net = sweeps._prepared(rows)
+    before = {(a, b, p): x for c in sweeps.give_profiles(net, sweeps._least(net, net["ends"]), net["ends"]) for a, b, p, x in zip(c[0].tolist(), c[1].tolist(), c[2].tolist(), c[5].tolist())}
+    assert before == {(a, b, p): sum(micros[a + q] for q in range(p)) for a in range(30) for b in range(a + 1, 31) for p in range(b - a + 1)}
